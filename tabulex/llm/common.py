@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import re
 import tempfile
 import uuid
@@ -62,8 +63,17 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
+def reach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver did (with ``--py-files`` they can anyway)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH")) if x)
+
+
 def pick(df: DataFrame, **names: str) -> DataFrame:
     """Only the named columns, as ``new=old``; others, even with clashing names, are left out."""
+    reach(df.sparkSession)
     at = {new: find(df, old) for new, old in names.items()}
     n = numbered(df)
     return n.select(*[n[f"c{i}"].alias(new) for new, i in at.items()])
