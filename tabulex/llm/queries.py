@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .external_shuffle import op6_sharding
 from .line_dedup import OP2_SQL, op2_line_dedup
+from .mixing import op1_mixing
 from .packing import op10_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op6_sharding": op6_sharding,
     "op10_packing": op10_packing,
