@@ -10,11 +10,13 @@ from .external_shuffle import op6_sharding
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op1_mixing
 from .packing import op10_packing
+from .quality_rules import op9_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op6_sharding": op6_sharding,
+    "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
 
