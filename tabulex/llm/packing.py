@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import keep, pick
 
-#: Words whose ids a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 400_000, 64
+#: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
+CACHE_WORDS, CACHE_CHARS = 500_000, 64
+MARKS = frozenset(".,;:!?")
 #: A remainder is cut only while whole pieces of its length would waste more than this share of a sequence.
 WASTE, SMALL = 0.015, 128
 #: Offsets of (worker, class) are broadcast up to so many rows, else joined by a shuffle.
@@ -37,7 +38,10 @@ class WordIds:
 
     The tokenizer normalises white space away and never joins characters across
     it, so a text's ids are those of its chunks between spaces and line ends.
-    Chunks repeat, so their ids are remembered; memory stays bounded.
+    Chunks repeat, so their ids are remembered; memory stays bounded. A chunk of
+    letters is one word whose last token alone has the end-of-word mark: new
+    ones are encoded together, in lower case, and told apart by that mark. A
+    mark of punctuation after letters is a word of its own.
     """
 
     def __init__(self, path: str):
@@ -46,22 +50,58 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+
+    def learn(self, new: set[str]) -> list[str]:
+        """Add chunks to the known ones; returns those too long to be remembered."""
+        known, easy, hard, cores = self.known, [], [], set()
+        for w in new:
+            low = w.lower()
+            if w.isalpha() and low.isalpha() and "Σ" not in w:
+                easy.append((w, low, ""))
+            elif w[-1] in MARKS and w[:-1].isalpha() and low[:-1].isalpha() and "Σ" not in w:
+                easy.append((w, low[:-1], w[-1]))
+                if w[-1] not in known:
+                    hard.append(w[-1])
+            else:
+                hard.append(w)
+                continue
+            if easy[-1][1] not in known:
+                cores.add(easy[-1][1])
+        if cores:
+            together = list(cores)
+            ids = np.array(self.tokenizer.encode(" ".join(together), add_special_tokens=False).ids, dtype="<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(together):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(together, (4 * ends).tolist(), strict=True):
+                    known[w] = raw[at:end]
+                    at = end
+            else:
+                hard += together
+        if hard:
+            for w, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
+                known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w, core, mark in easy:
+            known[w] = known[core] + known[mark]
+        return [w for w in {*new, *cores} if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*chunked).difference(known))
-        long: list[str] = []
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-                if len(w) > CACHE_CHARS:
-                    long.append(w)
-        out = [b"".join(map(known.__getitem__, c)) for c in chunked]
+            self.old, self.known = self.known, {"": b""}
+        new = set().union(*chunked).difference(self.known)
+        again = new & self.old.keys()
+        self.known.update((w, self.old[w]) for w in again)
+        new -= again
+        long = self.learn(new) if new else ()
+        get = self.known.__getitem__
+        out = [b"".join(map(get, c)) for c in chunked]
         for w in long:
-            del known[w]
+            del self.known[w]
         return out
 
 
