@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .external_shuffle import op6_sharding
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op1_mixing
+from .near_dedup import op7_near_dedup
 from .packing import op10_packing
 from .quality_rules import op9_quality_rules
 
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
     "op6_sharding": op6_sharding,
+    "op7_near_dedup": op7_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
