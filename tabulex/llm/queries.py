@@ -7,17 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .external_shuffle import op6_sharding
+from .language_id import op5_language_id
+from .learned_partitions import op4_learned_partitions
 from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op1_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op10_packing
 from .quality_rules import op9_quality_rules
+from .secret_scan import op8_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op4_learned_partitions": op4_learned_partitions,
+    "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op7_near_dedup": op7_near_dedup,
+    "op8_secret_scan": op8_secret_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
