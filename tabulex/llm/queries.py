@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .context_tree import op3_context_tree
 from .external_shuffle import op6_sharding
 from .language_id import op5_language_id
 from .learned_partitions import op4_learned_partitions
@@ -19,6 +20,7 @@ from .secret_scan import op8_secret_scan
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_line_dedup": op2_line_dedup,
+    "op3_context_tree": op3_context_tree,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
