@@ -195,7 +195,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
 
     indexed = keep(routed(entries, 1).select("key", "ids", "v", F.element_at("parts", 1).alias("part")), "index")
     ask = rows.where(is_query(F.col("id"))).select("key").distinct()
-    asked = keep(routed(entries.join(ask, "key", "left_semi"), visits).select("key", "v", F.explode("parts").alias("part")), "asked")
+    asked = keep(routed(entries.join(ask, "key", "left_semi"), visits).select("key", "v", F.posexplode("parts").alias("turn", "part")), "asked")
     # parts by blocks, on both sides: a block pair is one bounded task
     most = {r["part"]: (math.ceil(r["n"] / BLOCK), 0) for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
@@ -204,18 +204,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     table = F.broadcast(spark.createDataFrame([(p, a, q) for p, (a, q) in sorted(most.items())], "part int, blocks int, q_blocks int"))  # MAX_PARTS rows
     h = F.xxhash64(F.lit(seed + 1), "key")
     left = indexed.join(table, "part").where("q_blocks > 0").withColumn("b", F.pmod(h, F.col("blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    right = asked.join(table, "part").withColumn("q", F.pmod(h, F.col("q_blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def frame(keys: list, ids: list, scores: list) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "ids": pd.Series(ids, dtype=object), "score": pd.Series(scores, dtype=float)})
 
     def rank(own: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(queries):
-            return pd.DataFrame({"key": [], "ids": [], "score": []})
+            return frame([], [], [])
         a, q = np.array(own["v"].tolist()), np.array(queries["v"].tolist())
+        least = queries["least"].tolist()
         keys, ids, scores = [], [], []
         all_ids = own["ids"].tolist()
         first = np.array([i[0] for i in all_ids])
         for lo in range(0, len(q), 256):
             part = q[lo : lo + 256]
-            for query, row, key in zip(part, part @ a.T, queries["key"].tolist()[lo : lo + 256], strict=True):
+            for query, row, key, bound in zip(part, part @ a.T, queries["key"].tolist()[lo : lo + 256], least[lo : lo + 256], strict=True):
+                if bound is not None and bound == bound and row.max() < bound - 1e-9 * max(1.0, abs(bound)):
+                    continue
                 at = np.arange(len(row))
                 if len(row) > k + 1:
                     edge = np.partition(row, len(row) - k - 1)[len(row) - k - 1]
@@ -223,13 +228,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                 # one order of additions for every pair, so that equal products are equal
                 exact = np.cumsum(a[at] * query, axis=1)[:, -1]
                 best = np.lexsort((first[at], -exact))[: k + 1]
+                if bound is not None and bound == bound:
+                    best = best[exact[best] >= bound]
                 keys += [key] * len(best)
                 ids += [all_ids[i] for i in at[best]]
                 scores += exact[best].tolist()
-        return pd.DataFrame({"key": keys, "ids": ids, "score": scores})
-
-    found = left.select("part", "b", "q", "ids", "v").groupBy("part", "b", "q").cogroup(right.select("part", "b", "q", "key", "v").groupBy("part", "b", "q")).applyInPandas(rank, "key string, ids array<long>, score double")
-    # at most (blocks + visits) * (k + 1) entries a different query vector; then each query leaves itself out
+        return frame(keys, ids, scores)
+
+    def reranked(queries: DataFrame) -> DataFrame:
+        right = queries.join(table, "part").withColumn("q", F.pmod(h, F.col("q_blocks")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sides = left.select("part", "b", "q", "ids", "v").groupBy("part", "b", "q").cogroup(right.select("part", "b", "q", "key", "v", "least").groupBy("part", "b", "q"))
+        return sides.applyInPandas(rank, "key string, ids array<long>, score double")
+
+    # the likeliest part gives each query a score that the others' entries must reach to matter
+    near = keep(reranked(asked.where("turn = 0").withColumn("least", F.lit(None).cast("double"))), "nearest")
+    bounds = near.groupBy("key").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k)).alias("least"))
+    found = near.union(reranked(asked.where("turn > 0").join(bounds, "key", "left")))
+    # a query leaves itself out, so k + 1 candidates of its vector are enough
     single = found.select("key", "score", F.explode("ids").alias("vec_id"))
     best = single.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("list"))
     asking = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), "key").distinct()
