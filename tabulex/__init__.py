@@ -1,0 +1,7 @@
+"""Business rules over whole tables: documents compiled into Spark Columns."""
+
+from .engine import Decision, Engine, cell, evaluate, expr, template, validate_cell, validate_expression
+from .plans.syntax import RuleError
+from .sources.loaders import CachedSource, CallableSource, DirectorySource, MemorySource, StoreSource, ZipSource
+
+__all__ = ["CachedSource", "CallableSource", "Decision", "DirectorySource", "Engine", "MemorySource", "RuleError", "StoreSource", "ZipSource", "cell", "evaluate", "expr", "template", "validate_cell", "validate_expression"]
