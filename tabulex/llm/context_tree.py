@@ -54,10 +54,17 @@ def streams(texts: list[bytes], depth: int) -> Iterator[tuple[int, int, np.ndarr
         at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are held in several forms at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 class Tally:
     """Sums of (training, all) counts by 63-bit key, merged now and then."""
 
-    def __init__(self, limit: int = 3_000_000):
+    def __init__(self, limit: int = 1_500_000):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size, self.limit = 0, limit
 
@@ -77,7 +84,8 @@ class Tally:
 
     def merge(self) -> None:
         keys, train, every = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
-        order = np.argsort(keys, kind="stable")
+        self.parts = []
+        order = np.argsort(keys)
         keys = keys[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         self.parts = [(keys[first], np.add.reduceat(train[order], first), np.add.reduceat(every[order], first))]
@@ -122,7 +130,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams = Tally(), Tally()
-        for b in batches:
+        for b in slices(batches):
             texts, held = lowered(b.column(0)), np.array(b.column(1).to_pylist(), bool)
             for at, to, g, bounds in streams(texts, depth):
                 grams.add(g, np.repeat(~held[at:to], np.diff(bounds)))
@@ -157,8 +165,9 @@ class Level:
     def __init__(self, grams: np.ndarray, train: np.ndarray):
         byte = grams & 255
         keys = np.concatenate([(grams & ~np.int64(255)) | (1 << j) | (byte >> (8 - j)) for j in range(8)])
-        self.bit = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)]).reshape(8, -1)
+        self.bit = np.concatenate([(byte >> (7 - j)) & 1 for j in range(8)]).astype(np.int8).reshape(8, -1)
         self.keys, inverse = np.unique(keys, return_inverse=True)
+        inverse = inverse.astype(np.int32)
         self.node = inverse.reshape(8, -1)
         n = np.tile(train, 8).astype(float)
         one = self.bit.reshape(-1) == 1
@@ -200,7 +209,7 @@ def subtree(grams: np.ndarray, train: np.ndarray, depth: int, top: int = 2) -> t
     return levels, places
 
 
-def blocks(batches: Iterator[pa.RecordBatch], depth: int, size: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], depth: int, size: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Sorted grams in whole subtrees of the two nearest context bytes, about ``size`` together."""
     held: list[list[np.ndarray]] = []
     n = 0
@@ -313,7 +322,7 @@ def scored(docs: DataFrame, depth: int, words: Broadcast, grams: Broadcast, end_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_at, gram_at = Lookup(*words.value[:2]), Lookup(*grams.value)
         is_known = Lookup(words.value[0], words.value[2])
-        for b in batches:
+        for b in slices(batches):
             texts = lowered(b.column(0))
             got: list[list] = [[] for _ in range(9)]
             for at, to, g, bounds in streams(texts, depth):
