@@ -28,7 +28,7 @@ DEPTH = 5
 #: At most so many of the most frequent grams and words are broadcast (16 and 24 bytes each); the rest are joined.
 FREQUENT_GRAMS, FREQUENT_WORDS = 1 << 19, 1 << 18
 END = 0xFF  # never part of UTF-8
-STREAM = 1 << 20
+STREAM = 1 << 18
 
 
 def streams(texts: list[bytes], depth: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
 class Tally:
     """Sums of (training, all) counts by 63-bit key, merged now and then."""
 
-    def __init__(self, limit: int = 1_500_000):
+    def __init__(self, limit: int = 800_000):
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size, self.limit = 0, limit
 

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Bytes that are hashed together; longer texts are cut at white space.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = 0x9E3779B97F4A7C15 | 1
