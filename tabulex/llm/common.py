@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +90,43 @@ def n_words(text: Column) -> Column:
 
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
+
+
+#: What operators remember in a worker between tasks; a task of another operator drops it.
+CACHES: list[dict] = []
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few texts are held in several forms at once."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable, own: str | None = None) -> Callable:
+    """``run`` for ``mapInArrow``, leaving little behind: workers live on between tasks and stages.
+
+    Caches of other operators go before it starts (``own`` names its own), freed
+    memory goes back to the system when it ends.
+    """
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in CACHES:
+            if c["name"] != own:
+                c["held"].clear()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied

@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, pick
+from .common import keep, pick, slices, tidy
 from .language_id import remainder
 from .near_dedup import lowered
 from .shingles import words_by_text
@@ -54,13 +54,6 @@ def streams(texts: list[bytes], depth: int) -> Iterator[tuple[int, int, np.ndarr
         at = to
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are held in several forms at once."""
-    for b in batches:
-        for lo in range(0, b.num_rows, rows):
-            yield b.slice(lo, rows)
-
-
 class Tally:
     """Sums of (training, all) counts by 63-bit key, merged now and then."""
 
@@ -142,7 +135,7 @@ def counts(docs: DataFrame, depth: int) -> DataFrame:
         yield from rows(0, words)
         yield from rows(1, grams)
 
-    return docs.select("text", "held_out").mapInArrow(run, "kind byte, key long, train long, every long")
+    return docs.select("text", "held_out").mapInArrow(tidy(run), "kind byte, key long, train long, every long")
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -242,7 +235,7 @@ def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(inverse, x, len(keys))) for x in (top.n0, top.n1, top.log_w))], names=["node", "n0", "n1", "below"])
 
     # nodes of depth one: 256 contexts of 255 nodes
-    rows = dealt.mapInArrow(upward, "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "below")]).collect()
+    rows = dealt.mapInArrow(tidy(upward), "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "below")]).collect()
     rows.sort(key=lambda r: r["node"])
     key = np.array([r["node"] for r in rows], np.int64)
     n0, n1, below = (np.array([r[x] for r in rows], float) for x in ("n0", "n1", "below"))
@@ -272,7 +265,7 @@ def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
                     p[j] = stop_at[i] * kt + (1 - stop_at[i]) * p[j]
             yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.log10(p).sum(axis=0)), pa.array(e)], names=["key", "lp", "every"])
 
-    return dealt.mapInArrow(downward, "key long, lp double, every long")
+    return dealt.mapInArrow(tidy(downward), "key long, lp double, every long")
 
 
 class Lookup:
@@ -340,7 +333,7 @@ def scored(docs: DataFrame, depth: int, words: Broadcast, grams: Broadcast, end_
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), *[pa.list_(pa.int64())] * 4]
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *(pa.array(x, kind) for x, kind in zip(got, kinds, strict=True))], names=["doc_id", "held_out", *OUT])
 
-    return docs.select("text", "doc_id", "held_out").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_bytes long, known double, base double, lp double, word array<long>, word_n array<long>, gram array<long>, gram_n array<long>")
+    return docs.select("text", "doc_id", "held_out").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_bytes long, known double, base double, lp double, word array<long>, word_n array<long>, gram array<long>, gram_n array<long>")
 
 
 OUT = ("n_tokens", "n_bytes", "known", "base", "lp", "word", "word_n", "gram", "gram_n")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, parallelism, pick
+from .common import find, numbered, parallelism, pick, slices, tidy
 
 BITS = 16
 DIM = 1 << BITS
@@ -83,7 +83,7 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(DIM, np.int64), 0
         seen = np.zeros(DIM, bool)
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(0).to_pylist()
             n += len(texts)
             last = -1
@@ -109,8 +109,8 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
 
     n = 2 * parallelism(docs.sparkSession)
-    parts = docs.select("text").coalesce(n).mapInArrow(count, "at int, part binary")
-    merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(add, "at int, part binary").collect()}
+    parts = docs.select("text").coalesce(n).mapInArrow(tidy(count), "at int, part binary")
+    merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(tidy(add), "at int, part binary").collect()}
     if -1 not in merged:
         return 0, np.zeros(DIM, np.int64)
     return int(merged[-1][0]), np.concatenate([merged[i] for i in range(0, DIM, 4096)])
@@ -120,7 +120,7 @@ def counted(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """(lang, features, counts) of each document; for a bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             sums = [np.zeros(0, np.int64)] * len(texts)
             for numbers, parts in segments(texts):
@@ -132,7 +132,7 @@ def counted(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
             found = [np.flatnonzero(s) for s in sums]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.astype(np.uint16).tobytes() for x in found], pa.binary()), pa.array([s[x].astype(np.uint32).tobytes() for s, x in zip(sums, found, strict=True)], pa.binary()), b.column(2)], names=["lang", "f", "n", "h"])
 
-    rows = docs.mapInArrow(run, "lang string, f binary, n binary, h long").collect()
+    rows = docs.mapInArrow(tidy(run), "lang string, f binary, n binary, h long").collect()
     # by hash, so that the order of training doesn't depend on partitions
     return [(r["lang"], np.frombuffer(r["f"], np.uint16).astype(np.int64), np.frombuffer(r["n"], np.uint32)) for r in sorted(rows, key=lambda r: (r["h"], r["lang"], bytes(r["f"])))]
 
@@ -230,7 +230,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = known.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             k = len(m.languages) if m else 1
             sums, total = np.zeros((len(texts), k)), np.zeros(len(texts))
@@ -250,7 +250,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*b.schema.names, "lang_pred", "score"])
 
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in n.schema.fields)
-    return n.mapInArrow(run, f"{kinds}, lang_pred string, score double").toDF(*docs.columns, "lang_pred", "score")
+    return n.mapInArrow(tidy(run), f"{kinds}, lang_pred string, score double").toDF(*docs.columns, "lang_pred", "score")
 
 
 def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int = 1000) -> Model | None:

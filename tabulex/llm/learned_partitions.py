@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, pick
+from .common import keep, pick, tidy
 
 SAMPLE = 8192  # vectors that the graph and the classifier are fitted on
 RECALL, TRIALS = 0.95, 512  # recall that the number of visited parts is chosen for, on so many sampled queries
@@ -191,7 +191,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
                 best = r.best(v, most).tolist() if r and b.num_rows else [[0]] * b.num_rows
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(best, pa.list_(pa.int32()))], names=["key", "ids", "v", "parts"])
 
-        return df.select("key", "ids", "v").mapInArrow(run, "key string, ids array<long>, v array<double>, parts array<int>")
+        return df.select("key", "ids", "v").mapInArrow(tidy(run), "key string, ids array<long>, v array<double>, parts array<int>")
 
     indexed = keep(routed(entries, 1).select("key", "ids", "v", F.element_at("parts", 1).alias("part")), "index")
     ask = rows.where(is_query(F.col("id"))).select("key").distinct()

@@ -18,7 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, find, keep, numbered, parallelism, pick
+from .common import SPACES, find, keep, numbered, parallelism, pick, slices, tidy
 
 CHUNK = 8192  # bytes of a filter that travel together
 HASHES = 3
@@ -76,7 +76,7 @@ def twice_seen(docs: DataFrame, bits: int) -> bytes:
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(bits)
-        for b in batches:
+        for b in slices(batches):
             f.see(hashes_of(bytes_of(b.column(0))))
         at = np.flatnonzero(f.once.reshape(-1, CHUNK).any(axis=1))
         for lo in range(0, len(at), 64):
@@ -98,8 +98,8 @@ def twice_seen(docs: DataFrame, bits: int) -> bytes:
 
     spark = docs.sparkSession
     n = parallelism(spark)
-    parts = docs.select("text").coalesce(2 * n).mapInArrow(build, "chunk int, once binary, twice binary")
-    merged = parts.repartition(min(2 * n, bits // 8 // CHUNK), "chunk").mapInArrow(merge, "chunk int, twice binary")
+    parts = docs.select("text").coalesce(2 * n).mapInArrow(tidy(build), "chunk int, once binary, twice binary")
+    merged = parts.repartition(min(2 * n, bits // 8 // CHUNK), "chunk").mapInArrow(tidy(merge), "chunk int, twice binary")
     out = bytearray(bits // 8)
     for r in merged.collect():  # bits / 8 bytes at most
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = r["twice"]
@@ -151,7 +151,7 @@ def suspected(table: DataFrame, bits: int, twice: Broadcast, with_order: bool) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Filters(bits, twice.value)
-        for b in batches:
+        for b in slices(batches):
             texts = bytes_of(b.column(0))
             own = [[k for k in set(keys_of(t)) if k] for t in texts]
             flat = [k for ks in own for k in ks]
@@ -163,7 +163,7 @@ def suspected(table: DataFrame, bits: int, twice: Broadcast, with_order: bool) -
     digest = F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")
     given = table.select("text", digest, *(["order"] if with_order else []))
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in given.schema.fields[1:])
-    return given.mapInArrow(run, f"key binary, {kinds}")
+    return given.mapInArrow(tidy(run), f"key binary, {kinds}")
 
 
 def rewritten(df: DataFrame, at: int, order_at: int, drop: Broadcast | None, drops_at: int | None) -> DataFrame:
@@ -172,7 +172,7 @@ def rewritten(df: DataFrame, at: int, order_at: int, drop: Broadcast | None, dro
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest_of = xxhash.xxh3_128_digest
-        for b in batches:
+        for b in slices(batches):
             texts, orders = bytes_of(b.column(at)), b.column(order_at).to_pylist()
             each = b.column(drops_at).to_pylist() if drops_at is not None else None
             out, lines, dropped = [], [], []
@@ -207,7 +207,7 @@ def rewritten(df: DataFrame, at: int, order_at: int, drop: Broadcast | None, dro
 
     width = drops_at if drops_at is not None else len(df.columns)
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in df.schema.fields[:width])
-    return df.mapInArrow(run, f"{kinds}, n_lines long, n_dropped long")
+    return df.mapInArrow(tidy(run), f"{kinds}, n_lines long, n_dropped long")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, keep, numbered, parallelism, pick
+from .common import find, keep, numbered, parallelism, pick, slices, tidy
 from .line_dedup import bytes_of
 from .shingles import mix, shingles, words_by_text
 
@@ -39,7 +39,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(1 << BUCKETS_BITS, np.int64), 0
-        for b in batches:
+        for b in slices(batches):
             texts = lowered(b.column(0))
             n += len(texts)
             for lo in range(0, len(texts), 256):
@@ -56,8 +56,8 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
 
     n = 2 * parallelism(docs.sparkSession)
-    parts = docs.select("text").coalesce(n).mapInArrow(count, "at int, part binary")
-    merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(add, "at int, part binary").collect()}
+    parts = docs.select("text").coalesce(n).mapInArrow(tidy(count), "at int, part binary")
+    merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(tidy(add), "at int, part binary").collect()}
     if -1 not in merged:
         return 0, np.zeros(1 << BUCKETS_BITS, np.int64)
     return int(merged[-1][0]), np.concatenate([merged[i] for i in range(0, 1 << BUCKETS_BITS, PIECE)])
@@ -123,7 +123,7 @@ def signatures(docs: DataFrame, values: Broadcast, bands: int = BANDS, rows: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(bands * rows)
         factor = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(rows)], np.uint64)
-        for b in batches:
+        for b in slices(batches):
             texts, keys = lowered(b.column(0)), []
             for lo in range(0, len(texts), 256):
                 for words in words_by_text(texts[lo : lo + 256]):
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, values: Broadcast, bands: int = BANDS, rows: int
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
     given = docs.select("text", "doc_id", digest_of("text"))
-    return given.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, keys array<long>")
+    return given.mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, keys array<long>")
 
 
 def digest_of(text: str):
@@ -143,20 +143,20 @@ def features(docs: DataFrame, wanted: DataFrame, values: Broadcast) -> DataFrame
     """The weighted shingles of each wanted text, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [weighted(w, values.value) for w in words_by_text(lowered(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k].astype(kind).tobytes() for x in sets], pa.large_binary()).cast(pa.binary()) for k, kind in ((0, np.uint64), (1, np.float32)))], names=["digest", "h", "w"])
 
     # copies meet here: any one of them stands for the text
     one = docs.select(digest_of("text"), "text", "doc_id").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
-    return one.mapInArrow(run, "digest binary, h binary, w binary")
+    return one.mapInArrow(tidy(run), "digest binary, h binary, w binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose weighted Jaccard similarity is at least ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ok = []
             for ha, wa, hb, wb in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 xa, xb = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
@@ -172,7 +172,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
     one = pairs.join(sets.select(F.col("digest").alias("a"), F.col("h").alias("ha"), F.col("w").alias("wa")), "a")
     two = one.join(sets.select(F.col("digest").alias("b"), F.col("h").alias("hb"), F.col("w").alias("wb")), "b")
-    return two.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(run, "a binary, b binary")
+    return two.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(tidy(run), "a binary, b binary")
 
 
 def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -257,14 +257,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         if labels is not None and edges.isEmpty():
             continue
         labels = components(edges, labels)
-    own = signed.select("doc_id", "digest")
+    # copies first, then the texts of a group in salted shares: a large group is no task's own
+    texts = signed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("d"), F.count(F.lit(1)).alias("n")).select("digest", F.col("d.doc_id").alias("doc_id"), "n")
     if labels is None:
-        grouped = own.withColumn("label", F.col("digest"))
+        texts = texts.withColumn("label", F.col("digest"))
     else:
-        grouped = own.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    first = F.min(F.struct("doc_id", "digest")).alias("first")
-    groups = grouped.groupBy("label").agg(first, F.count(F.lit(1)).alias("cluster_size")).where("cluster_size > 1")
-    out = grouped.join(groups, "label", "left")
+        texts = texts.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    texts = keep(texts, "texts")
+    shares = texts.groupBy("label", F.pmod(F.xxhash64("digest"), F.lit(64)).alias("share")).agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.sum("n").alias("n"))
+    groups = keep(shares.groupBy("label").agg(F.min("first").alias("first"), F.sum("n").alias("cluster_size")).where("cluster_size > 1"), "groups")
+    found = keep(texts.join(groups, "label").select("digest", "first", "cluster_size"), "found")
+    out = signed.select("doc_id", "digest").join(found, "digest", "left")
     alone = F.col("cluster_size").isNull()
     return out.select(
         "doc_id",

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, pick
+from .common import CACHES, keep, pick, slices, tidy
 
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 500_000, 64
@@ -106,6 +106,7 @@ class WordIds:
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
+CACHES.append({"name": "packing", "held": _TOKENIZERS})
 
 
 def word_ids(path: str) -> WordIds:
@@ -139,7 +140,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         ids_of, worker = word_ids(tokenizer).encode, TaskContext.get().partitionId()
         counts: dict[int, int] = {}
         end = np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in slices(batches):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows: list[tuple] = []
             for lo in range(0, len(texts), batch):
@@ -156,7 +157,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[x.strip().split()[0] for x in PIECES.split(",")] + ["ids"] * with_ids)
 
-    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES + ", ids array<int>" * with_ids)
+    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), PIECES + ", ids array<int>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, pick
+from .common import find, numbered, pick, slices, tidy
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -226,7 +226,7 @@ def learn(docs: DataFrame) -> Field:
     import json
 
     field = Field()
-    rows = sorted((r["h"], r["chains"]) for r in chosen.mapInArrow(run, "h long, chains string").collect())
+    rows = sorted((r["h"], r["chains"]) for r in chosen.mapInArrow(tidy(run), "h long, chains string").collect())
     field.fit([tuple(c) for _, x in rows for c in json.loads(x)])
     return field
 
@@ -260,7 +260,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*KINDS, "crf")
-        for b in batches:
+        for b in slices(batches):
             counts, digests, spans = ([], [], []), [], []
             for t in b.column(at).to_pylist():
                 base, more = spans_of(t or "")
@@ -271,7 +271,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[*b.schema.names, *OUT])
 
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in n.schema.fields)
-    return n.mapInArrow(run, f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").toDF(*docs.columns, *OUT)
+    return n.mapInArrow(tidy(run), f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").toDF(*docs.columns, *OUT)
 
 
 OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
