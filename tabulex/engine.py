@@ -21,6 +21,10 @@ from .plans.typed import Val, literal, solid
 from .sources.loaders import MemorySource, NoSource, RuleSource, is_policy, read_document
 
 
+#: Names of session zones in which a timestamp's parts are UTC's.
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "UTC+00:00", "UCT", "Etc/UCT", "Zulu", "Etc/Zulu", "Universal", "Etc/Universal")
+
+
 class Decision:
     """A loaded document."""
 
@@ -88,7 +92,7 @@ class Engine:
         A missing result is null. Sessions run in UTC.
         """
         document = read_document(document)
-        if df.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
+        if df.sparkSession.conf.get("spark.sql.session.timeZone") not in UTC_NAMES:
             raise RuleError("dates are compiled for sessions in UTC: set spark.sql.session.timeZone")
         given = scope_of(df.schema).base
         if self.settings["exact"]:

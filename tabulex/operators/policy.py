@@ -79,6 +79,8 @@ def load_policy(doc: dict, options: Options) -> Policy:
         other = options.load(key)
         if "blocks" not in other:
             raise RuleError(f"{key!r} is no policy")
+        if other in docs:  # a cycle of imports leads back here
+            continue
         docs.append(other)
         todo += other.get("imports") or []
     models: dict[str, Model] = {}
