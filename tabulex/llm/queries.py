@@ -14,7 +14,7 @@ from .line_dedup import OP2_SQL, op2_line_dedup
 from .mixing import op1_mixing
 from .near_dedup import op7_near_dedup
 from .packing import op10_packing
-from .quality_rules import op9_quality_rules
+from .quality_rules import OP9_SQL, op9_quality_rules
 from .secret_scan import op8_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_line_dedup": OP2_SQL,
+    "op9_quality_rules": OP9_SQL,
 }
