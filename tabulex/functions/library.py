@@ -245,33 +245,32 @@ def _split(args: list[Val], s: Scope) -> Val:
     return Val(F.split(a.col, F.concat(F.lit("\\Q"), sep.col, F.lit("\\E"))), T.ArrayType(STRING, False), ok=ok)
 
 
-def similarity(a: str, b: str) -> float:
-    """1 less the unrestricted Damerau-Levenshtein distance over the longer length."""
-    if not a and not b:
-        return 1.0
-    last: dict[str, int] = {}
-    big = len(a) + len(b)
-    d = [[big] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
-    for i in range(1, len(a) + 1):
-        at = 0
-        for j in range(1, len(b) + 1):
-            i1, j1 = last.get(b[j - 1], 0), at
-            cost = 1
-            if a[i - 1] == b[j - 1]:
-                cost, at = 0, j
-            d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-        last[a[i - 1]] = i
-    return 1 - d[-1][-1] / max(len(a), len(b))
-
-
 def fuzzy_udf(many: bool) -> Callable:
-    """Arrow-batched; made here so that workers need no more than this function."""
+    """Arrow-batched; all that it needs is made here, so that workers needn't import this package."""
     import pandas as pd
 
+    def similarity(a: str, b: str) -> float:
+        """1 less the unrestricted Damerau-Levenshtein distance over the longer length."""
+        if not a and not b:
+            return 1.0
+        last: dict[str, int] = {}
+        big = len(a) + len(b)
+        d = [[big] * (len(b) + 2) for _ in range(len(a) + 2)]
+        for i in range(len(a) + 1):
+            d[i + 1][1] = i
+        for j in range(len(b) + 1):
+            d[1][j + 1] = j
+        for i in range(1, len(a) + 1):
+            at = 0
+            for j in range(1, len(b) + 1):
+                i1, j1 = last.get(b[j - 1], 0), at
+                cost = 1
+                if a[i - 1] == b[j - 1]:
+                    cost, at = 0, j
+                d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
+            last[a[i - 1]] = i
+        return 1 - d[-1][-1] / max(len(a), len(b))
+
     if many:
 
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
