@@ -11,7 +11,9 @@ next class's full length first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,6 +29,8 @@ from .common import CACHES, keep, pick, slices, tidy
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 500_000, 64
 MARKS = frozenset(".,;:!?")
+#: Code points beyond these have letters that compose with others or whose lower case depends on what follows.
+BEYOND = re.compile("[^\\0-\u012f]")
 #: A remainder is cut only while whole pieces of its length would waste more than this share of a sequence.
 WASTE, SMALL = 0.015, 128
 #: Offsets of (worker, class) are broadcast up to so many rows, else joined by a shuffle.
@@ -39,41 +43,45 @@ class WordIds:
     The tokenizer normalises white space away and never joins characters across
     it, so a text's ids are those of its chunks between spaces and line ends.
     Chunks repeat, so their ids are remembered; memory stays bounded. A chunk of
-    letters is one word whose last token alone has the end-of-word mark: new
-    ones are encoded together, in lower case, and told apart by that mark. A
-    mark of punctuation after letters is a word of its own.
+    Latin letters is one word whose last token alone has the end-of-word mark:
+    new ones are encoded together, in lower case and without normalisation or a
+    memory of the model's own, and told apart by that mark. A mark of
+    punctuation after letters is a word of its own.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
+        self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
-        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.ends[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
 
     def learn(self, new: set[str]) -> list[str]:
         """Add chunks to the known ones; returns those too long to be remembered."""
-        known, easy, hard, cores = self.known, [], [], set()
+        known, marked, hard, cores = self.known, [], [], set()
         for w in new:
-            low = w.lower()
-            if w.isalpha() and low.isalpha() and "Σ" not in w:
-                easy.append((w, low, ""))
-            elif w[-1] in MARKS and w[:-1].isalpha() and low[:-1].isalpha() and "Σ" not in w:
-                easy.append((w, low[:-1], w[-1]))
-                if w[-1] not in known:
-                    hard.append(w[-1])
-            else:
+            core, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
+            if not core.isalpha() or BEYOND.search(core):
                 hard.append(w)
                 continue
-            if easy[-1][1] not in known:
-                cores.add(easy[-1][1])
+            core = core.lower()
+            if core not in known:
+                cores.add(core)
+            if mark or core != w:
+                marked.append((w, core, mark))
+                if mark not in known:
+                    hard.append(mark)
         if cores:
             together = list(cores)
-            ids = np.array(self.tokenizer.encode(" ".join(together), add_special_tokens=False).ids, dtype="<u4")
+            ids = np.array(self.letters.encode_batch_fast([" ".join(together)], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(together):
                 raw, at = ids.tobytes(), 0
@@ -85,12 +93,13 @@ class WordIds:
         if hard:
             for w, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False), strict=True):
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        for w, core, mark in easy:
+        for w, core, mark in marked:
             known[w] = known[core] + known[mark]
         return [w for w in {*new, *cores} if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [t.replace("\n", " ").split(" ") for t in texts]
+        # lower case makes fewer different chunks
+        chunked = [(t if BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.old, self.known = self.known, {"": b""}
         new = set().union(*chunked).difference(self.known)
