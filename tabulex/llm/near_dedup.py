@@ -5,7 +5,8 @@ shingle times its mean word idf. Two documents' samples agree with a
 probability that is their weighted Jaccard similarity; samples are banded, and
 every document of a band's bucket is held against the bucket's representative
 on whole shingle sets. Buckets that still hold several components choose other
-representatives in later rounds, so pairs are never enumerated.
+representatives in later rounds, two of three times by shares that agree in a
+second band as well, so pairs are never enumerated.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from .shingles import mix, shingles, words_by_text
 
 BUCKETS_BITS = 18  # word frequencies are counted by hash: 2 MB, whatever the vocabulary
 BANDS, ROWS = 12, 3
-ROUNDS = 4
+#: Rounds of representatives at most; they end earlier once QUIET rounds in a row find no link.
+ROUNDS, QUIET = 8, 2
 #: The largest shingle weight from idf is 1 + IDF_SPAN times the smallest.
 IDF_SPAN = 1.0
 PIECE = 4096
@@ -222,8 +224,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     At a similarity of 0.8 a pair shares a bucket with probability 0.9998. In
     a bucket, documents are compared with a representative; a pair whose link
-    neither shows through it in one of the bands nor in ``ROUNDS`` rounds of
-    other representatives would be lost.
+    shows neither through it in one of the bands nor in the later rounds' other
+    representatives would be lost.
     """
     spark = docs.sparkSession
     table = pick(docs, text=text, doc_id=doc_id)
@@ -231,14 +233,21 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     values = spark.sparkContext.broadcast(word_values(max(1, n), frequencies))  # 2 MB
     signed = keep(signatures(table, values), "signatures")
     texts = signed.groupBy("digest").agg(F.first("keys").alias("keys"))
-    banded = texts.select("digest", F.posexplode("keys").alias("band", "key"))
+    banded = texts.select("digest", "keys", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = keep(banded.join(buckets, ["band", "key"]).select("band", "key", "digest"), "members")
+    members = keep(banded.join(buckets, ["band", "key"]).select("band", "key", "digest", "keys"), "members")
     sets = keep(features(table, members.select("digest").distinct(), values), "shingles")
     labels: DataFrame | None = None
     tested: DataFrame | None = None
+    quiet = 0
     for turn in range(ROUNDS):
-        own = members if labels is None else members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        if quiet == QUIET:
+            break
+        # similar texts meet in a second band far more often than texts that share one passage
+        second = F.element_at("keys", F.pmod(F.col("band") + turn, F.lit(BANDS)) + 1)
+        own = members.withColumn("key", F.xxhash64("key", second)) if turn % 3 else members
+        own = own.drop("keys")
+        own = own if labels is None else own.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         rank = F.struct((F.lit(0) if not turn else F.xxhash64(F.lit(turn), "band", "digest")).alias("r"), "digest", *([] if labels is None else ["label"]))
         split = [] if labels is None else [(F.min("label") != F.max("label")).alias("mixed")]
         chosen = own.groupBy("band", "key").agg(F.min(rank).alias("x"), *split)
@@ -251,11 +260,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if labels is None:
+                break
+            quiet += 1
+            continue
         edges = keep(verified(pairs, sets, threshold), "edges")
         tested = pairs if tested is None else tested.union(pairs)
         if labels is not None and edges.isEmpty():
+            quiet += 1
             continue
+        quiet = 0
         labels = components(edges, labels)
     # copies first, then the texts of a group in salted shares: a large group is no task's own
     texts = signed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("d"), F.count(F.lit(1)).alias("n")).select("digest", F.col("d.doc_id").alias("doc_id"), "n")
