@@ -37,6 +37,22 @@ WASTE, SMALL = 0.015, 128
 BROADCAST_ROWS = 500_000
 
 
+class Known(dict):
+    """Ids by chunk, in two generations; chunks that neither has are noted, and None for now."""
+
+    def __init__(self, old: dict[str, bytes]):
+        super().__init__({"": b""})
+        self.old, self.new = old, set()
+
+    def __missing__(self, w: str) -> bytes | None:
+        v = self.old.get(w)
+        if v is None:
+            self.new.add(w)
+        else:
+            self[w] = v
+        return v
+
+
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -59,8 +75,7 @@ class WordIds:
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
+        self.known = Known({})
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
 
@@ -98,20 +113,23 @@ class WordIds:
         return [w for w in {*new, *cores} if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known = Known(dict(self.known))  # a plain one, without what was noted before it
+        known = self.known
         # lower case makes fewer different chunks
         chunked = [(t if BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.old, self.known = self.known, {"": b""}
-        new = set().union(*chunked).difference(self.known)
-        again = new & self.old.keys()
-        self.known.update((w, self.old[w]) for w in again)
-        new -= again
-        long = self.learn(new) if new else ()
-        get = self.known.__getitem__
-        out = [b"".join(map(get, c)) for c in chunked]
-        for w in long:
-            del self.known[w]
-        return out
+        found = [list(map(known.__getitem__, c)) for c in chunked]
+        if known.new:
+            new, known.new = known.new, set()
+            long = self.learn(new)
+            for c, ids in zip(chunked, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = known[c[at]]
+            for w in long:
+                del known[w]
+        return list(map(b"".join, found))
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
