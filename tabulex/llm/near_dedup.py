@@ -149,8 +149,8 @@ def features(docs: DataFrame, wanted: DataFrame, values: Broadcast) -> DataFrame
             sets = [weighted(w, values.value) for w in words_by_text(lowered(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k].astype(kind).tobytes() for x in sets], pa.large_binary()).cast(pa.binary()) for k, kind in ((0, np.uint64), (1, np.float32)))], names=["digest", "h", "w"])
 
-    # copies meet here: any one of them stands for the text
-    one = docs.select(digest_of("text"), "text", "doc_id").join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min("text").alias("text"))
+    # copies are one text before they shuffle: a large group of them is no task's own
+    one = docs.select(digest_of("text"), "text").groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest", "left_semi")
     return one.mapInArrow(tidy(run), "digest binary, h binary, w binary")
 
 
@@ -233,9 +233,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     values = spark.sparkContext.broadcast(word_values(max(1, n), frequencies))  # 2 MB
     signed = keep(signatures(table, values), "signatures")
     texts = signed.groupBy("digest").agg(F.first("keys").alias("keys"))
-    banded = texts.select("digest", "keys", F.posexplode("keys").alias("band", "key"))
+    banded = texts.select("digest", F.posexplode("keys").alias("band", "key"))
     buckets = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = keep(banded.join(buckets, ["band", "key"]).select("band", "key", "digest", "keys"), "members")
+    members = keep(banded.join(buckets, ["band", "key"]).select("band", "key", "digest").join(texts, "digest").select("band", "key", "digest", "keys"), "members")
     sets = keep(features(table, members.select("digest").distinct(), values), "shingles")
     labels: DataFrame | None = None
     tested: DataFrame | None = None
