@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, keep, pick, slices, tidy
 
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 300_000, 64
 MARKS = frozenset(".,;:!?")
 #: Code points beyond these have letters that compose with others or whose lower case depends on what follows.
 BEYOND = re.compile("[^\\0-\u012f]")
@@ -131,6 +131,10 @@ class WordIds:
                 del known[w]
         return list(map(b"".join, found))
 
+    def forget(self) -> None:
+        """Give the memory of chunks back; a new one fills fast."""
+        self.known = Known({})
+
 
 _TOKENIZERS: dict[str, WordIds] = {}
 CACHES.append({"name": "packing", "held": _TOKENIZERS})
@@ -183,6 +187,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             cols = list(zip(*rows, strict=True)) or [()] * (9 if with_ids else 8)
             kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] + [pa.list_(pa.int32())] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[x.strip().split()[0] for x in PIECES.split(",")] + ["ids"] * with_ids)
+        word_ids(tokenizer).forget()  # idle workers hold it beside the next stage's
 
     return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), PIECES + ", ids array<int>" * with_ids)
 
