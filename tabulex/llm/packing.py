@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import CACHES, keep, pick, slices, tidy
 
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 500_000, 64
+CACHE_WORDS, CACHE_CHARS = 340_000, 64
 MARKS = frozenset(".,;:!?")
 #: Code points beyond these have letters that compose with others or whose lower case depends on what follows.
 BEYOND = re.compile("[^\\0-\u012f]")
