@@ -4,13 +4,14 @@ A document is the weighted set of its five-word shingles: the damped count of a
 shingle times its mean word idf. Two documents' samples agree with a
 probability that is their weighted Jaccard similarity; samples are banded, and
 every document of a band's bucket is held against the bucket's representative
-on whole shingle sets. Buckets that still hold several components choose other
-representatives in later rounds, two of three times by shares that agree in a
-second band as well, so pairs are never enumerated.
+on whole shingle sets. In buckets that hold several components after that, all
+pairs between components are settled: by bounds on weights and on common
+shingles, and the rest on whole sets. Large buckets are dealt to blocks for it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +26,8 @@ from .shingles import mix, shingles, words_by_text
 
 BUCKETS_BITS = 18  # word frequencies are counted by hash: 2 MB, whatever the vocabulary
 BANDS, ROWS = 12, 3
-#: Rounds of representatives at most; they end earlier once QUIET rounds in a row find no link.
-ROUNDS, QUIET = 8, 2
+#: Buckets of more than twice this many texts, or shingles, are dealt to cells of about so many; a block has two cells at most.
+CELL, CELL_SHINGLES = 500, 1_400_000
 #: The largest shingle weight from idf is 1 + IDF_SPAN times the smallest.
 IDF_SPAN = 1.0
 PIECE = 4096
@@ -147,11 +148,28 @@ def features(docs: DataFrame, wanted: DataFrame, values: Broadcast) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [weighted(w, values.value) for w in words_by_text(lowered(b.column(1)))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k].astype(kind).tobytes() for x in sets], pa.large_binary()).cast(pa.binary()) for k, kind in ((0, np.uint64), (1, np.float32)))], names=["digest", "h", "w"])
+            stored = [pa.array([x[k].astype(kind).tobytes() for x in sets], pa.large_binary()).cast(pa.binary()) for k, kind in ((0, np.uint64), (1, np.float32))]
+            whole = [float(x[1].astype(np.float32).astype(float).sum()) for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), *stored, pa.array([len(x[0]) for x in sets], pa.int64()), pa.array(whole, pa.float64())], names=["digest", "h", "w", "size", "whole"])
 
     # copies are one text before they shuffle: a large group of them is no task's own
     one = docs.select(digest_of("text"), "text").groupBy("digest").agg(F.min("text").alias("text")).join(wanted, "digest", "left_semi")
-    return one.mapInArrow(tidy(run), "digest binary, h binary, w binary")
+    return one.mapInArrow(tidy(run), "digest binary, h binary, w binary, size long, whole double")
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether two sets (sorted shingles, weights) have a weighted Jaccard similarity of ``threshold``."""
+    (xa, fa), (xb, fb) = a, b
+    at = np.searchsorted(xb, xa)
+    at[at == len(xb)] = 0
+    same = xb[at] == xa if len(xb) else np.zeros(len(xa), bool)
+    both = np.minimum(fa[same], fb[at[same]]).sum()
+    whole = fa.sum() + fb.sum() - both
+    return bool(whole > 0 and both >= threshold * whole - 1e-9)
+
+
+def read_set(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(h, np.uint64), np.frombuffer(w, np.float32).astype(float)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -161,14 +179,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for b in slices(batches):
             ok = []
             for ha, wa, hb, wb in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                xa, xb = np.frombuffer(ha, np.uint64), np.frombuffer(hb, np.uint64)
-                fa, fb = np.frombuffer(wa, np.float32).astype(float), np.frombuffer(wb, np.float32).astype(float)
-                at = np.searchsorted(xb, xa)
-                at[at == len(xb)] = 0
-                same = xb[at] == xa if len(xb) else np.zeros(len(xa), bool)
-                both = np.minimum(fa[same], fb[at[same]]).sum()
-                whole = fa.sum() + fb.sum() - both
-                ok.append(whole > 0 and both >= threshold * whole - 1e-9)
+                ok.append(alike(read_set(ha, wa), read_set(hb, wb), threshold))
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask)], names=["a", "b"])
 
@@ -177,6 +188,122 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return two.select("a", "b", "ha", "wa", "hb", "wb").mapInArrow(tidy(run), "a binary, b binary")
 
 
+def common_prefixes(sets: list[tuple[np.ndarray, np.ndarray]], threshold: float) -> np.ndarray:
+    """n x n: which pairs may reach ``threshold``; the others can't, as they share no shingle of their prefixes.
+
+    Shingles are ordered, the rarest of the block first. A set's prefix ends where
+    the shingles behind it weigh less than ``threshold`` of the set.
+    """
+    n = len(sets)
+    if n <= 8:
+        return np.ones((n, n), bool)
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    _, which, count = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    order = np.lexsort((which, count[which], owner))
+    owner, which = owner[order], which[order]
+    sums = np.cumsum(np.concatenate([w for _, w in sets])[order])
+    ends = sums[np.flatnonzero(np.r_[owner[1:] != owner[:-1], True])]
+    weight = np.diff(np.r_[0.0, ends])
+    behind = ends[owner] - np.r_[0.0, sums[:-1]]
+    mine = (behind >= threshold * weight[owner] - 1e-6) & (count[which] > 1)
+    owner, which = owner[mine], which[mine]
+    by = np.argsort(which, kind="stable")
+    owner, which = owner[by], which[by]
+    out = np.zeros((n, n), bool)
+    if not len(which):
+        return out
+    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
+    for lo, hi in zip(starts, np.r_[starts[1:], len(which)], strict=True):
+        if hi - lo > 1:
+            out[np.ix_(owner[lo:hi], owner[lo:hi])] = True
+    return out
+
+
+def block_links(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all components of a block which any eligible pair of it joins.
+
+    A row is (side, band, digest, label, keys, h, w, whole). Pairs are eligible
+    between different components, of different sides (side 2: any), and in the
+    first band whose bucket they share.
+    """
+    side, band, digest, label, keys, h, w, whole = zip(*rows, strict=True)
+    names = {x: i for i, x in enumerate(dict.fromkeys(label))}
+    own = np.array([names[x] for x in label])
+    sides, bands, k, weight = np.array(side), np.array(band), np.array(keys, np.int64), np.array(whole)
+    may = np.triu(own[:, None] != own, 1) & ((sides[:, None] != sides) | (sides == 2)) & (bands[:, None] == bands)
+    may &= np.minimum(weight[:, None], weight) >= threshold * np.maximum(weight[:, None], weight) - 1e-6
+    first = np.full(may.shape, -1, np.int16)
+    for i in reversed(range(k.shape[1])):
+        first[k[:, i][:, None] == k[:, i]] = i
+    may &= first == bands
+    if not may.any():
+        return []
+    sets = [read_set(a, b) for a, b in zip(h, w, strict=True)]
+    may &= common_prefixes(sets, threshold)
+    top = list(range(len(names)))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(may)), strict=True):
+        a, b = root(own[i]), root(own[j])
+        if a != b and alike(sets[i], sets[j], threshold):
+            top[a] = b
+            out.append((digest[i], digest[j]))
+    return out
+
+
+def links_between(members: DataFrame, sets: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join all components which pairs of a bucket join: no pair of a bucket is left out.
+
+    Buckets with several components go to blocks, small ones whole. The texts of
+    a large one are dealt to cells by weight and hash; texts whose weights are
+    two classes apart can't be similar, and all other pairs of cells are a block.
+    """
+    width = 1.001 * max(-math.log(max(threshold, 1e-9)), 0.01)
+    sized = sets.select("digest", "size", "whole", F.floor(F.log("whole") / width).cast("int").alias("c"))
+    own = members.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest")).join(sized, "digest")
+    most = F.greatest(F.count(F.lit(1)) / F.lit(CELL), F.sum("size") / F.lit(CELL_SHINGLES))
+    mixed = own.groupBy("band", "key").agg((F.min("label") != F.max("label")).alias("mixed"), F.when(most <= 2, 0).otherwise(F.ceil(most)).cast("int").alias("g")).where("mixed").drop("mixed")
+    s = F.pmod(F.xxhash64(F.lit(31), "digest"), F.col("g")).cast("int")
+
+    def cells(c1, s1, c2, s2, side):
+        return F.struct(F.xxhash64("band", "key", c1, s1, c2, s2).alias("block"), side.cast("int").alias("side"))
+
+    c, others = F.col("c"), F.sequence(F.lit(0), F.col("g") - 1)
+    within = F.transform(others, lambda t: cells(c, F.least(s, t), c, F.greatest(s, t), F.when(s == t, 2).when(s < t, 0).otherwise(1)))
+    above = F.transform(others, lambda t: cells(c, s, c + 1, t, F.lit(0)))
+    below = F.transform(others, lambda t: cells(c - 1, t, c, s, F.lit(1)))
+    one = F.array(F.struct(F.xxhash64("band", "key").alias("block"), F.lit(2).alias("side")))
+    dealt = own.join(mixed, ["band", "key"]).withColumn("x", F.explode(F.when(F.col("g") == 0, one).otherwise(F.concat(within, above, below))))
+    dealt = keep(dealt.select("x.block", "x.side", "band", "digest", "label", "keys"), "dealt")
+    used = dealt.groupBy("block").agg((F.min("label") != F.max("label")).alias("mixed"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("mixed and (hi = 2 or lo <> hi)").select("block")
+    full = dealt.join(used, "block").join(sets.select("digest", "h", "w", "whole"), "digest")
+    full = full.select("block", "side", "band", "digest", "label", "keys", "h", "w", "whole")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, at = [], None
+
+        def links() -> pa.RecordBatch:
+            found = block_links(rows, threshold) if len(rows) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.binary()), pa.array([max(x) for x in found], pa.binary())], names=["a", "b"])
+
+        for b in slices(batches):
+            for block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if block != at:
+                    yield links()
+                    rows, at = [], block
+                rows.append(tuple(row))
+        yield links()
+
+    parts = 8 * parallelism(members.sparkSession)
+    return full.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(tidy(run), "a binary, b binary").distinct()
+
+
 def components(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
     """node, label of every node of the edges: the smallest node that it is linked to.
 
@@ -222,10 +349,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     words are linked to equal ones only. A null doc_id sorts first. An empty
     table gives an empty result. Other columns are left out.
 
-    At a similarity of 0.8 a pair shares a bucket with probability 0.9998. In
-    a bucket, documents are compared with a representative; a pair whose link
-    shows neither through it in one of the bands nor in the later rounds' other
-    representatives would be lost.
+    At a similarity of 0.8 a pair shares a bucket with probability 0.9998. Of
+    the pairs that share one, none between different groups is left untested.
     """
     spark = docs.sparkSession
     table = pick(docs, text=text, doc_id=doc_id)
@@ -238,39 +363,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = keep(banded.join(buckets, ["band", "key"]).select("band", "key", "digest").join(texts, "digest").select("band", "key", "digest", "keys"), "members")
     sets = keep(features(table, members.select("digest").distinct(), values), "shingles")
     labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    quiet = 0
-    for turn in range(ROUNDS):
-        if quiet == QUIET:
-            break
-        # similar texts meet in a second band far more often than texts that share one passage
-        second = F.element_at("keys", F.pmod(F.col("band") + turn, F.lit(BANDS)) + 1)
-        own = members.withColumn("key", F.xxhash64("key", second)) if turn % 3 else members
-        own = own.drop("keys")
-        own = own if labels is None else own.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        rank = F.struct((F.lit(0) if not turn else F.xxhash64(F.lit(turn), "band", "digest")).alias("r"), "digest", *([] if labels is None else ["label"]))
-        split = [] if labels is None else [(F.min("label") != F.max("label")).alias("mixed")]
-        chosen = own.groupBy("band", "key").agg(F.min(rank).alias("x"), *split)
-        if labels is not None:
-            chosen = chosen.where("mixed")
-        joined = own.join(chosen.select("band", "key", F.col("x.digest").alias("rep"), *([] if labels is None else [F.col("x.label").alias("rep_label")])), ["band", "key"])
-        pairs = joined.where(F.col("digest") != F.col("rep") if labels is None else F.col("label") != F.col("rep_label"))
-        pairs = pairs.select(F.least("digest", "rep").alias("a"), F.greatest("digest", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        if pairs.isEmpty():
-            if labels is None:
-                break
-            quiet += 1
-            continue
-        edges = keep(verified(pairs, sets, threshold), "edges")
-        tested = pairs if tested is None else tested.union(pairs)
-        if labels is not None and edges.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        labels = components(edges, labels)
+    chosen = members.groupBy("band", "key").agg(F.min("digest").alias("rep"))
+    pairs = members.join(chosen, ["band", "key"]).where(F.col("digest") != F.col("rep"))
+    pairs = keep(pairs.select(F.col("rep").alias("a"), F.col("digest").alias("b")).distinct(), "pairs")
+    if not pairs.isEmpty():
+        labels = components(keep(verified(pairs, sets, threshold), "edges"), None)
+        more = keep(links_between(members, sets, labels, threshold), "edges")
+        if not more.isEmpty():
+            labels = components(more, labels)
     # copies first, then the texts of a group in salted shares: a large group is no task's own
     texts = signed.groupBy("digest").agg(F.min(F.struct("doc_id")).alias("d"), F.count(F.lit(1)).alias("n")).select("digest", F.col("d.doc_id").alias("doc_id"), "n")
     if labels is None:

@@ -156,6 +156,34 @@ def test_near_duplicates(spark):
         assert k == min(g) and [x["doc_id"] for x in own if x["keep"]] == [k] and {x["cluster_size"] for x in own} == {len(g)}
 
 
+@pytest.mark.parametrize("cell", [500, 5])
+def test_no_pair_of_a_crowded_bucket_is_lost(spark, monkeypatch, cell):
+    texts = near_texts(random.Random(12), 80)
+    real = near_dedup.signatures
+
+    def crowded(*args):
+        return real(*args).withColumn("keys", F.when(F.size("keys") > 0, F.array(*[F.lit(i).cast("long") for i in range(near_dedup.BANDS)])).otherwise(F.col("keys")))
+
+    monkeypatch.setattr(near_dedup, "signatures", crowded)
+    monkeypatch.setattr(near_dedup, "CELL", cell, raising=False)
+    groups = defaultdict(set)
+    for x in near_dedup.near_duplicates(table(spark, texts)).collect():
+        groups[x["cluster_id"]].add(x["doc_id"])
+    assert {frozenset(g) for g in groups.values()} == brute_groups(texts)
+
+
+def test_prefixes_lose_no_similar_pair():
+    r = np.random.default_rng(5)
+    sets = [(np.arange(i * 10, i * 10 + 10, dtype=np.uint64), np.ones(10)) for i in range(12)]
+    assert not near_dedup.common_prefixes(sets, 0.8).any()
+    for _ in range(20):
+        base = np.sort(r.choice(300, 40, replace=False)).astype(np.uint64)
+        crowd = [(np.unique(np.r_[base[: r.integers(30, 41)], r.choice(300, r.integers(0, 12)).astype(np.uint64)]), None) for _ in range(20)]
+        crowd = [(h, r.uniform(1, 2) + (h % np.uint64(7)).astype(float) / 20) for h, _ in crowd]
+        may = near_dedup.common_prefixes(crowd, 0.8)
+        assert all(may[i, j] for i in range(20) for j in range(i) if near_dedup.alike(crowd[i], crowd[j], 0.8))
+
+
 def test_near_dedup_keeps_one(spark):
     texts = near_texts(random.Random(9), 20)
     docs = table(spark, texts + texts[:5] + ["same"] * 3, ids=[*range(len(texts) + 5), None, None, None]).withColumn("keep", F.lit(1)).withColumn("TEXT2", F.lit("x"))
