@@ -21,7 +21,18 @@ from .common import find, keep, numbered, pick
 MAX_BUCKETS = 1 << 20
 
 
-def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None = None, seed: int = 17, bucket_bytes: int = 256 << 20, min_buckets: int = 16) -> DataFrame:
+def record_bytes(df: DataFrame):
+    """About the bytes of a record: strings and binaries by length, 8 for other plain columns, 64 for nested ones."""
+    size = F.lit(16).cast("long")
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        else:
+            size = size + F.lit(64 if isinstance(field.dataType, (T.ArrayType, T.StructType)) else 8)
+    return size
+
+
+def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None = None, seed: int = 17, bucket_bytes: int = 32 << 20, min_buckets: int = 16) -> DataFrame:
     """Deal all rows of ``df`` to ``shards`` shards in a seeded random order.
 
     Returns the columns of ``df`` with ``shard`` int and ``slot`` long appended;
@@ -30,21 +41,35 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
     permutation depends on the rows' contents, the seed and the bucket count,
     not on their order or partitions; equal rows are interchangeable.
 
-    ``bytes_column`` holds the size of a record (without it, 64 bytes each);
+    ``bytes_column`` holds the size of a record (without it, ``record_bytes``);
     there are as many buckets as keep a bucket near ``bucket_bytes``, and
-    ``min_buckets`` at least. Null columns hash like any value. An empty table
-    gives an empty result. Columns must be orderable (no maps).
+    ``min_buckets`` at least. A bucket is one row of an array for a while, so it
+    must fit a task's memory several times. Equal rows that would fill an eighth
+    of a bucket or more are dealt one by one to all buckets. Null columns hash
+    like any value. An empty table gives an empty result. Columns must be
+    orderable (no maps).
     """
     if shards < 1:
         raise ValueError("shards must be positive")
     names = df.columns
     n = numbered(df)
-    size = F.coalesce(F.col(f"c{find(df, bytes_column)}"), F.lit(0)) if bytes_column else F.lit(64)
-    total = n.agg(F.sum(size)).first()[0] or 0
-    buckets = min(max(min_buckets, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
+    size = F.coalesce(F.col(f"c{find(df, bytes_column)}"), F.lit(0)) if bytes_column else record_bytes(n)
     payload = [F.col(f"c{i}") for i in range(len(names))]
     h = F.xxhash64(F.lit(seed), *payload)
-    scattered = n.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.struct(h.alias("h"), F.struct(*payload).alias("row")).alias("r"))
+    total = n.agg(F.sum(size)).first()[0] or 0
+    buckets = min(max(min_buckets, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
+    record = F.struct(h.alias("h"), F.struct(*payload).alias("row")).alias("r")
+    scattered = n.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), record)
+    # fewer than 8 * total / bucket_bytes hashes: small enough to broadcast
+    heavy = keep(n.select(h.alias("heavy"), size.alias("b")).groupBy("heavy").agg(F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("b") >= bucket_bytes / 8)).select("heavy"), "heavy")
+    if not heavy.isEmpty():
+        heavy = F.broadcast(heavy)
+        rest = scattered.join(heavy, F.col("r.h") == F.col("heavy"), "left_anti")
+        copies = scattered.join(heavy, F.col("r.h") == F.col("heavy"), "left_semi").groupBy("r").agg(F.count(F.lit(1)).alias("n"))
+        some = F.lit(10000).cast("long")  # so many at a time: no long array
+        tens = copies.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / some))))
+        each = tens.withColumn("k", F.explode(F.sequence(F.col("j") * some + 1, F.least((F.col("j") + 1) * some, "n"))))
+        scattered = rest.unionByName(each.select(F.pmod(F.xxhash64(F.lit(seed), "r.h", "k"), F.lit(buckets)).cast("int").alias("bucket"), "r"))
     # one bucket to a partition, numbered alike: the seed of Fisher-Yates then depends on the bucket alone
     filled = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list("r")).alias("rows"))
     written = keep(filled.select("bucket", F.shuffle("rows", seed).alias("rows")), "buckets")
@@ -69,10 +94,13 @@ def write_shards(df: DataFrame, path: str, **options) -> None:
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 8 shards; a null text has no bytes and the checksum 0."""
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
-    rows = docs.select(
+    dealt = external_shuffle(docs, shards=8)
+    return dealt.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
     )
-    dealt = external_shuffle(rows, shards=8, bytes_column="size")
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

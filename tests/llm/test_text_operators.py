@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -12,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulex.llm import language_id, line_dedup, quality_rules, secret_scan
-from tabulex.llm.external_shuffle import external_shuffle
+from tabulex.llm import external_shuffle as sharding
+from tabulex.llm.external_shuffle import external_shuffle, write_shards
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -50,6 +52,33 @@ def test_sharding_awkward(spark):
     assert out.columns == [*clash.columns, "shard", "slot"] and out.count() == 40
 
 
+def test_sharding_moves_the_texts(spark, tmp_path, monkeypatch):
+    docs = table(spark, [f"t{i} é" * (i % 40) for i in range(150)] + AWKWARD)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    real, given = sharding.external_shuffle, []
+    monkeypatch.setattr(sharding, "external_shuffle", lambda df, **options: given.append(df.columns) or real(df, **options))
+    got = sharding.op6_sharding(spark, str(tmp_path)).collect()
+    assert given == [["doc_id", "text"]]
+    want = {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in docs.collect()}
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in got} == want and len(got) == len(want)
+    write_shards(docs, f"{tmp_path}/shards", shards=3)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(r[0] for r in back.groupBy("shard").count().select("count").collect()) == sorted(len(range(i, len(want), 3)) for i in range(3))
+    assert back.select(*docs.columns).exceptAll(docs).isEmpty() and back.count() == docs.count()
+
+
+def test_sharding_spreads_equal_rows(spark, monkeypatch):
+    df = table(spark, ["same " * 40] * 600 + [f"t{i}" for i in range(100)], ids=[1] * 600 + list(range(100)))
+    held, real = {}, sharding.keep
+    monkeypatch.setattr(sharding, "keep", lambda d, name: held.setdefault(name, real(d, name)))
+    first = external_shuffle(df, shards=4, bucket_bytes=16000).collect()
+    most = held["buckets"].select(F.max(F.size("rows"))).first()[0]
+    assert most < 200 and len(first) == 700 and len({(r["shard"], r["slot"]) for r in first}) == 700
+    held.clear()
+    again = external_shuffle(df.repartition(5), shards=4, bucket_bytes=16000).collect()
+    assert Counter(map(tuple, first)) == Counter(map(tuple, again)) and sum(r["text"] == "same " * 40 for r in first) == 600
+
+
 # -- line dedup
 
 
