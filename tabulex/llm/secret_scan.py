@@ -1,12 +1,11 @@
 """Secret scanning by a linear-chain conditional random field, beside fixed patterns.
 
-Tokens are runs of the characters that secrets are made of. A token of at least
-``LEAST`` characters with a digit is tagged secret-begin, secret-inside or
-outside; every other token can only be outside, so a text's best tagging falls
-apart at such tokens into short chains that are decoded one by one. Features
-are the token's shape, its neighbours and the text around it. The field is
-fitted on a bounded sample that the patterns label; half of the time it doesn't
-see the neighbours, so that it also knows secrets that nothing announces.
+Tokens are runs of the characters that secrets are made of. Each token is
+tagged secret-begin, secret-inside or outside; a line's tokens are one chain.
+Features are the token's shape, its neighbours and the text around it. The field
+is fitted on a bounded sample that the patterns label; half of the time it
+doesn't see the neighbours, so that it also knows secrets that nothing announces.
+Scores of tokens are kept by token, and the chains of many texts are decoded together.
 """
 
 from __future__ import annotations
@@ -15,8 +14,8 @@ import hashlib
 import math
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,9 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so shorter ones neve
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
-CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
-DIGITS = re.compile(r"[0-9][A-Za-z0-9+/_.=-]*")
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|\n")
+LETTERS = re.compile("[A-Za-z]+")
+#: Texts with such a token are sampled for the fit, and the lines around it.
 LEAST = 12
 DIM = 1 << 13
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
@@ -51,71 +51,74 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit and at least LEAST characters."""
-    out, end = [], 0
-    for m in DIGITS.finditer(text):
-        s = m.start()
-        while s > end and text[s - 1] in CHARS:
-            s -= 1
-        end = m.end()
-        if end - s >= LEAST:
-            out.append((s, end))
-    return out
-
-
-def chains(text: str, tokens: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-    """Tokens with no letter or digit between them stand in one chain."""
-    out: list[list[tuple[int, int]]] = []
-    for t in tokens:
-        if out and not any(c.isalnum() for c in text[out[-1][-1][1] : t[0]]):
-            out[-1].append(t)
+def chains(text: str) -> list[list[tuple[int, int]]]:
+    """The tokens of each line that has any."""
+    out: list[list[tuple[int, int]]] = [[]]
+    for m in TOKEN.finditer(text):
+        if m.group() == "\n":
+            out.append([])
         else:
-            out.append([t])
-    return out
+            out[-1].append(m.span())
+    return [c for c in out if c]
 
 
-def kind_of(c: str) -> str:
-    return "a" if "a" <= c <= "z" else "A" if "A" <= c <= "Z" else "9" if "0" <= c <= "9" else c
+#: Letters and digits by kind; signs stay.
+KIND = str.maketrans({c: k for k, x in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("9", "0123456789")) for c in x})
+REPEATS = re.compile(r"(.)\1+")
+HEXES, NUMBERS = frozenset("0123456789abcdef"), frozenset("0123456789.-+")
 
 
+@lru_cache(1 << 16)
 def spot(feature: str) -> int:
     return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIM
 
 
 def own_features(w: str) -> list[int]:
     """Of the token's shape."""
-    kinds = [kind_of(c) for c in w]
-    n = Counter("s" if k not in "aA9" else k for k in kinds)
-    shape = re.sub(r"(.)\1+", r"\1", "".join(kinds))
-    entropy = -sum(v / len(w) * math.log2(v / len(w)) for v in Counter(w).values())
-    switches = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / len(w)
-    hexed = all(c in "0123456789abcdef" for c in w)
+    kinds, used = w.translate(KIND), set(w)
+    n = {k: kinds.count(k) for k in "9Aa"}
+    n["s"] = len(w) - sum(n.values())
+    shape = REPEATS.sub(r"\1", kinds)
+    entropy = -sum(v / len(w) * math.log2(v / len(w)) for v in map(w.count, used))
+    switches = (len(shape) - 1) / len(w)
+    hexed = used <= HEXES
     return [
         spot(x)
         for x in (
             "bias",
             f"len{min(12, len(w) // 4)}",
             f"shape{shape[:6]}",
-            f"set{''.join(sorted(n))}",
+            f"set{''.join(k for k in n if n[k])}",
             f"digits{round(5 * n['9'] / len(w))}",
             f"upper{round(5 * n['A'] / len(w))}",
             f"signs{min(4, n['s'])}",
             f"entropy{round(2 * entropy)}",
             f"switch{round(8 * switches)}",
             f"hex{hexed}{len(w) >= 32}",
-            f"start{w[:4] if n['A'] else ''.join(kinds[:4])}",
-            f"number{n['9'] == len(w)}{set(w) <= set('0123456789.-+')}",
+            f"start{w[:4] if n['A'] else kinds[:4]}",
+            f"number{n['9'] == len(w)}{used <= NUMBERS}",
         )
     ]
 
 
-def around_features(text: str, s: int, e: int, file: list[int]) -> list[int]:
-    """Of the neighbouring words and signs, and of the file."""
-    left = re.findall(r"[A-Za-z]+", text[max(0, s - 40) : s].lower())[-2:]
-    right = re.findall(r"[A-Za-z]+", text[e : e + 20].lower())[:1]
-    sign = re.sub(r"[^=:\"'@$ ]", "", text[max(0, s - 4) : s])
-    return [spot(x) for x in (*(f"left{i}{w}" for i, w in enumerate(reversed(left))), *(f"right{w}" for w in right), f"sign{sign}", f"after{text[e : e + 1]}")] + file
+def sign_feature(before: str) -> int:
+    return spot("sign" + re.sub(r"[^=:\"'@$ ]", "", before))
+
+
+def around_features(text: str, tokens: list[tuple[int, int]], i: int, file: list[int]) -> list[int]:
+    """Of the neighbouring words and signs, and of the file: two words of tokens that end up to 40 characters before, one of a token that starts under 20 after."""
+    s, e = tokens[i]
+    left: list[str] = []
+    for j in range(i - 1, -1, -1):
+        if len(left) > 1 or s - tokens[j][1] > 40:
+            break
+        left += reversed(LETTERS.findall(text[slice(*tokens[j])].lower()))
+    right: list[str] = []
+    for j in range(i + 1, len(tokens)):
+        if right or tokens[j][0] - e >= 20:
+            break
+        right = LETTERS.findall(text[slice(*tokens[j])].lower())[:1]
+    return [*(spot(f"left{k}{w}") for k, w in enumerate(left[:2])), *(spot(f"right{w}") for w in right), sign_feature(text[max(0, s - 4) : s]), spot(f"after{text[e : e + 1]}"), *file]
 
 
 def file_features(text: str) -> list[int]:
@@ -191,27 +194,165 @@ class Field:
                 self.t -= rate * pair / np.sqrt(gt)
 
 
+#: Tokens of a training chain on either side of a token that makes it one.
+NEAR = 6
+
+
 def labelled(text: str) -> list[tuple[list[list[int]], list[list[int]], list[int]]]:
-    """Each chain of a text with tags by the patterns."""
-    spans = [(s, e) for s, _, e in patterns(text)]
-    out, file = [], file_features(text)
-    for chain in chains(text, candidates(text)):
+    """Stretches of a text's chains with tags by the patterns: around secrets and long tokens with a digit, and the start of one plain line.
+
+    Of an assignment its value is the secret.
+    """
+    low = text.lower()
+    spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] if any(h in low for h in HINTS) else []
+    spans += [(s, e) for s, k, e in patterns(text) if k]
+    file, plain = file_features(text), False
+    every = [t for chain in chains(text) for t in chain]
+    at = {t: i for i, t in enumerate(every)}
+    out = []
+    for chain in chains(text):
         tags, last = [], None
         for s, e in chain:
-            hit = next((x for x in spans if x[0] < e and s < x[1]), None)
+            hit = next((x for x in spans if x[0] < e and s < x[1]), None) if spans else None
             tags.append(OUTSIDE if hit is None else INSIDE if hit == last and tags[-1] != OUTSIDE else BEGIN)
             last = hit
-        out.append(([own_features(text[s:e]) for s, e in chain], [around_features(text, s, e, file) for s, e in chain], tags))
+        hot = [i for i, (s, e) in enumerate(chain) if tags[i] != OUTSIDE or (e - s >= LEAST and any("0" <= c <= "9" for c in text[s:e]))]
+        if not hot and plain:
+            continue
+        plain = plain or not hot
+        parts: list[list[int]] = []
+        for i in hot or [0]:
+            lo, hi = max(0, i - NEAR), min(len(chain), i + NEAR + 1)
+            if parts and lo <= parts[-1][1]:
+                parts[-1][1] = hi
+            else:
+                parts.append([lo, hi])
+        for lo, hi in parts:
+            out.append(([own_features(text[s:e]) for s, e in chain[lo:hi]], [around_features(text, every, at[t], file) for t in chain[lo:hi]], tags[lo:hi]))
     return out
 
 
-#: Rows with a candidate that the field is fitted on, at most about; chains taken of each.
+class Decoder:
+    """The best tags of whole texts; scores of tokens are kept for as many as HELD."""
+
+    HELD = 250_000
+
+    def __init__(self, field: Field):
+        self.field = field
+        self.ids: dict[str, int] = {}
+        self.table = np.zeros((1 << 10, 5, 3))  # own; last word as left0, as left1; the last but one as left1; first word as right
+        self.words = np.zeros(1 << 10, np.int64)
+        self.around: dict[tuple[str, str], int] = {}
+        self.near: list[np.ndarray] = []
+
+    def token(self, w: str) -> int:
+        i = self.ids[w] = len(self.ids)
+        if i == len(self.words):
+            self.table, self.words = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.words, np.zeros_like(self.words)])
+        weights = self.field.w
+        self.table[i] = 0
+        self.table[i, 0] = weights[own_features(w)].sum(axis=0)
+        letters = LETTERS.findall(w.lower())
+        self.words[i] = len(letters)
+        if letters:
+            self.table[i, 1] = weights[spot(f"left0{letters[-1]}")]
+            self.table[i, 2] = weights[spot(f"left1{letters[-1]}")]
+            self.table[i, 4] = weights[spot(f"right{letters[0]}")]
+        if len(letters) > 1:
+            self.table[i, 3] = weights[spot(f"left1{letters[-2]}")]
+        return i
+
+    def beside(self, key: tuple[str, str]) -> int:
+        i = self.around[key] = len(self.near)
+        self.near.append(self.field.w[sign_feature(key[0])] + self.field.w[spot(f"after{key[1]}")])
+        return i
+
+    def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
+        """(start, end, tag) of the tokens of each text that are not outside."""
+        if len(self.ids) > self.HELD:
+            self.ids.clear()
+        if len(self.near) > self.HELD:
+            self.around.clear()
+            self.near.clear()
+        ids, starts, ends, besides, lines, owner = [], [], [], [], [], []
+        own, beside, line = self.ids, self.around, 0
+        counts = []
+        for t in texts:
+            line += 1
+            before = len(ids)
+            for m in TOKEN.finditer(t):
+                w = m.group()
+                if w == "\n":
+                    line += 1
+                    continue
+                i = own.get(w)
+                ids.append(self.token(w) if i is None else i)
+                s, e = m.span()
+                key = (t[s - 4 if s > 4 else 0 : s], t[e : e + 1])
+                i = beside.get(key)
+                besides.append(self.beside(key) if i is None else i)
+                starts.append(s)
+                ends.append(e)
+                lines.append(line)
+            counts.append(len(ids) - before)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        n = len(ids)
+        if not n:
+            return out
+        tid, s, e, lines = np.array(ids), np.array(starts), np.array(ends), np.array(lines)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        file = np.array([self.field.w[file_features(t)].sum(axis=0) if c else np.zeros(3) for t, c in zip(texts, counts, strict=True)])
+        score = self.table[tid, 0] + np.array(self.near)[besides] + file[owner]
+        at, some = np.arange(n), self.words[tid] > 0
+        prev = np.r_[-1, np.maximum.accumulate(np.where(some, at, -1))[:-1]]
+        follow = np.r_[np.minimum.accumulate(np.where(some, at, n)[::-1])[::-1][1:], n]
+        ok = (prev >= 0) & (owner[prev] == owner) & (s - e[prev] <= 40)
+        score[ok] += self.table[tid[prev[ok]], 1]
+        two = ok & (self.words[tid[prev]] > 1)
+        score[two] += self.table[tid[prev[two]], 3]
+        older = prev[prev]
+        one = ok & ~two & (older >= 0) & (owner[older] == owner) & (s - e[older] <= 40)
+        score[one] += self.table[tid[older[one]], 2]
+        f = np.minimum(follow, n - 1)
+        ok = (follow < n) & (owner[f] == owner) & (s[f] - e < 20)
+        score[ok] += self.table[tid[f[ok]], 4]
+        tags = self.best(score, np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]]))
+        for i in np.flatnonzero(tags != OUTSIDE).tolist():
+            out[owner[i]].append((starts[i], ends[i], int(tags[i])))
+        return out
+
+    def best(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Viterbi of chains that start at ``first``, a step of all of them at once."""
+        n, t = len(score), self.field.t
+        size = np.diff(np.r_[first, n])
+        by = np.argsort(-size, kind="stable")
+        first, size = first[by], size[by]
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # chains longer than each step
+        best = t[OUTSIDE] + score[first]
+        back = np.zeros((n, 3), np.int8)
+        for k in range(1, size[0]):
+            a = active[k]
+            m = best[:a, :, None] + t
+            i = first[:a] + k
+            back[i] = m.argmax(axis=1)
+            best[:a] = m.max(axis=1) + score[i]
+        tag = (best + t[:, OUTSIDE]).argmax(axis=1)
+        tags = np.full(n, OUTSIDE, np.int8)
+        tags[first + size - 1] = tag
+        for k in range(size[0] - 1, 0, -1):
+            a = active[k]
+            i = first[:a] + k
+            tags[i - 1] = back[i, tags[i]]
+        return tags
+
+
+#: Rows that the field is fitted on, at most about; chains taken of each.
 SAMPLE, CHAINS = 5000, 50
 
 
 def learn(docs: DataFrame) -> Field:
-    """A field fitted on a sample of ``text``: about SAMPLE texts with a long token, CHAINS chains of each."""
-    long = docs.where(F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")).select("text")
+    """A field fitted on a sample of ``text``: about SAMPLE texts with a long token or a keyword, CHAINS chains of each."""
+    long = docs.where((F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")) | F.col("text").rlike("(?i)" + "|".join(HINTS))).select("text")
     n = long.count()
     h = F.xxhash64(F.lit(19), "text")
     chosen = long.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).withColumn("h", h)
@@ -245,25 +386,23 @@ def scan(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     at = find(docs, text)
     known = docs.sparkSession.sparkContext.broadcast(field)  # DIM * 3 weights
 
-    def spans_of(t: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        base = patterns(t)
-        more, file = [], None
-        for chain in chains(t, candidates(t)):
-            file = file or file_features(t)
-            tags = known.value.viterbi([own_features(t[s:e]) + around_features(t, s, e, file) for s, e in chain])
-            for (s, e), tag in zip(chain, tags, strict=True):
-                if tag == BEGIN:
-                    more.append([s, 3, e])
-                elif tag == INSIDE:
-                    more[-1][2] = e
+    def spans_of(t: str, tagged: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+        base, more = patterns(t), []
+        for s, e, tag in tagged:
+            if tag == BEGIN:
+                more.append([s, 3, e])
+            else:
+                more[-1][2] = e
         return base, [(s, k, e) for s, k, e in more if not any(a < e and s < z for a, _, z in base)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*KINDS, "crf")
-        for b in slices(batches):
+        decoder = Decoder(known.value)
+        for b in slices(batches, 256):
             counts, digests, spans = ([], [], []), [], []
-            for t in b.column(at).to_pylist():
-                base, more = spans_of(t or "")
+            texts = [t or "" for t in b.column(at).to_pylist()]
+            for t, tagged in zip(texts, decoder.decode(texts), strict=True):
+                base, more = spans_of(t, tagged)
                 for k in range(3):
                     counts[k].append(sum(x[1] == k for x in base))
                 digests.append(hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())

@@ -236,6 +236,29 @@ def test_field_finds_secrets_without_a_keyword(spark):
     assert secret_scan.scan(table(spark, []), secret_scan.learn(table(spark, []))).count() == 0
 
 
+def test_every_token_is_a_state_of_its_line(spark):
+    r = np.random.default_rng(4)
+    f = secret_scan.Field()
+    f.w = r.normal(size=f.w.shape)
+    f.t[:2] = r.normal(size=(2, 3))
+    bits = ["pwd", "Xy7kq2Lm9", "CorrectHorseBattery", "a.b-c", "12", "é", ":", " = ", "\n", " ", " ", "x" * 30, " " * 25, "\n\n"]
+    texts = ["".join(r.choice(bits) for _ in range(r.integers(0, 40))) for _ in range(60)] + ["", "\n"]
+    got = secret_scan.Decoder(f).decode(texts)
+    for t, tagged in zip(texts, got, strict=True):
+        lines, file, want = secret_scan.chains(t), secret_scan.file_features(t), []
+        every = [x for line in lines for x in line]
+        for line in lines:
+            tags = f.viterbi([secret_scan.own_features(t[s:e]) + secret_scan.around_features(t, every, every.index((s, e)), file) for s, e in line])
+            want += [(s, e, k) for (s, e), k in zip(line, tags, strict=True) if k != secret_scan.OUTSIDE]
+        assert tagged == want
+    f = secret_scan.Field()
+    f.w[secret_scan.spot("bias"), secret_scan.OUTSIDE] = 1
+    f.w[secret_scan.spot("left0pwd"), secret_scan.BEGIN] = 5
+    f.w[secret_scan.spot("left0passphrase"), secret_scan.BEGIN] = 5
+    rows = secret_scan.scan(table(spark, ["pwd: Xy7kq2Lm9", "passphrase = CorrectHorseBattery", "plain words"]), f).collect()
+    assert {x["doc_id"]: x["spans"] for x in rows} == {0: "crf:5:14", 1: "crf:11:12,crf:13:32", 2: ""}  # "=" is a token
+
+
 # -- language
 
 
