@@ -33,7 +33,7 @@ def letters() -> np.ndarray:
     """Whether a code point is a letter."""
     if not _LETTERS:
         table = np.zeros(0x110000, bool)
-        table[[i for i in range(0x30000) if unicodedata.category(chr(i))[0] == "L"]] = True
+        table[[i for i in range(0x110000) if unicodedata.category(chr(i))[0] == "L"]] = True
         _LETTERS.append(table)
     return _LETTERS[0]
 

@@ -299,6 +299,12 @@ def test_features_do_not_depend_on_company():
             assert f[at[i] : at[i + 1]].tolist() == g[bt[0] : bt[1]].tolist()
 
 
+def test_letters_of_all_planes():
+    table = language_id.letters()
+    assert table[[0x41, 0xE9, 0x4E00, 0x20000, 0x30000, 0x3134A, 0x31350, 0x323AF]].all()
+    assert not table[[0x20, 0x31, 0xD800, 0x1F600, 0xE0041, 0x10FFFF]].any()
+
+
 def test_temperature_calibrates():
     r = np.random.default_rng(0)
     rows = []
