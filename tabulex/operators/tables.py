@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..plans.compiler import Scope, compile_cell, compile_text, truth
 from ..plans.syntax import Node, RuleError, parse, parse_cell
-from ..plans.typed import Val, both, convert, null, placed, settled_type, solid, unify
+from ..plans.typed import EXACT, Val, both, convert, null, placed, settled_type, solid, unify
 from .stage import Inline, Stage
 
 #: From so many rows on, a table of plain tests becomes a broadcast join on one of its columns.
@@ -146,26 +148,33 @@ def collect_rows(rows: list[Row], outputs: list[dict]) -> Val:
 
 @dataclass
 class Plain:
-    """A cell that a join can test: one of some literals, or a range of numbers."""
+    """A cell that a join can test: one of some literals, or a range of numbers. Numbers are as exact as they were written."""
 
     values: list | None = None
-    low: float | None = None
-    high: float | None = None
+    low: Decimal | None = None
+    high: Decimal | None = None
     low_in: bool = False
     high_in: bool = False
 
 
+def constant(n: Node) -> object:
+    """The value of a literal node, numbers as written; None for anything else."""
+    if n.kind in ("str", "bool"):
+        return n.value
+    if n.kind == "num":
+        x = Decimal(n.value)
+        return x.quantize(Decimal("1.0")) if "e" in n.value.lower() and not x.as_tuple().exponent else x
+    if n.kind == "neg" and n.args[0].kind == "num":
+        return -constant(n.args[0])
+    return None
+
+
 def plain(node: Node) -> Plain | None:
     """The test of a parsed cell, if it is plain."""
 
-    def const(n: Node) -> object:
-        if n.kind == "str":
-            return n.value
-        if n.kind == "num":
-            return float(n.value)
-        if n.kind == "neg" and n.args[0].kind == "num":
-            return -float(n.args[0].value)
-        return None
+    def const(n: Node) -> str | Decimal | None:
+        c = constant(n)
+        return None if isinstance(c, bool) else c
 
     if node.kind != "bin":
         return None
@@ -180,31 +189,104 @@ def plain(node: Node) -> Plain | None:
     c = const(right)
     if node.value == "==" and c is not None:
         return Plain([c])
-    if isinstance(c, float) and node.value in ("<", "<=", ">", ">="):
+    if isinstance(c, Decimal) and node.value in ("<", "<=", ">", ">="):
         closed = node.value.endswith("=")
         return Plain(high=c, high_in=closed) if node.value[0] == "<" else Plain(low=c, low_in=closed)
     if node.value == "in" and right.kind == "array" and right.args and all(const(a) is not None for a in right.args):
         return Plain([const(a) for a in right.args])
     if node.value == "in" and right.kind == "interval" and right.value[0] in "[(" and right.value[1] in "])":
         low, high = (const(a) for a in right.args)
-        if isinstance(low, float) and isinstance(high, float):
+        if isinstance(low, Decimal) and isinstance(high, Decimal):
             return Plain(low=low, high=high, low_in=right.value[0] == "[", high_in=right.value[1] == "]")
     return None
 
 
+def numbers_of(tests: list[Plain]) -> list[Decimal]:
+    return [x for p in tests for x in [*(p.values or []), p.low, p.high] if isinstance(x, Decimal)]
+
+
+def fraction(x: Decimal) -> bool:
+    """Whether a number was written as one with a point or an exponent, which makes it a double."""
+    return x.as_tuple().exponent != 0
+
+
+LONGS, WHOLE = (-(2**63), 2**63 - 1), 2**53
+
+
+def as_exact(x: Decimal) -> Decimal | None:
+    """As the engine's exact type; None where it doesn't fit."""
+    with localcontext(prec=100):
+        y = x.quantize(Decimal(1).scaleb(-EXACT.scale), rounding=ROUND_HALF_UP)
+    return y if len(y.as_tuple().digits) <= EXACT.precision else None
+
+
+def key_type(kind: T.DataType, tests: list[Plain], exact: bool) -> T.DataType | None:
+    """The type in which a column is compared with its cells; None where one type can't do what the cells' own would.
+
+    Integers compare with integers exactly and with fractions by exact bounds;
+    doubles as doubles; decimals with integers as decimals and with fractions as
+    doubles.
+    """
+    numbers = numbers_of(tests)
+    if isinstance(kind, T.StringType):
+        return kind if not numbers else None
+    if any(isinstance(x, str) for p in tests for x in p.values or []):
+        return None
+    if exact:
+        return kind if kind == EXACT and all(as_exact(x) is not None for x in numbers) else None
+    mixed = {fraction(x) for x in numbers}
+    if not all(LONGS[0] < x <= LONGS[1] for x in numbers if not fraction(x)):
+        return None
+    if isinstance(kind, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        return T.LongType() if True not in mixed or all(abs(x) <= WHOLE for x in numbers) else None
+    if isinstance(kind, T.DoubleType):
+        return kind
+    if isinstance(kind, T.DecimalType):
+        if True not in mixed:
+            wide = unify([kind, T.LongType()])
+            return wide if wide.precision - wide.scale >= 19 else None
+        return T.DoubleType() if mixed == {True} else None
+    return None
+
+
+def typed_test(p: Plain, kind: T.DataType, exact: bool) -> Plain:
+    """A cell with its numbers in the column's type; ranges of integers become closed, values that no integer has go."""
+    if isinstance(kind, T.StringType):
+        return p
+    if isinstance(kind, T.LongType):
+        values = None if p.values is None else [int(x) for x in p.values if x == int(x)]
+        low = None if p.low is None else math.ceil(p.low) if p.low_in else math.floor(p.low) + 1
+        high = None if p.high is None else math.floor(p.high) if p.high_in else math.ceil(p.high) - 1
+        return Plain(values, low, high, True, True)
+    to = float if isinstance(kind, T.DoubleType) else as_exact if exact else Decimal
+    return Plain(None if p.values is None else [to(x) for x in p.values], None if p.low is None else to(p.low), None if p.high is None else to(p.high), p.low_in, p.high_in)
+
+
+def stored(text: str, v: Val) -> object:
+    """A literal output as a value of its own type; None if it isn't one or doesn't fit."""
+    c = constant(parse(text))
+    if not isinstance(c, Decimal):
+        return c
+    if v.type == EXACT:
+        return as_exact(c)
+    if isinstance(v.type, T.DoubleType):
+        return float(c)
+    return int(c) if LONGS[0] < c <= LONGS[1] else None
+
+
 def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
-    """A first-hit table as a broadcast join; None if its cells aren't plain.
+    """A first-hit table as a broadcast join; None if its cells aren't plain or no single type compares them as they are.
 
     The rules are grouped by the values of the most telling column: one row a
     value, with an array of that value's rules in order, so the join never
     multiplies rows and nothing shuffles. The rest of the tests picks the first
-    rule of the array.
+    rule of the array. The answers are those of the chain of conditions.
     """
     inputs, outputs, rules = content.get("inputs") or [], content.get("outputs") or [], content.get("rules") or []
-    if any(not str(c.get("field") or "").strip() for c in inputs) or any(c["field"].endswith("[]") for c in outputs):
+    if not inputs or any(not str(c.get("field") or "").strip() for c in inputs) or any(c["field"].endswith("[]") for c in outputs):
         return None
-    tests: list[dict[str, Plain]] = []
-    made: list[dict[str, object]] = []
+    written: list[dict[str, Plain]] = []
+    made: list[dict[str, tuple[object, T.DataType]]] = []
     for rule in rules:
         row = {}
         for c in inputs:
@@ -213,25 +295,30 @@ def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
                 if p is None:
                     return None
                 row[c["id"]] = p
-        tests.append(row)
+        written.append(row)
         out = {}
         for c in outputs:
             if text := cell(rule, c):
+                if constant(parse(text)) is None:
+                    return None
                 v = solid(compile_text(text, scope))
-                if not isinstance(v.const, (str, int, float, bool)):
+                x = stored(text, v)
+                if x is None:
                     return None
-                out[c["field"]] = v
+                out[c["field"]] = (x, v.type)
         made.append(out)
-    fields = field_values(inputs, scope, stage)
-
-    def fits(c: dict) -> bool:
-        """All of a column's tests are of its value's type."""
-        v = fields[c["id"]]
-        kind = float if v.number else str if v.string else None
-        return kind is not None and all(all(isinstance(x, kind) for x in p.values) if p.values else kind is float for t in tests if (p := t.get(c["id"])))
-
-    if not inputs or not all(fits(c) for c in inputs):
+    try:
+        kinds = {c["field"]: unify([o[c["field"]][1] for o in made if c["field"] in o]) for c in outputs if any(c["field"] in o for o in made)}
+    except RuleError:  # of types without a common one
         return None
+    fields = field_values(inputs, scope, stage)
+    compared: dict[str, T.DataType] = {}
+    for c in inputs:
+        kind = key_type(fields[c["id"]].type, [t[c["id"]] for t in written if c["id"] in t], scope.exact)
+        if kind is None:
+            return None
+        compared[c["id"]] = kind
+    tests = [{i: typed_test(p, compared[i], scope.exact) for i, p in t.items()} for t in written]
 
     def spread(c: dict) -> float:
         """The most rules that share a value of the column, with those that don't test it."""
@@ -239,7 +326,7 @@ def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
         free = 0
         for t in tests:
             p = t.get(c["id"])
-            if p is None or not p.values:
+            if p is None or p.values is None:
                 free += 1
             else:
                 for x in set(p.values):
@@ -249,42 +336,53 @@ def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
     key = min(inputs, key=spread)
     if spread(key) > len(rules) / 2:
         return None
-    kinds = {c["field"]: unify([o[c["field"]].type for o in made if c["field"] in o]) for c in outputs if any(c["field"] in o for o in made)}
-    names = {f: f"o{i}" for i, f in enumerate(kinds)}
-    number, text = T.DoubleType(), T.StringType()
-    rule_type = [T.StructField("at", T.IntegerType())]
-    for i, c in enumerate(inputs):
-        kind = number if fields[c["id"]].number else text
-        rule_type += [T.StructField(f"e{i}", T.ArrayType(kind)), T.StructField(f"l{i}", number), T.StructField(f"h{i}", number), T.StructField(f"li{i}", T.BooleanType()), T.StructField(f"hi{i}", T.BooleanType())]
-    rule_type += [T.StructField(names[f], k) for f, k in kinds.items()]
-    rule_type += [T.StructField(f"p{n}", T.BooleanType()) for n in names.values()]
-
-    def fit(x: object, k: T.DataType) -> object:
-        return float(x) if isinstance(k, T.DoubleType) and x is not None else x
 
-    def record(at: int) -> tuple:
-        row: list[object] = [at]
-        for c in inputs:
-            p = tests[at].get(c["id"]) or Plain()
-            row += [p.values, p.low, p.high, p.low_in, p.high_in]
-        row += [fit(made[at][f].const, k) if f in made[at] else None for f, k in kinds.items()]
-        return (*row, *(f in made[at] for f in kinds))
+    def tested(c: dict) -> Column:
+        """A column's value in the type of its tests; null where it can't be evaluated, so that no test passes."""
+        v = fields[c["id"]]
+        x = v.col.cast(compared[c["id"]])
+        return x if v.ok is None else F.when(v.ok, x)
 
     groups: dict[object, list[int]] = {}
     free: list[int] = []
     for at, t in enumerate(tests):
         p = t.get(key["id"])
-        if p is None or not p.values:
+        if p is None or p.values is None:
             free.append(at)
         else:
             for x in dict.fromkeys(p.values):
                 groups.setdefault(x, []).append(at)
+    # what a rule's record holds of each column; its key's values are the group's
+    names = {f: f"o{i}" for i, f in enumerate(kinds)}
+    parts: list[tuple[str, str, T.DataType]] = []
+    for i, c in enumerate(inputs):
+        used = [t[c["id"]] for t in tests if c["id"] in t]
+        if c is not key and any(p.values is not None for p in used):
+            parts.append((c["id"], f"e{i}", T.ArrayType(compared[c["id"]])))
+        for bound, closed in (("low", "low_in"), ("high", "high_in")):
+            if some := [p for p in used if getattr(p, bound) is not None]:
+                parts.append((c["id"], f"{bound}{i}", compared[c["id"]]))
+                if len({getattr(p, closed) for p in some}) > 1:
+                    parts.append((c["id"], f"{closed}{i}", T.BooleanType()))
+    kind_of = {n: k for _, n, k in parts}
+    rule_type = [T.StructField(n, k) for _, n, k in parts] + [T.StructField(names[f], k) for f, k in kinds.items()] + [T.StructField(f"p{n}", T.BooleanType()) for n in names.values()]
+    rule_type.append(T.StructField("at", T.IntegerType()))
+
+    def record(at: int) -> tuple:
+        row: list[object] = []
+        for column, n, _ in parts:
+            p = tests[at].get(column) or Plain()
+            row.append(getattr(p, "values" if n[0] == "e" else n.rstrip("0123456789")))
+        for f, k in kinds.items():
+            x = made[at][f][0] if f in made[at] else None
+            row.append(float(x) if isinstance(k, T.DoubleType) and x is not None else x)
+        return (*row, *(f in made[at] for f in kinds), at)
+
     array = T.ArrayType(T.StructType(rule_type))
     spark = stage.df.sparkSession
     tag = f"{Stage.PREFIX}rules{stage.n}"
-    table = spark.createDataFrame([(x, [record(i) for i in sorted(at + free)]) for x, at in groups.items()], T.StructType([T.StructField(f"{tag}_key", number if fields[key["id"]].number else text), T.StructField(tag, array)]))
-    value = fields[key["id"]]
-    stage.join(F.broadcast(table), (value.col.cast("double") if value.number else value.col) == F.col(f"{tag}_key"))  # as large as the document
+    table = spark.createDataFrame([(x, [record(i) for i in sorted(at + free)]) for x, at in groups.items()], T.StructType([T.StructField(f"{tag}_key", compared[key["id"]]), T.StructField(tag, array)]))
+    stage.join(F.broadcast(table), tested(key) == F.col(f"{tag}_key"))  # as large as the document
     candidates = F.col(tag)
     if free:
         rest = spark.createDataFrame([([record(i) for i in free],)], T.StructType([T.StructField(f"{tag}_free", array)]))
@@ -294,17 +392,17 @@ def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
     def passes(r: Column) -> Column:
         out = F.lit(True)
         for i, c in enumerate(inputs):
-            v = fields[c["id"]]
-            x = v.col.cast("double") if v.number else v.col
+            x = tested(c)
             used = [t[c["id"]] for t in tests if c["id"] in t]
-            if any(p.values for p in used):
+            if f"e{i}" in kind_of:
                 out = out & (r[f"e{i}"].isNull() | F.coalesce(F.array_contains(r[f"e{i}"], x), F.lit(False)))
-            if any(p.low is not None for p in used):
-                out = out & (r[f"l{i}"].isNull() | F.coalesce((x > r[f"l{i}"]) | (r[f"li{i}"] & (x == r[f"l{i}"])), F.lit(False)))
-            if any(p.high is not None for p in used):
-                out = out & (r[f"h{i}"].isNull() | F.coalesce((x < r[f"h{i}"]) | (r[f"hi{i}"] & (x == r[f"h{i}"])), F.lit(False)))
-            if v.ok is not None:
-                out = out & F.coalesce(v.ok, F.lit(False))
+            for bound, closed, strict, loose in (("low", "low_in", Column.__gt__, Column.__ge__), ("high", "high_in", Column.__lt__, Column.__le__)):
+                n = f"{bound}{i}"
+                if n not in kind_of:
+                    continue
+                some = {getattr(p, closed) for p in used if getattr(p, bound) is not None}
+                inside = strict(x, r[n]) | (r[f"{closed}{i}"] & (x == r[n])) if len(some) > 1 else (loose if True in some else strict)(x, r[n])
+                out = out & (r[n].isNull() | F.coalesce(inside, F.lit(False)))
         return out
 
     hit = stage.column(F.get(F.filter(candidates, passes), F.lit(0)))

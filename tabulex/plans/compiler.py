@@ -270,7 +270,7 @@ def within(a: Val, b: Val) -> Val:
     if b.array:
         a = typed_like(a, b.type.elementType)
         ok = both(a.ok, b.ok, given(b))
-        if isinstance(b.const, list):
+        if isinstance(b.const, list) and not isinstance(b.type.elementType, T.DecimalType):
             items = [literal(x) for x in b.const]
             fit = [x for x in items if not x.nothing and (x.number and a.number or x.string and a.string or x.boolean and a.boolean)]
             col = a.col.isin(*[x.const for x in fit]) if fit else F.lit(False)

@@ -191,6 +191,42 @@ def table_indexed(spark: SparkSession, d: str) -> DataFrame:
     return apply(read(spark, d, "part"), doc).select("p_partkey", "code", F.col("rate").cast("long").alias("rate"))
 
 
+FAR = 9007199254740992  # 2^53: beyond it doubles skip integers
+
+
+def exact_rules() -> list[tuple]:
+    """A rule for each of 250 far integers, some held to prices; then ranges of prices for all."""
+    rules = [(str(FAR + i), ["", "> 1500.25", "[1100.1..1800.9)"][i % 3], str(FAR + 3 * i), f"{i}.1") for i in range(250)]
+    return [*rules, (f"> {FAR + 100}", "< 1200.5", str(FAR - 1), "0.3"), ("", "", "-1", "0.7")]
+
+
+def exact_sql() -> str:
+    def test(k: str, price: str) -> str:
+        parts = [] if not k else [f"k {k}"] if k[0] == ">" else [f"k = {k}"]
+        if price.startswith("["):
+            parts.append("p >= 1100.1 AND p < 1800.9")
+        elif price:
+            parts.append(f"p {price}")
+        return " AND ".join(parts) or "true"
+
+    rules = exact_rules()
+    code = "CASE " + " ".join(f"WHEN {test(k, p)} THEN {c}" for k, p, c, _ in rules) + " END"
+    rate = "CASE " + " ".join(f"WHEN {test(k, p)} THEN CAST('{r}' AS DECIMAL(28, 10))" for k, p, _, r in rules) + " END"
+    return f"""
+SELECT p_partkey, ({code})::BIGINT AS code, ({code})::VARCHAR || '.0000000000' AS exact_code, ({rate})::VARCHAR AS exact_rate
+FROM (SELECT p_partkey, {FAR}::BIGINT + (p_partkey % 260)::BIGINT AS k, CAST(p_retailprice AS DECIMAL(18, 2)) AS p FROM part)"""
+
+
+@query("table_indexed_exact", exact_sql())
+def table_indexed_exact(spark: SparkSession, d: str) -> DataFrame:
+    """A table joined on integers that doubles can't tell apart, in native and in exact numbers."""
+    doc = table_doc(["k", "p"], ["code", "rate"], exact_rules())
+    part = read(spark, d, "part").select("p_partkey", (F.lit(FAR) + F.col("p_partkey") % 260).cast("long").alias("k"), F.col("p_retailprice").cast("decimal(18, 2)").alias("p"))
+    native = apply(part, doc).select("p_partkey", "k", "p", "code")
+    both = apply(native, doc, exact=True, into="e")
+    return both.select("p_partkey", "code", F.col("e.code").cast("string").alias("exact_code"), F.col("e.rate").cast("string").alias("exact_rate"))
+
+
 @query("table_error_skips_row", """
 SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' AND regexp_full_match(substr(c_name, 10), '\\d+') THEN CAST(substr(c_name, 10) AS DOUBLE) ELSE -1.0 END AS n FROM customer""")
 def table_error(spark: SparkSession, d: str) -> DataFrame:

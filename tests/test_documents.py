@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabulex import CachedSource, CallableSource, DirectorySource, Engine, MemorySource, RuleError, ZipSource
 from tabulex.operators import tables
-from tabulex.queries import apply, expressions, graph, model, policy, switch, table_content, table_doc
+from tabulex.queries import QUERIES, apply, expressions, graph, model, policy, switch, table_content, table_doc
 from tabulex.sources.loaders import NoSource, source_from
 from tabulex.streaming import write_scored
 
@@ -38,6 +38,56 @@ def test_join_and_chain_agree(spark, monkeypatch):
         assert sorted(rows(chain), key=str) == sorted(rows(joined), key=str), trial
 
 
+TABLES = [q for q in QUERIES if q.startswith("table_")]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_registered_tables_agree_in_both_forms(spark, name, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tables, "JOIN_ROWS", 10**9)
+    chain = sorted(rows(QUERIES[name](spark, d)), key=str)
+    monkeypatch.setattr(tables, "JOIN_ROWS", 1)
+    assert sorted(rows(QUERIES[name](spark, d)), key=str) == chain
+
+
+NUMBER_COLUMNS = {"long": [None, -1, 0, 5, 2**53, 2**53 + 1, 2**63 - 1], "double": [None, -0.0, 5.0, 2.5, float(2**53), float("nan")], "decimal(18,2)": [None, "0.10", "2.50", "5.00"], "int": [None, -1, 5, 7], "float": [None, 0.1, 5.0]}
+LITERALS = ["5", "5.0", "2.5", "-1", "0.1", "0", "9007199254740992", "9007199254740993", "9223372036854775807", "9007199254740993.0", "1e0", "25e-1"]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+@pytest.mark.parametrize("kind", NUMBER_COLUMNS)
+def test_join_compares_numbers_as_the_chain_does(spark, kind, exact, monkeypatch):
+    """Random cells over each number type; whichever form is taken, the first rule hit is the same."""
+    r = random.Random(len(kind) + exact)
+    values = NUMBER_COLUMNS[kind]
+    few = [x for x in values if not (exact and x is not None and (x != x or abs(float(x)) > 1e17))]
+    df = spark.createDataFrame([(i, None if v is None else str(v), k) for i, (v, k) in enumerate((v, k) for v in few for k in ("a", "b", None))], "i long, v string, k string").select("i", F.col("v").cast(kind).alias("v"), "k")
+    literals = [x for x in LITERALS if not exact or len(x) < 18]
+    for trial in range(2):
+        pool = literals if trial else [x for x in literals if not set(x) & set(".e")]
+        made = []
+        for i in range(30):
+            a, b = r.choice(pool), r.choice(pool)
+            test = r.choice([a, a, a, f"{a}, {b}", f"> {a}", f"<= {a}", f"({a}..{b}]", f">= {a}", f"< {a}"])
+            made.append((test, r.choice(["'a'", "'b'", "", ""]), f"'r{i}'", r.choice(["1", "2.5", "0.1"])))
+        doc = table_doc(["v", "k"], ["code", "rate"], [*made, ("", "'a'", "'last'", "7")])
+        monkeypatch.setattr(tables, "JOIN_ROWS", 10**9)
+        chain = sorted(rows(apply(df, doc, exact=exact).select("i", "code", F.col("rate").cast("string"))))
+        monkeypatch.setattr(tables, "JOIN_ROWS", 1)
+        assert sorted(rows(apply(df, doc, exact=exact).select("i", "code", F.col("rate").cast("string")))) == chain, (trial, made)
+
+
+def test_join_where_a_field_fails(spark, monkeypatch):
+    """A field that can't be evaluated fails the rules that test it and no others."""
+    df = spark.createDataFrame([(1, "7"), (2, "x"), (3, None)], "i long, s string")
+    doc = table_doc(["number(s)", "i"], ["code"], [("7", "", "'seven'"), ("", "2", "'two'"), ("8", "", "'eight'"), ("", "3", "'three'"), *[(str(x), "", "'far'") for x in (20, 21, 22, 23)]])
+    chain = rows(apply(df, doc).select("i", "code"))
+    monkeypatch.setattr(tables, "JOIN_ROWS", 1)
+    joined = apply(df, doc).select("i", "code")
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    assert sorted(rows(joined)) == sorted(chain) == [(1, "seven"), (2, "two"), (3, "three")]
+
+
 def test_table_details(spark):
     df = spark.createDataFrame([(1, "x"), (5, None), (9, "y")], "n long, s string")
     # an empty output cell leaves the input's value; an output that fails lets the next row try
