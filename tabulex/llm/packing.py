@@ -37,22 +37,6 @@ WASTE, SMALL = 0.015, 128
 BROADCAST_ROWS = 500_000
 
 
-class Known(dict):
-    """Ids by chunk, in two generations; chunks that neither has are noted, and None for now."""
-
-    def __init__(self, old: dict[str, bytes]):
-        super().__init__({"": b""})
-        self.old, self.new = old, set()
-
-    def __missing__(self, w: str) -> bytes | None:
-        v = self.old.get(w)
-        if v is None:
-            self.new.add(w)
-        else:
-            self[w] = v
-        return v
-
-
 class WordIds:
     """Token ids of texts as little-endian 32-bit bytes.
 
@@ -75,7 +59,8 @@ class WordIds:
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
         self.letters = Tokenizer(models.BPE(vocab=model["vocab"], merges=pairs, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known = Known({})
+        self.known: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.ends[[i for w, i in model["vocab"].items() if w.endswith(model["end_of_word_suffix"])]] = True
 
@@ -83,8 +68,13 @@ class WordIds:
         """Add chunks to the known ones; returns those too long to be remembered."""
         known, marked, hard, cores = self.known, [], [], set()
         for w in new:
-            core, mark = (w[:-1], w[-1]) if w[-1] in MARKS else (w, "")
-            if not core.isalpha() or BEYOND.search(core):
+            core, mark = w, ""
+            if not w.isalpha():
+                core, mark = w[:-1], w[-1]
+                if mark not in MARKS or not core.isalpha():
+                    hard.append(w)
+                    continue
+            if not core.isascii() and BEYOND.search(core):
                 hard.append(w)
                 continue
             core = core.lower()
@@ -110,30 +100,28 @@ class WordIds:
                 known[w] = np.array(e.ids, dtype="<u4").tobytes()
         for w, core, mark in marked:
             known[w] = known[core] + known[mark]
-        return [w for w in {*new, *cores} if len(w) > CACHE_CHARS]
+        return [w for w in (*new, *cores) if len(w) > CACHE_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHE_WORDS:
-            self.known = Known(dict(self.known))  # a plain one, without what was noted before it
-        known = self.known
-        # lower case makes fewer different chunks
-        chunked = [(t if BEYOND.search(t) else t.lower()).replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(known.__getitem__, c)) for c in chunked]
-        if known.new:
-            new, known.new = known.new, set()
-            long = self.learn(new)
-            for c, ids in zip(chunked, found, strict=True):
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    ids[at] = known[c[at]]
-            for w in long:
-                del known[w]
-        return list(map(b"".join, found))
+            self.known, self.old = {"": b""}, self.known
+        known, old = self.known, self.old
+        # lower case makes fewer different chunks; special tokens are matched before it, so their look-alikes stay as they are
+        chunked = [(t if BEYOND.search(t) or "<|" in t else t.lower()).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*chunked).difference(known)
+        if old and new:
+            again = [w for w in new if w in old]
+            known.update(zip(again, map(old.__getitem__, again), strict=True))
+            new.difference_update(again)
+        long = self.learn(new) if new else []
+        out = [b"".join(map(known.__getitem__, c)) for c in chunked]
+        for w in long:
+            known.pop(w, None)
+        return out
 
     def forget(self) -> None:
         """Give the memory of chunks back; a new one fills fast."""
-        self.known = Known({})
+        self.known, self.old = {"": b""}, {}
 
 
 _TOKENIZERS: dict[str, WordIds] = {}
@@ -174,6 +162,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
         for b in slices(batches):
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             rows: list[tuple] = []
+            parts: list[bytes] = []
             for lo in range(0, len(texts), batch):
                 for doc, ids in zip(doc_ids[lo : lo + batch], ids_of([t or "" for t in texts[lo : lo + batch]]), strict=True):
                     ids += end
@@ -182,11 +171,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
                         part = ids[4 * start : 4 * (start + length)]
                         at = counts.get(k, 0)
                         counts[k] = at + 1
-                        rows.append((doc, start, length, zlib.crc32(part), n, k, worker, at) + ((np.frombuffer(part, dtype="<u4").astype(np.int32),) if with_ids else ()))
+                        rows.append((doc, start, length, zlib.crc32(part), n, k, worker, at))
+                        if with_ids:
+                            parts.append(part)
                         start += length
-            cols = list(zip(*rows, strict=True)) or [()] * (9 if with_ids else 8)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()] + [pa.list_(pa.int32())] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=[x.strip().split()[0] for x in PIECES.split(",")] + ["ids"] * with_ids)
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int64()]
+            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+            yield pa.RecordBatch.from_arrays(arrays, names=[x.strip().split()[0] for x in PIECES.split(",")] + ["ids"] * with_ids)
         word_ids(tokenizer).forget()  # idle workers hold it beside the next stage's
 
     return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), PIECES + ", ids array<int>" * with_ids)

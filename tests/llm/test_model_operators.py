@@ -394,6 +394,30 @@ def test_packing_round_trip(spark):
     assert used / (2048 * len(sequences)) > 0.9
 
 
+def test_special_tokens_keep_their_case(spark):
+    """The tokenizer knows its special tokens in lower case only, before it lowers a text."""
+    from tokenizers import Tokenizer
+
+    r = random.Random(5)
+    bits = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "<|STARTOFTEXT|>", "<|", "|>", "word", "Word,", ".", " ", "\n", "É", "x<|endoftext|>Y"]
+    texts = ["".join(r.choices(bits, k=r.randint(1, 12))) for _ in range(300)] + ["a long Text <|EndOfText|> " * 20000]
+    tokenizer, own = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+    for lo in (0, 0, 150):  # known chunks too
+        for t, ids in zip(texts[lo:], own.encode(texts[lo:]), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_chunks_are_forgotten_and_found_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 5)
+    tokenizer, own = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+    for turn in range(40):
+        texts = [" ".join(f"w{(turn // k) % 9}a. B{k} " + "z" * 90 for k in range(1, 6))]
+        assert np.frombuffer(own.encode(texts)[0], "<u4").tolist() == tokenizer.encode(texts[0], add_special_tokens=False).ids
+        assert len(own.known) < 60
+
+
 def test_packing_awkward(spark):
     assert packing.pack(table(spark, []), TOKENIZER).count() == 0
     out = packing.pack(table(spark, ["same"] * 9, ids=[None] * 9), TOKENIZER).collect()
