@@ -5,24 +5,27 @@ tagged secret-begin, secret-inside or outside; a line's tokens are one chain.
 Features are the token's shape, its neighbours and the text around it. The field
 is fitted on a bounded sample that the patterns label; half of the time it
 doesn't see the neighbours, so that it also knows secrets that nothing announces.
-Scores of tokens are kept by token, and the chains of many texts are decoded together.
+
+Tokens and features of many texts are made by array operations on their bytes.
+Viterbi is exact but short: a token whose outside score leads by more than any
+transitions could make up is outside on every best path, and the chain falls
+into independent parts there.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, pick, slices, tidy
+from .common import find, numbered, pick, reach, slices, tidy
+from .shingles import mix
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -31,12 +34,12 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so shorter ones neve
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+|\n")
-LETTERS = re.compile("[A-Za-z]+")
-#: Texts with such a token are sampled for the fit, and the lines around it.
+#: Texts with a token of so many bytes that has a digit are sampled for the fit, and the stretch around it.
 LEAST = 12
-DIM = 1 << 13
+DIM = 1 << 14  # features by hash; row DIM of the weights is that of no feature
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
+#: Bytes whose tokens are made together, and of texts that are decoded together.
+BLOCK = 1 << 20
 
 
 def patterns(text: str) -> list[tuple[int, int, int]]:
@@ -51,94 +54,177 @@ def patterns(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def chains(text: str) -> list[list[tuple[int, int]]]:
-    """The tokens of each line that has any."""
-    out: list[list[tuple[int, int]]] = [[]]
-    for m in TOKEN.finditer(text):
-        if m.group() == "\n":
-            out.append([])
-        else:
-            out[-1].append(m.span())
-    return [c for c in out if c]
-
-
-#: Letters and digits by kind; signs stay.
-KIND = str.maketrans({c: k for k, x in (("a", "abcdefghijklmnopqrstuvwxyz"), ("A", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("9", "0123456789")) for c in x})
-REPEATS = re.compile(r"(.)\1+")
-HEXES, NUMBERS = frozenset("0123456789abcdef"), frozenset("0123456789.-+")
-
-
-@lru_cache(1 << 16)
-def spot(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % DIM
-
-
-def own_features(w: str) -> list[int]:
-    """Of the token's shape."""
-    kinds, used = w.translate(KIND), set(w)
-    n = {k: kinds.count(k) for k in "9Aa"}
-    n["s"] = len(w) - sum(n.values())
-    shape = REPEATS.sub(r"\1", kinds)
-    entropy = -sum(v / len(w) * math.log2(v / len(w)) for v in map(w.count, used))
-    switches = (len(shape) - 1) / len(w)
-    hexed = used <= HEXES
-    return [
-        spot(x)
-        for x in (
-            "bias",
-            f"len{min(12, len(w) // 4)}",
-            f"shape{shape[:6]}",
-            f"set{''.join(k for k in n if n[k])}",
-            f"digits{round(5 * n['9'] / len(w))}",
-            f"upper{round(5 * n['A'] / len(w))}",
-            f"signs{min(4, n['s'])}",
-            f"entropy{round(2 * entropy)}",
-            f"switch{round(8 * switches)}",
-            f"hex{hexed}{len(w) >= 32}",
-            f"start{w[:4] if n['A'] else kinds[:4]}",
-            f"number{n['9'] == len(w)}{used <= NUMBERS}",
-        )
-    ]
-
-
-def sign_feature(before: str) -> int:
-    return spot("sign" + re.sub(r"[^=:\"'@$ ]", "", before))
-
-
-def around_features(text: str, tokens: list[tuple[int, int]], i: int, file: list[int]) -> list[int]:
-    """Of the neighbouring words and signs, and of the file: two words of tokens that end up to 40 characters before, one of a token that starts under 20 after."""
-    s, e = tokens[i]
-    left: list[str] = []
-    for j in range(i - 1, -1, -1):
-        if len(left) > 1 or s - tokens[j][1] > 40:
-            break
-        left += reversed(LETTERS.findall(text[slice(*tokens[j])].lower()))
-    right: list[str] = []
-    for j in range(i + 1, len(tokens)):
-        if right or tokens[j][0] - e >= 20:
-            break
-        right = LETTERS.findall(text[slice(*tokens[j])].lower())[:1]
-    return [*(spot(f"left{k}{w}") for k, w in enumerate(left[:2])), *(spot(f"right{w}") for w in right), sign_feature(text[max(0, s - 4) : s]), spot(f"after{text[e : e + 1]}"), *file]
-
-
-def file_features(text: str) -> list[int]:
-    n = max(1, len(text))
-    return [spot(f"file=:{min(5, int(200 * (text.count('=') + text.count('{')) / n))}"), spot(f"file len{min(8, n.bit_length() // 2)}")]
+
+#: Kinds of bytes: none of a token's, a-z, A-Z, 0-9, signs.
+KIND = np.zeros(256, np.uint8)
+KIND[ord("a") : ord("z") + 1], KIND[ord("A") : ord("Z") + 1], KIND[ord("0") : ord("9") + 1] = 1, 2, 3
+KIND[list(b"+/_.=-")] = 4
+HEXES, NUMBERS = np.zeros(256, bool), np.zeros(256, bool)
+HEXES[list(b"0123456789abcdef")] = NUMBERS[list(b"0123456789.-+")] = True
+#: Signs that tell something before a token.
+SIGN = np.zeros(256, np.int64)
+SIGN[list(b"=:\"'@$ ")] = range(1, 8)
+with np.errstate(over="ignore"):
+    POWERS = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15 | 1, np.uint64))
+
+OWN = ("bias", "length", "shape", "set", "digits", "upper", "signs", "distinct", "varied", "switches", "hex", "start", "number")
+AROUND = ("left", "left but one", "right", "sign", "after", "file signs", "file length")
+FEATURES = {name: i for i, name in enumerate(OWN + AROUND)}
+
+
+def spot(feature: str, value: np.ndarray) -> np.ndarray:
+    """The weights' rows of a feature's values."""
+    return (mix(np.asarray(value).astype(np.uint64) ^ np.uint64(FEATURES[feature] << 56)) % np.uint64(DIM)).astype(np.int64)
+
+
+def run_hashes(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes; the runs lie in ``data`` one after another."""
+    if not len(length):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(length) - length
+    at = (np.arange(len(data)) - np.repeat(first, length)) & 1023
+    return mix(np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * POWERS[at], first) + length.astype(np.uint64))
+
+
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.flatnonzero(np.diff(mask.view(np.int8), prepend=0, append=0))
+    return edge[::2], edge[1::2]
+
+
+def own_features(data: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of the shapes of tokens, whose bytes lie in ``data`` one after another: a row for each, a column for each of OWN."""
+    n, kind = len(length), KIND[data]
+    first = np.cumsum(length) - length
+    who = np.repeat(np.arange(n), length)
+    at = np.arange(len(data)) - first[who]
+    count = {k: np.bincount(who[kind == k], minlength=n) for k in (1, 2, 3, 4)}
+    low = np.bitwise_or.reduceat(np.where(data < 64, np.uint64(1) << (data & 63).astype(np.uint64), np.uint64(0)), first)
+    high = np.bitwise_or.reduceat(np.where(data >= 64, np.uint64(1) << (data & 63).astype(np.uint64), np.uint64(0)), first)
+    distinct = np.bitwise_count(low).astype(np.int64) + np.bitwise_count(high)
+    change = np.r_[False, kind[1:] != kind[:-1]] & (at > 0)
+    step = np.cumsum(change)
+    rank = step - step[first][who]
+    shown = (change | (at == 0)) & (rank < 6)
+    shape = np.bincount(who[shown], kind[shown] * 5.0 ** rank[shown], n).astype(np.int64)
+    starts = at < 4
+    kinds = np.bincount(who[starts], kind[starts] * 8.0 ** at[starts], n).astype(np.int64)
+    letters = np.bincount(who[starts], data[starts] * 256.0 ** at[starts], n).astype(np.int64) + (1 << 40)
+    half = length // 2
+    values = {
+        "bias": np.zeros(n),
+        "length": np.minimum(12, length // 4),
+        "shape": shape,
+        "set": sum((count[k] > 0) << k for k in count),
+        "digits": (5 * count[3] + half) // length,
+        "upper": (5 * count[2] + half) // length,
+        "signs": np.minimum(4, count[4]),
+        "distinct": np.minimum(31, distinct),
+        "varied": 8 * distinct // length,
+        "switches": (8 * np.bincount(who[change], minlength=n) + half) // length,
+        "hex": 2 * np.logical_and.reduceat(HEXES[data], first) + (length >= 32),
+        "start": np.where(count[2] > 0, letters, kinds),
+        "number": 2 * np.logical_and.reduceat(NUMBERS[data], first) + (count[3] == length),
+    }
+    return np.stack([spot(f, values[f]) for f in OWN], axis=1)
+
+
+@dataclass
+class Tokens:
+    """Tokens of some texts, in order."""
+
+    start: np.ndarray  # in the text, in bytes
+    end: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+    kind: np.ndarray  # the row of ``own`` that the token has
+    own: np.ndarray  # features of different tokens
+    around: np.ndarray  # features of each token, DIM for none
+
+
+def tokens_of(texts: list[bytes]) -> Tokens:
+    """The tokens of whole texts with their features.
+
+    Neighbouring words are the last two runs of letters that end up to 40 bytes
+    before a token and the first that begins under 20 after it, in its text;
+    signs are those of the four bytes before it.
+    """
+    buf = np.frombuffer(b"\n".join(texts), np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(size + 1) - size - 1
+    token = KIND[buf] > 0
+    starts, ends, names, owns, word_start, word_end, word_hash = [], [], [], [], [], [], []
+    lo = made = 0
+    while lo < len(buf):
+        hi = min(lo + BLOCK, len(buf))
+        if hi < len(buf):  # no token is cut
+            gap = np.flatnonzero(~token[lo:hi])
+            hi = lo + int(gap[-1]) + 1 if len(gap) else hi + int(np.argmax(~token[hi:])) if not token[hi:].all() else len(buf)
+        s, e = runs(token[lo:hi])
+        if len(s):
+            part, inside = buf[lo:hi], token[lo:hi]
+            data, length = part[inside], e - s
+            _, first, kind = np.unique(run_hashes(data, length), return_index=True, return_inverse=True)
+            one = np.zeros(len(s), bool)
+            one[first] = True
+            order = np.argsort(first)  # own_features goes through the tokens in order
+            place = np.empty(len(first), np.int64)
+            place[order] = np.arange(len(first))
+            owns.append(own_features(data[np.repeat(one, length)], length[one]))
+            names.append(place[kind] + made)
+            made += len(first)
+            low = data | np.uint8(32)
+            letter = KIND[part]
+            letter = (letter == 1) | (letter == 2)
+            ws, we = runs(letter)
+            word_start.append(ws + lo)
+            word_end.append(we + lo)
+            word_hash.append(run_hashes(low[letter[inside]], we - ws))
+            starts.append(s + lo)
+            ends.append(e + lo)
+        lo = hi
+    if not starts:
+        none = np.zeros(0, np.int64)
+        return Tokens(none, none, none, none, none, np.zeros((0, len(OWN)), np.int64), np.zeros((0, len(AROUND)), np.int64))
+    s, e = np.concatenate(starts), np.concatenate(ends)
+    ws, we, wh = np.concatenate(word_start), np.concatenate(word_end), np.concatenate(word_hash)
+    text = np.searchsorted(begin, s, side="right") - 1
+    first, last = begin[text], begin[text] + size[text]
+    around = np.full((len(s), len(AROUND)), DIM, np.int64)
+    if len(ws):
+        before = np.searchsorted(we, s, side="right") - 1
+        for column, j in (("left", before), ("left but one", before - 1)):
+            k = np.maximum(j, 0)
+            ok = (j >= 0) & (ws[k] >= first) & (s - we[k] <= 40)
+            around[ok, AROUND.index(column)] = spot(column, wh[k[ok]])
+        j = np.searchsorted(ws, e, side="left")
+        k = np.minimum(j, len(ws) - 1)
+        ok = (j < len(ws)) & (ws[k] < last) & (ws[k] - e < 20)
+        around[ok, AROUND.index("right")] = spot("right", wh[k[ok]])
+    signs = np.zeros(len(s), np.int64)
+    for back in (4, 3, 2, 1):
+        here = np.where(s - back >= first, SIGN[buf[np.maximum(s - back, 0)]], 0)
+        signs = np.where(here > 0, signs * 8 + here, signs)
+    around[:, AROUND.index("sign")] = spot("sign", signs)
+    after = np.where(e < last, np.minimum(buf[np.minimum(e, len(buf) - 1)], 128), 129)
+    around[:, AROUND.index("after")] = spot("after", after)
+    marks = np.array([t.count(b"=") + t.count(b"{") for t in texts], np.int64)
+    around[:, AROUND.index("file signs")] = spot("file signs", np.minimum(5, 200 * marks // np.maximum(1, size)))[text]
+    around[:, AROUND.index("file length")] = spot("file length", np.minimum(8, np.log2(np.maximum(1, size)).astype(np.int64) // 2))[text]
+    line = np.searchsorted(np.flatnonzero(buf == 10), s)
+    return Tokens(s - first, e - first, text, line, np.concatenate(names), np.concatenate(owns), around)
 
 
 class Field:
     """Weights of features and transitions; OUTSIDE stands before and after each chain."""
 
     def __init__(self) -> None:
-        self.w = np.zeros((DIM, 3))
+        self.w = np.zeros((DIM + 1, 3))
+        self.w[spot("bias", np.zeros(1)), OUTSIDE] = 1  # without any training nothing is a secret
         self.t = np.zeros((3, 3))
         self.t[OUTSIDE, INSIDE] = -1e4  # an inside needs a begin
 
-    def scores(self, features: list[list[int]]) -> np.ndarray:
-        return np.array([self.w[f].sum(axis=0) for f in features])
-
-    def viterbi(self, features: list[list[int]]) -> list[int]:
-        s = self.scores(features)
+    def viterbi(self, s: np.ndarray) -> list[int]:
+        """The best tags of one chain of scored tokens."""
         best, back = self.t[OUTSIDE] + s[0], []
         for i in range(1, len(s)):
             m = best[:, None] + self.t
@@ -151,224 +237,175 @@ class Field:
             tags.append(tag)
         return tags[::-1]
 
-    def gradient(self, features: list[list[int]], tags: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def sure(self, s: np.ndarray) -> np.ndarray:
+        """Tokens that are outside on every best path, by their own scores and the next token's.
+
+        Take a path with another tag there. If the next tag is no inside,
+        outside instead of it gains the lead less what transitions can cost; if
+        it is one, a begin takes its place, and the next token's scores count too.
+        """
+        t, two = self.t, (BEGIN, INSIDE)
+        into = np.array([max(t[p, x] - t[p, OUTSIDE] for p in range(3)) for x in two])
+        plain = max(into[x] + t[x, n] - t[OUTSIDE, n] for x in two for n in (BEGIN, OUTSIDE))
+        follow = max(t[INSIDE, f] - t[BEGIN, f] for f in range(3))
+        inside = max(into[x] + t[x, INSIDE] - t[OUTSIDE, BEGIN] for x in two) + follow
+        lead = s[:, OUTSIDE] - np.maximum(s[:, BEGIN], s[:, INSIDE])
+        step = np.r_[s[1:, BEGIN] - s[1:, INSIDE], 0.0]
+        return (lead > plain + 1e-9) & (lead + step > inside + 1e-9)
+
+    def best(self, score: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Viterbi of each line; all parts between sure tokens go a step at once."""
+        n, t = len(score), self.t
+        out = np.full(n, OUTSIDE, np.int8)
+        at = np.flatnonzero(~self.sure(score))
+        if not len(at):
+            return out
+        s = score[at]
+        first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (line[at[1:]] != line[at[:-1]])])
+        size = np.diff(np.r_[first, len(at)])
+        by = np.argsort(-size, kind="stable")
+        first, size = first[by], size[by]
+        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # parts longer than each step
+        best = t[OUTSIDE] + s[first]
+        back = np.zeros((len(at), 3), np.int8)
+        for k in range(1, size[0]):
+            a = active[k]
+            m = best[:a, :, None] + t
+            i = first[:a] + k
+            back[i] = m.argmax(axis=1)
+            best[:a] = m.max(axis=1) + s[i]
+        tags = np.full(len(at), OUTSIDE, np.int8)
+        tags[first + size - 1] = (best + t[:, OUTSIDE]).argmax(axis=1)
+        for k in range(size[0] - 1, 0, -1):
+            i = first[: active[k]] + k
+            tags[i - 1] = back[i, tags[i]]
+        out[at] = tags
+        return out
+
+    def decode(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        """(start, end, tag) in bytes of the tokens of each text that are not outside."""
+        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        x = tokens_of(texts)
+        if not len(x.start):
+            return out
+        score = self.w[x.own].sum(axis=1)[x.kind]
+        for column in x.around.T:
+            score += self.w[column]
+        tags = self.best(score, x.line)
+        for i in np.flatnonzero(tags != OUTSIDE).tolist():
+            out[x.text[i]].append((int(x.start[i]), int(x.end[i]), int(tags[i])))
+        return out
+
+    def gradient(self, s: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Expected less seen counts: of each token's tags, and of transitions."""
-        s = self.scores(features)
         n = len(s)
         fore, aft = np.zeros((n, 3)), np.zeros((n, 3))
         fore[0] = self.t[OUTSIDE] + s[0]
         for i in range(1, n):
-            fore[i] = np.logaddexp.reduce(fore[i - 1][:, None] + self.t, axis=0) + s[i]
+            m = fore[i - 1][:, None] + self.t
+            top = m.max(axis=0)
+            fore[i] = np.log(np.exp(m - top).sum(axis=0)) + top + s[i]
         aft[-1] = self.t[:, OUTSIDE]
         for i in range(n - 2, -1, -1):
-            aft[i] = np.logaddexp.reduce(self.t + (s[i + 1] + aft[i + 1])[None, :], axis=1)
+            m = self.t + (s[i + 1] + aft[i + 1])[None, :]
+            top = m.max(axis=1)
+            aft[i] = np.log(np.exp(m - top[:, None]).sum(axis=1)) + top
         z = np.logaddexp.reduce(fore[-1] + aft[-1])
         own = np.exp(fore + aft - z)
-        pair = np.zeros((3, 3))
+        pair = np.exp(fore[:-1, :, None] + self.t + (s[1:] + aft[1:])[:, None, :] - z).sum(axis=0)
         pair[OUTSIDE] += own[0]
         pair[:, OUTSIDE] += own[-1]
-        for i in range(1, n):
-            pair += np.exp(fore[i - 1][:, None] + self.t + (s[i] + aft[i])[None, :] - z)
-        for i, tag in enumerate(tags):
-            own[i, tag] -= 1
-            pair[tags[i - 1] if i else OUTSIDE, tag] -= 1
-        pair[tags[-1], OUTSIDE] -= 1
+        own[np.arange(n), tags] -= 1
+        np.subtract.at(pair, (np.r_[OUTSIDE, tags], np.r_[tags, OUTSIDE]), 1)
         return own, pair
 
-    def fit(self, data: list[tuple[list[list[int]], list[list[int]], list[int]]], epochs: int = 6, rate: float = 0.3, l2: float = 1e-3, seed: int = 23) -> None:
+    def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.3, l2: float = 1e-3, seed: int = 23) -> None:
         """data: each chain's own features, features around, tags. AdaGrad on the log likelihood."""
         rng = np.random.default_rng(seed)
-        gw, gt = np.full((DIM, 3), 1e-8), np.full((3, 3), 1e-8)
+        gw, gt = np.full((DIM + 1, 3), 1e-8), np.full((3, 3), 1e-8)
         for _ in range(epochs):
             for i in rng.permutation(len(data)):
                 own, around, tags = data[i]
-                features = [a + b for a, b in zip(own, around, strict=True)] if rng.random() < 0.5 else own
-                g, pair = self.gradient(features, tags)
-                for f, row in zip(features, g, strict=True):
-                    f = np.array(f)
-                    d = row[None, :] + l2 * self.w[f]
-                    gw[f] += d * d
-                    self.w[f] -= rate * d / np.sqrt(gw[f])
+                features = np.hstack([own, around]) if rng.random() < 0.5 else own
+                g, pair = self.gradient(self.w[features].sum(axis=1), tags)
+                rows = features.ravel()
+                d = np.repeat(g, features.shape[1], axis=0) + l2 * self.w[rows]
+                np.add.at(gw, rows, d * d)
+                np.subtract.at(self.w, rows, rate * d / np.sqrt(gw[rows]))
+                self.w[DIM] = 0
                 pair[OUTSIDE, INSIDE] = 0
                 gt += pair * pair
                 self.t -= rate * pair / np.sqrt(gt)
 
 
-#: Tokens of a training chain on either side of a token that makes it one.
-NEAR = 6
+def byte_places(text: str) -> np.ndarray:
+    """Where each code point begins in the text's UTF-8 bytes, and where it ends."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]
+
 
+#: Rows that the field is fitted on, at most about; chains taken of each; tokens of a training chain on either side of one that makes it.
+SAMPLE, CHAINS, NEAR = 4000, 8, 6
 
-def labelled(text: str) -> list[tuple[list[list[int]], list[list[int]], list[int]]]:
-    """Stretches of a text's chains with tags by the patterns: around secrets and long tokens with a digit, and the start of one plain line.
 
-    Of an assignment its value is the secret.
+def labelled(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of a text's chains with tags by the patterns: around secrets and long tokens with a digit, and the start of a plain line.
+
+    Of an assignment its value is the secret. Of more than CHAINS stretches the ones with secrets come first.
     """
     low = text.lower()
     spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] if any(h in low for h in HINTS) else []
-    spans += [(s, e) for s, k, e in patterns(text) if k]
-    file, plain = file_features(text), False
-    every = [t for chain in chains(text) for t in chain]
-    at = {t: i for i, t in enumerate(every)}
-    out = []
-    for chain in chains(text):
-        tags, last = [], None
-        for s, e in chain:
-            hit = next((x for x in spans if x[0] < e and s < x[1]), None) if spans else None
-            tags.append(OUTSIDE if hit is None else INSIDE if hit == last and tags[-1] != OUTSIDE else BEGIN)
-            last = hit
-        hot = [i for i, (s, e) in enumerate(chain) if tags[i] != OUTSIDE or (e - s >= LEAST and any("0" <= c <= "9" for c in text[s:e]))]
-        if not hot and plain:
-            continue
-        plain = plain or not hot
-        parts: list[list[int]] = []
-        for i in hot or [0]:
-            lo, hi = max(0, i - NEAR), min(len(chain), i + NEAR + 1)
-            if parts and lo <= parts[-1][1]:
-                parts[-1][1] = hi
-            else:
-                parts.append([lo, hi])
-        for lo, hi in parts:
-            out.append(([own_features(text[s:e]) for s, e in chain[lo:hi]], [around_features(text, every, at[t], file) for t in chain[lo:hi]], tags[lo:hi]))
-    return out
-
-
-class Decoder:
-    """The best tags of whole texts; scores of tokens are kept for as many as HELD."""
-
-    HELD = 250_000
-
-    def __init__(self, field: Field):
-        self.field = field
-        self.ids: dict[str, int] = {}
-        self.table = np.zeros((1 << 10, 5, 3))  # own; last word as left0, as left1; the last but one as left1; first word as right
-        self.words = np.zeros(1 << 10, np.int64)
-        self.around: dict[tuple[str, str], int] = {}
-        self.near: list[np.ndarray] = []
-
-    def token(self, w: str) -> int:
-        i = self.ids[w] = len(self.ids)
-        if i == len(self.words):
-            self.table, self.words = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.words, np.zeros_like(self.words)])
-        weights = self.field.w
-        self.table[i] = 0
-        self.table[i, 0] = weights[own_features(w)].sum(axis=0)
-        letters = LETTERS.findall(w.lower())
-        self.words[i] = len(letters)
-        if letters:
-            self.table[i, 1] = weights[spot(f"left0{letters[-1]}")]
-            self.table[i, 2] = weights[spot(f"left1{letters[-1]}")]
-            self.table[i, 4] = weights[spot(f"right{letters[0]}")]
-        if len(letters) > 1:
-            self.table[i, 3] = weights[spot(f"left1{letters[-2]}")]
-        return i
-
-    def beside(self, key: tuple[str, str]) -> int:
-        i = self.around[key] = len(self.near)
-        self.near.append(self.field.w[sign_feature(key[0])] + self.field.w[spot(f"after{key[1]}")])
-        return i
-
-    def decode(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
-        """(start, end, tag) of the tokens of each text that are not outside."""
-        if len(self.ids) > self.HELD:
-            self.ids.clear()
-        if len(self.near) > self.HELD:
-            self.around.clear()
-            self.near.clear()
-        ids, starts, ends, besides, lines, owner = [], [], [], [], [], []
-        own, beside, line = self.ids, self.around, 0
-        counts = []
-        for t in texts:
-            line += 1
-            before = len(ids)
-            for m in TOKEN.finditer(t):
-                w = m.group()
-                if w == "\n":
-                    line += 1
-                    continue
-                i = own.get(w)
-                ids.append(self.token(w) if i is None else i)
-                s, e = m.span()
-                key = (t[s - 4 if s > 4 else 0 : s], t[e : e + 1])
-                i = beside.get(key)
-                besides.append(self.beside(key) if i is None else i)
-                starts.append(s)
-                ends.append(e)
-                lines.append(line)
-            counts.append(len(ids) - before)
-        out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-        n = len(ids)
-        if not n:
-            return out
-        tid, s, e, lines = np.array(ids), np.array(starts), np.array(ends), np.array(lines)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        file = np.array([self.field.w[file_features(t)].sum(axis=0) if c else np.zeros(3) for t, c in zip(texts, counts, strict=True)])
-        score = self.table[tid, 0] + np.array(self.near)[besides] + file[owner]
-        at, some = np.arange(n), self.words[tid] > 0
-        prev = np.r_[-1, np.maximum.accumulate(np.where(some, at, -1))[:-1]]
-        follow = np.r_[np.minimum.accumulate(np.where(some, at, n)[::-1])[::-1][1:], n]
-        ok = (prev >= 0) & (owner[prev] == owner) & (s - e[prev] <= 40)
-        score[ok] += self.table[tid[prev[ok]], 1]
-        two = ok & (self.words[tid[prev]] > 1)
-        score[two] += self.table[tid[prev[two]], 3]
-        older = prev[prev]
-        one = ok & ~two & (older >= 0) & (owner[older] == owner) & (s - e[older] <= 40)
-        score[one] += self.table[tid[older[one]], 2]
-        f = np.minimum(follow, n - 1)
-        ok = (follow < n) & (owner[f] == owner) & (s[f] - e < 20)
-        score[ok] += self.table[tid[f[ok]], 4]
-        tags = self.best(score, np.flatnonzero(np.r_[True, lines[1:] != lines[:-1]]))
-        for i in np.flatnonzero(tags != OUTSIDE).tolist():
-            out[owner[i]].append((starts[i], ends[i], int(tags[i])))
-        return out
-
-    def best(self, score: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Viterbi of chains that start at ``first``, a step of all of them at once."""
-        n, t = len(score), self.field.t
-        size = np.diff(np.r_[first, n])
-        by = np.argsort(-size, kind="stable")
-        first, size = first[by], size[by]
-        active = np.searchsorted(-size, -np.arange(size[0]), side="left")  # chains longer than each step
-        best = t[OUTSIDE] + score[first]
-        back = np.zeros((n, 3), np.int8)
-        for k in range(1, size[0]):
-            a = active[k]
-            m = best[:a, :, None] + t
-            i = first[:a] + k
-            back[i] = m.argmax(axis=1)
-            best[:a] = m.max(axis=1) + score[i]
-        tag = (best + t[:, OUTSIDE]).argmax(axis=1)
-        tags = np.full(n, OUTSIDE, np.int8)
-        tags[first + size - 1] = tag
-        for k in range(size[0] - 1, 0, -1):
-            a = active[k]
-            i = first[:a] + k
-            tags[i - 1] = back[i, tags[i]]
-        return tags
-
-
-#: Rows that the field is fitted on, at most about; chains taken of each.
-SAMPLE, CHAINS = 5000, 50
+    spans = sorted(spans + [(s, e) for s, k, e in patterns(text) if k])
+    raw = text.encode()
+    x = tokens_of([raw])
+    n = len(x.start)
+    if not n:
+        return []
+    tags = np.full(n, OUTSIDE, np.int64)
+    if spans:
+        place = byte_places(text)
+        for s, e in spans:
+            i, j = np.searchsorted(x.end, place[s], side="right"), np.searchsorted(x.start, place[e], side="left")
+            tags[i:j] = INSIDE
+            tags[i : i + 1] = BEGIN
+    data = np.frombuffer(raw, np.uint8)
+    digits = np.r_[0, np.cumsum(KIND[data] == 3)]
+    hot = (tags != OUTSIDE) | ((x.end - x.start >= LEAST) & (digits[x.end] > digits[x.start]))
+    bounds = np.r_[np.flatnonzero(np.r_[True, x.line[1:] != x.line[:-1]]), n]
+    plain = [(int(lo), int(min(hi, lo + 2 * NEAR))) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if not hot[lo:hi].any()][:1]
+    parts: list[list[int]] = []
+    for i in np.flatnonzero(hot).tolist():
+        line = np.searchsorted(bounds, i, side="right") - 1
+        lo, hi = max(int(bounds[line]), i - NEAR), min(int(bounds[line + 1]), i + NEAR + 1)
+        if parts and lo <= parts[-1][1] and x.line[lo] == x.line[parts[-1][0]]:
+            parts[-1][1] = hi
+        else:
+            parts.append([lo, hi])
+    parts.sort(key=lambda p: bool((tags[p[0] : p[1]] == OUTSIDE).all()))
+    return [(x.own[x.kind[lo:hi]], x.around[lo:hi], tags[lo:hi]) for lo, hi in [*parts[:CHAINS], *plain]]
 
 
 def learn(docs: DataFrame) -> Field:
-    """A field fitted on a sample of ``text``: about SAMPLE texts with a long token or a keyword, CHAINS chains of each."""
-    long = docs.where((F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")) | F.col("text").rlike("(?i)" + "|".join(HINTS))).select("text")
-    n = long.count()
-    h = F.xxhash64(F.lit(19), "text")
-    chosen = long.where(F.pmod(h, F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).withColumn("h", h)
+    """A field fitted on a sample of ``text``: about SAMPLE different texts with a long token or a keyword, chosen by hash; CHAINS chains of each at most."""
+    reach(docs.sparkSession)
+    long = docs.where((F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")) | F.col("text").rlike("(?i)" + "|".join(HINTS))).select("text", F.xxhash64(F.lit(19), "text").alias("h"))
+    n = long.agg(F.approx_count_distinct("h")).first()[0] or 0
+    # copies become one text before they count
+    chosen = long.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).groupBy("h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for b in batches:
-            texts = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([json.dumps(labelled(t)[:CHAINS]) for t in texts], pa.string())], names=["h", "chains"])
-
-    import json
+            rows = [(h, i, *(a.astype("<u2").tobytes() for a in c)) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, c in enumerate(labelled(t))]
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.int32()] + [pa.binary()] * 3, strict=True)], names=["h", "i", "own", "around", "tags"])
 
     field = Field()
-    rows = sorted((r["h"], r["chains"]) for r in chosen.mapInArrow(tidy(run), "h long, chains string").collect())
-    field.fit([tuple(c) for _, x in rows for c in json.loads(x)])
+    rows = sorted(map(tuple, chosen.mapInArrow(tidy(run), "h long, i int, own binary, around binary, tags binary").collect()))
+
+    def array(x: bytes) -> np.ndarray:
+        return np.frombuffer(x, "<u2").astype(np.int64)
+
+    field.fit([(array(o).reshape(-1, len(OWN)), array(a).reshape(-1, len(AROUND)), array(t)) for _, _, o, a, t in rows])
     return field
 
 
@@ -378,45 +415,72 @@ def scan(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     Appends n_assign, n_access, n_hex (pattern matches), base_sha256 (of those
     spans) and spans: ``kind:start:end`` in code points, end exclusive, ordered
     by start, then kind (assign, access, hex, crf), comma-joined. The field adds
-    a span (kind crf) for each secret it tags that no pattern's span touches. A
-    null text is empty and has none. Extra columns stay; an empty table gives an
-    empty result; repeated rows have the same spans.
+    a span (kind crf) for each run of tokens that it tags as one secret; tokens
+    that touch a pattern's span are left out of it. A null text is empty and has
+    none. Extra columns stay, whatever their names; an empty table gives an
+    empty result; repeated rows have the same spans; very long texts are scanned
+    whole.
     """
+    reach(docs.sparkSession)
     n = numbered(docs)
     at = find(docs, text)
     known = docs.sparkSession.sparkContext.broadcast(field)  # DIM * 3 weights
 
-    def spans_of(t: str, tagged: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        base, more = patterns(t), []
-        for s, e, tag in tagged:
-            if tag == BEGIN:
-                more.append([s, 3, e])
-            else:
+    def added(t: str, tagged: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Spans of the tagged tokens that no base span touches; an inside token joins the one before it if that stayed."""
+        place = byte_places(t)
+        more: list[list[int]] = []
+        last = None
+        for i, (s, e, tag) in enumerate(tagged):
+            s, e = (int(x) for x in np.searchsorted(place, (s, e)))
+            if any(a < e and s < z for a, _, z in base):
+                continue
+            if tag == INSIDE and last == i - 1:
                 more[-1][2] = e
-        return base, [(s, k, e) for s, k, e in more if not any(a < e and s < z for a, _, z in base)]
+            else:
+                more.append([s, 3, e])
+            last = i
+        return [(s, k, e) for s, k, e in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = (*KINDS, "crf")
-        decoder = Decoder(known.value)
-        for b in slices(batches, 256):
+        names, field = (*KINDS, "crf"), known.value
+        for b in slices(batches, 512):
             counts, digests, spans = ([], [], []), [], []
             texts = [t or "" for t in b.column(at).to_pylist()]
-            for t, tagged in zip(texts, decoder.decode(texts), strict=True):
-                base, more = spans_of(t, tagged)
-                for k in range(3):
-                    counts[k].append(sum(x[1] == k for x in base))
-                digests.append(hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
-                spans.append(",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(base + more)))
+            for lo, hi in grouped([len(t) for t in texts]):
+                for t, tagged in zip(texts[lo:hi], field.decode([t.encode() for t in texts[lo:hi]]), strict=True):
+                    base = patterns(t)
+                    more = added(t, tagged, base) if tagged else []
+                    for k in range(3):
+                        counts[k].append(sum(x[1] == k for x in base))
+                    digests.append(hashlib.sha256(",".join(f"{names[k]}:{s}:{e}" for s, k, e in base).encode()).hexdigest())
+                    spans.append(",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(base + more)))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(c, pa.int64()) for c in counts), pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[*b.schema.names, *OUT])
 
     kinds = ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in n.schema.fields)
     return n.mapInArrow(tidy(run), f"{kinds}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string").toDF(*docs.columns, *OUT)
 
 
+def grouped(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Bounds of texts that go together: about BLOCK characters, one text at least."""
+    lo = size = 0
+    for i, n in enumerate(sizes):
+        if size and size + n > BLOCK:
+            yield lo, i
+            lo, size = i, 0
+        size += n + 1
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
 OUT = ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The secrets of all documents."""
+    """The secrets of all documents, one row for each row of the table.
+
+    A null text is empty. Repeated rows have equal results, a null doc_id stays
+    null, other columns are left out, an empty table gives no rows.
+    """
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     return scan(docs, learn(docs)).drop("text")

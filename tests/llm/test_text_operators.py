@@ -198,22 +198,23 @@ def test_secret_patterns(spark):
         assert [x for x in row.spans.split(",") if x and not x.startswith("crf")] == [x for x in text.split(",") if x]
 
 
-def test_viterbi_is_the_best_tagging():
-    r = np.random.default_rng(3)
-    f = secret_scan.Field()
-    f.w = r.normal(size=f.w.shape)
-    f.t[:2] = r.normal(size=(2, 3))
-    chain = [[int(x) for x in r.integers(0, secret_scan.DIM, 4)] for _ in range(5)]
-    s = f.scores(chain)
+def value_of(f, s, tags):
+    return sum(s[i][x] for i, x in enumerate(tags)) + sum(f.t[a, b] for a, b in zip((secret_scan.OUTSIDE, *tags), (*tags, secret_scan.OUTSIDE), strict=True))
 
-    def value(tags):
-        out = f.t[secret_scan.OUTSIDE, tags[0]] + s[0][tags[0]]
-        for i in range(1, 5):
-            out += f.t[tags[i - 1], tags[i]] + s[i][tags[i]]
-        return out + f.t[tags[-1], secret_scan.OUTSIDE]
 
-    best = max(product(range(3), repeat=5), key=value)
-    assert tuple(f.viterbi(chain)) == best
+def test_viterbi_is_the_best_tagging():
+    r = np.random.default_rng(3)
+    for trial in range(60):
+        f = secret_scan.Field()
+        f.t[:2] = r.normal(size=(2, 3))
+        f.t[2, [0, 2]] = r.normal(size=2)
+        s = r.normal(size=(5, 3)) * 2
+        s[:, 2] += r.choice([0, 2, 6], size=5)  # some tokens lead by much, others by little
+        best = max(product(range(3), repeat=5), key=lambda tags: value_of(f, s, tags))
+        assert tuple(f.viterbi(s)) == best
+        assert tuple(f.best(s, np.zeros(5, int))) == best
+        line = np.array([0, 0, 1, 1, 1])
+        assert f.best(s, line).tolist() == f.viterbi(s[:2]) + f.viterbi(s[2:])
 
 
 def test_field_finds_secrets_without_a_keyword(spark):
@@ -236,27 +237,110 @@ def test_field_finds_secrets_without_a_keyword(spark):
     assert secret_scan.scan(table(spark, []), secret_scan.learn(table(spark, []))).count() == 0
 
 
-def test_every_token_is_a_state_of_its_line(spark):
+def naive_tokens(text):
+    """Tokens of a text's bytes with the rows of their features, one at a time and by definition."""
+    raw = text.encode()
+    tokens = [m.span() for m in re.finditer(rb"[A-Za-z0-9+/_.=-]+", raw)]
+    words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(rb"[A-Za-z]+", raw)]
+
+    def spot(name, value):
+        return int(secret_scan.spot(name, np.array([value], np.uint64))[0])
+
+    def hashed(w):
+        return int(secret_scan.run_hashes(np.frombuffer(w, np.uint8), np.array([len(w)]))[0])
+
+    def kind(c):
+        return 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4
+
+    out = []
+    for s, e in tokens:
+        w, n = raw[s:e], e - s
+        kinds = [kind(c) for c in w]
+        squeezed = [k for i, k in enumerate(kinds) if not i or kinds[i - 1] != k]
+        count = {k: kinds.count(k) for k in (1, 2, 3, 4)}
+        values = [
+            ("bias", 0),
+            ("length", min(12, n // 4)),
+            ("shape", sum(k * 5**i for i, k in enumerate(squeezed[:6]))),
+            ("set", sum(1 << k for k in set(kinds))),
+            ("digits", (5 * count[3] + n // 2) // n),
+            ("upper", (5 * count[2] + n // 2) // n),
+            ("signs", min(4, count[4])),
+            ("distinct", min(31, len(set(w)))),
+            ("varied", 8 * len(set(w)) // n),
+            ("switches", (8 * (len(squeezed) - 1) + n // 2) // n),
+            ("hex", 2 * all(c in b"0123456789abcdef" for c in w) + (n >= 32)),
+            ("start", sum(c << 8 * i for i, c in enumerate(w[:4])) + (1 << 40) if count[2] else sum(k << 3 * i for i, k in enumerate(kinds[:4]))),
+            ("number", 2 * all(c in b"0123456789.-+" for c in w) + (count[3] == n)),
+        ]
+        rows = [spot(*v) for v in values]
+        left = [x for x in words if x[1] <= s][::-1]
+        rows += [spot(name, hashed(x[2])) for name, x in zip(("left", "left but one"), left, strict=False) if s - x[1] <= 40]
+        right = [x for x in words if x[0] >= e][:1]
+        rows += [spot("right", hashed(x[2])) for x in right if x[0] - e < 20]
+        code = 0
+        for c in raw[max(0, s - 4) : s]:
+            if chr(c) in "=:\"'@$ ":
+                code = code * 8 + 1 + "=:\"'@$ ".index(chr(c))
+        rows += [spot("sign", code), spot("after", min(raw[e], 128) if e < len(raw) else 129)]
+        rows += [spot("file signs", min(5, 200 * (raw.count(b"=") + raw.count(b"{")) // len(raw))), spot("file length", min(8, (len(raw).bit_length() - 1) // 2))]
+        out.append((s, e, raw[:s].count(b"\n"), rows))
+    return out
+
+
+def test_every_token_is_a_state_of_its_line(spark, monkeypatch):
     r = np.random.default_rng(4)
     f = secret_scan.Field()
-    f.w = r.normal(size=f.w.shape)
+    f.w[:-1] = r.normal(size=(secret_scan.DIM, 3))
     f.t[:2] = r.normal(size=(2, 3))
-    bits = ["pwd", "Xy7kq2Lm9", "CorrectHorseBattery", "a.b-c", "12", "é", ":", " = ", "\n", " ", " ", "x" * 30, " " * 25, "\n\n"]
-    texts = ["".join(r.choice(bits) for _ in range(r.integers(0, 40))) for _ in range(60)] + ["", "\n"]
-    got = secret_scan.Decoder(f).decode(texts)
-    for t, tagged in zip(texts, got, strict=True):
-        lines, file, want = secret_scan.chains(t), secret_scan.file_features(t), []
-        every = [x for line in lines for x in line]
-        for line in lines:
-            tags = f.viterbi([secret_scan.own_features(t[s:e]) + secret_scan.around_features(t, every, every.index((s, e)), file) for s, e in line])
-            want += [(s, e, k) for (s, e), k in zip(line, tags, strict=True) if k != secret_scan.OUTSIDE]
-        assert tagged == want
+    bits = ["pwd", "Xy7kq2Lm9", "CorrectHorseBattery", "a.b-c", "12", "é", ":", " = ", "\n", " ", " ", "x" * 30, " " * 25, "\n\n", "f00d" * 9, "{", '"']
+    texts = ["".join(r.choice(bits) for _ in range(r.integers(0, 40))) for _ in range(60)] + ["", "\n", "end"]
+    for block in (secret_scan.BLOCK, 50):  # tokens made block by block are the same
+        monkeypatch.setattr(secret_scan, "BLOCK", block)
+        got = f.decode([t.encode() for t in texts])
+        for t, tagged in zip(texts, got, strict=True):
+            want, tokens = [], naive_tokens(t)
+            for line in {x[2]: None for x in tokens}:
+                own = [x for x in tokens if x[2] == line]
+                tags = f.viterbi(np.array([f.w[x[3]].sum(axis=0) for x in own]))
+                want += [(s, e, k) for (s, e, _, _), k in zip(own, tags, strict=True) if k != secret_scan.OUTSIDE]
+            assert tagged == want, (block, t)
+
+
+def test_spans_beside_the_patterns(spark):
+    """A tagged token that a pattern's span touches goes alone; offsets are code points; clashing columns stay."""
     f = secret_scan.Field()
-    f.w[secret_scan.spot("bias"), secret_scan.OUTSIDE] = 1
-    f.w[secret_scan.spot("left0pwd"), secret_scan.BEGIN] = 5
-    f.w[secret_scan.spot("left0passphrase"), secret_scan.BEGIN] = 5
-    rows = secret_scan.scan(table(spark, ["pwd: Xy7kq2Lm9", "passphrase = CorrectHorseBattery", "plain words"]), f).collect()
-    assert {x["doc_id"]: x["spans"] for x in rows} == {0: "crf:5:14", 1: "crf:11:12,crf:13:32", 2: ""}  # "=" is a token
+    f.w[secret_scan.spot("bias", np.zeros(1)), secret_scan.OUTSIDE] = 1
+    for word in (b"pwd", b"see"):
+        f.w[secret_scan.spot("left", secret_scan.run_hashes(np.frombuffer(word, np.uint8), np.array([3]))), secret_scan.BEGIN] = 9
+    f.w[secret_scan.spot("number", np.array([3])), secret_scan.INSIDE] = 4  # digits alone go on
+    texts = ["é pwd: Xy7kq2Lm9", f"pwd {HEX[:40]} 12345 plain", "plain words only", None, "see Ab 88 99 é" + " far" * 100000]
+    docs = table(spark, texts).withColumn("spans", F.lit("mine")).withColumn("n_hex", F.lit(True))
+    out = secret_scan.scan(docs, f)
+    assert out.columns == [*docs.columns, *secret_scan.OUT]
+    got = {x[0]: x for x in out.collect()}
+    assert [got[i][-1] for i in range(5)] == ["crf:7:16", "hex:4:44,crf:45:50", "", "", "crf:4:12"] and all(x[5] == "mine" and x[6] is True for x in got.values())
+
+
+def test_planted_secrets_without_a_pattern(spark):
+    """The field learns from patterned secrets and finds others that have no pattern's form."""
+    r = random.Random(15)
+    letters, words = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", [a + b + c for a in ("ta", "mo", "si") for b in ("ren", "lo", "ka") for c in ("", "t", "me")]
+
+    def key(n):
+        return "".join(r.choice(letters) for _ in range(n))
+
+    def line(*more):
+        out = [r.choice(words) for _ in range(15)]
+        return " ".join([*out[:7], *more, *out[7:]])
+
+    texts = [line(r.choice([f'password = "{key(20)}"', f"api_key: {key(24)}", f"AKIA{key(16).upper()}", f"secret={key(18)}"])) if i % 2 else line(str(r.randrange(10**12)), f"{r.randrange(2000)}-03-04T10:00:00", r.choice(words).upper() + "12") for i in range(600)]
+    field = secret_scan.learn(table(spark, texts * 3))
+    planted = [f"ghp_{key(24)}" for _ in range(40)] + [f"xoxb-{key(22)}" for _ in range(40)]
+    clean = [line(str(r.randrange(10**12)), f"{r.randrange(2000)}-07-09T11:30:00") for _ in range(80)]
+    got = {x["doc_id"]: x["spans"] for x in secret_scan.scan(table(spark, [line("see", p) for p in planted] + clean), field).collect()}
+    assert sum("crf" in got[i] for i in range(80)) >= 70
+    assert sum("crf" in got[i] for i in range(80, 160)) <= 2
 
 
 # -- language
