@@ -36,12 +36,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, repeated rows among them; null and empty texts are copies of one another."""
     return near_dedup(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice. A null source is one of the sources, the last; a null text has no words."""
     n = numbered(docs)
     taken = mix_sources(n, F.array(F.col(f"c{find(docs, 'source')}")), n_words(F.col(f"c{find(docs, 'text')}")))
     again = taken.where("copies > 0").withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
@@ -49,10 +49,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens at most, with their token ids; a null text yields its end id alone, repeated rows are packed each."""
     import public_tokenizers
 
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
 
 
 STAGES = [
