@@ -156,18 +156,40 @@ def test_quality_statistics(spark):
 
 
 def test_cascade(spark):
-    df = quality_rules.with_statistics(table(spark, [*AWKWARD, " ".join(f"word{i}" for i in range(40)), "x | " * 30]))
-    found = quality_rules.ordered(df, quality_rules.RULES)
-    scores = [share / cost for _, share, cost in found]
-    assert scores == sorted(scores, reverse=True)
+    texts = [*AWKWARD, " ".join(f"word{i}" for i in range(40)), "x | " * 30, " ".join(f"WORD{chr(65 + i)}" for i in range(26)), " ".join(str(i * 37) for i in range(40))]
+    df = quality_rules.with_statistics(table(spark, texts))
     kept = quality_rules.cascade(df, quality_rules.RULES, df)
-    columns = {x: F.col(x) for x in df.columns}
+    columns = {x: F.col(x) for x in df.columns} | quality_rules.made("text", quality_rules.VALUES)
+    rejected = F.lit(False)
     for rule in quality_rules.RULES:
-        assert kept.where("kept").where(F.coalesce(rule.reject(columns), F.lit(False))).count() == 0
-    assert kept.where("kept").count() == 1
+        rejected = rejected | F.coalesce(rule.reject(columns), F.lit(False))
+    want = {tuple(r) for r in df.select("doc_id", (~rejected).alias("kept")).collect()}
+    assert {tuple(r) for r in kept.select("doc_id", "kept").collect()} == want and sum(k for _, k in want) == 1
     clash = table(spark, ["a b"]).withColumn("n_words", F.lit("mine")).withColumn("t", F.lit(1))
     assert quality_rules.with_statistics(clash).columns == [*clash.columns, *quality_rules.STATISTICS]
-    assert quality_rules.with_statistics(table(spark, [])).count() == 0
+    empty = quality_rules.with_statistics(table(spark, []))
+    assert quality_rules.cascade(empty, quality_rules.RULES, empty).count() == 0
+
+
+def test_rules_go_by_rejection_per_cost():
+    a, b, c = (quality_rules.Rule(x, None, n) for x, n in (("a", ()), ("b", ("v",)), ("c", ("v",))))
+    cost = {"a": 1.0, "b": 1.0, "c": 1.0, "v": 9.0}
+    # a rejects 10 rows, b 200, c 150 of which 140 are b's too
+    rejected = {0b001: 10, 0b010: 60, 0b110: 140, 0b100: 10, 0: 1000}
+    assert [(r.name, n, p) for r, n, p in quality_rules.arranged(rejected, (a, b, c), cost)] == [("b", 200, 10.0), ("a", 10, 1.0), ("c", 10, 1.0)]
+    assert [r.name for r, _, _ in quality_rules.arranged({0: 5}, (b, a, c), cost)] == ["a", "b", "c"]
+
+
+def test_rejected_rows_skip_the_rest(spark):
+    """A value that fails when it is made isn't made for rows that an earlier rule rejects."""
+    docs = table(spark, ["bad", "good text", "bad", "better"]).withColumn("n", F.length("text"))
+    rules = (quality_rules.Rule("costly", lambda c: c["v"] > 100, ("v",)), quality_rules.Rule("short", lambda c: c["n"] < 4))
+    values = {"v": lambda t: F.when(t == "bad", F.raise_error(F.lit("made for a rejected row")).cast("int")).otherwise(F.length(F.regexp_replace(t, "[aeiou]", "")))}
+    # in the sample the costly rule rejects nothing, so it goes last
+    out = quality_rules.cascade(docs, rules, docs.where("n > 4"), values=values)
+    assert sorted(tuple(r) for r in out.select("doc_id", "kept").collect()) == [(0, False), (1, True), (2, False), (3, True)]
+    with pytest.raises(Exception, match="made for a rejected row"):
+        quality_rules.cascade(docs, rules[:1], docs.where("n > 4"), values=values).collect()
 
 
 # -- secrets
