@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import keep, pick, tidy
 
-SAMPLE = 8192  # vectors that the graph and the classifier are fitted on
-RECALL, TRIALS = 0.95, 512  # recall that the number of visited parts is chosen for, on so many sampled queries
-PART, MAX_PARTS = 2000, 256
-BLOCK = 4096  # vectors of a part that are searched together, and queries
+SAMPLE = 32768  # vectors that the graph and the classifier are fitted on, at most
+RECALL, TRIALS = 0.95, 256  # recall that the number of visited parts is chosen for, on so many queries that the fit doesn't see
+LEAST_PARTS, IN_PART, FITTED = 8, 32, 16  # parts if each has vectors enough; so many; sampled ones that a part is learned from
+BLOCK = 16384  # vectors of a part that are searched together, and queries
 
 
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
@@ -106,21 +106,14 @@ class Router:
     def features(self, x: np.ndarray) -> np.ndarray:
         return np.hstack([x / self.scale * math.sqrt(x.shape[1]) / 4, np.ones((len(x), 1))])
 
-    def visits(self, x: np.ndarray, k: int) -> int:
-        """The fewest parts in which sampled queries find RECALL of their k nearest of the sample.
-
-        A sample's neighbours are farther away than the whole table's, so this errs on the side of more.
-        """
-        trial = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)
-        s = x[trial] @ x.T
-        s[np.arange(len(trial)), trial] = -np.inf
-        near = np.argsort(-s, axis=1)[:, : min(k, len(x) - 1)]
-        order = self.best(x[trial], self.w.shape[1])
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], axis=1)
-        found = np.take_along_axis(rank, self.best(x, 1)[:, 0][near], axis=1)
-        share = np.array([(found <= m).mean() for m in range(order.shape[1])])
-        return int(np.argmax(share >= RECALL)) + 1
+    def visits(self, x: np.ndarray, near: list[list[int]]) -> tuple[int, float]:
+        """The fewest parts in which queries find RECALL of their nearest, whose parts are ``near``; and the share found there."""
+        order = self.best(x, self.w.shape[1])
+        rank = np.argsort(order, axis=1)
+        found = np.concatenate([rank[i, parts] for i, parts in enumerate(near)])
+        share = np.cumsum(np.bincount(found, minlength=order.shape[1])) / max(1, len(found))
+        m = int(np.argmax(share >= RECALL))
+        return m + 1, float(share[m])
 
     def best(self, x: np.ndarray, k: int) -> np.ndarray:
         s = self.features(x) @ self.w
@@ -146,20 +139,58 @@ def smallest(df: DataFrame, key: str, order: list, k: int) -> DataFrame:
     return part.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__r") <= k).drop("__r")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, seed: int = 13) -> DataFrame:
+def parts_for(n: int, fitted: int) -> int:
+    """Parts for n vectors: a quarter of n's root, so that their number and their size grow alike, as far as the sample allows; one for a handful."""
+    return max(LEAST_PARTS, min(round(math.sqrt(n) / 4), fitted // FITTED)) if n >= LEAST_PARTS * IN_PART else 1
+
+
+def neighbours_parts(indexed: DataFrame, trials: dict[str, np.ndarray], k: int) -> list[list[int]]:
+    """The parts of each trial query's k nearest in the whole index."""
+    keys, x = list(trials), np.array(list(trials.values()))
+    at = {key: i for i, key in enumerate(keys)}
+    known = indexed.sparkSession.sparkContext.broadcast((at, x))  # TRIALS vectors
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, x = known.value
+        top = np.full((len(x), k), -np.inf)
+        parts = np.zeros((len(x), k), np.int32)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = x @ np.array(b.column(1).to_pylist()).reshape(b.num_rows, -1).T
+            for j, key in enumerate(b.column(0).to_pylist()):
+                if key in at:
+                    s[at[key], j] = -np.inf
+            s, p = np.hstack([top, s]), np.hstack([parts, np.broadcast_to(np.array(b.column(2).to_pylist(), np.int32), s.shape)])
+            best = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            top, parts = np.take_along_axis(s, best, 1), np.take_along_axis(p, best, 1)
+        i, j = np.nonzero(top > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(top[i, j]), pa.array(parts[i, j], pa.int32())], names=["i", "s", "part"])
+
+    each = indexed.select("key", "v", "part").mapInArrow(tidy(run), "i long, s double, part int")
+    near = each.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("s")))).where(F.col("r") <= k)
+    out: list[list[int]] = [[] for _ in keys]
+    for r in near.select("i", "part").collect():  # TRIALS * k rows
+        out[r["i"]].append(r["part"])
+    return out
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", probes: int | None = None, seed: int = 13, report: dict | None = None) -> DataFrame:
     """The k largest inner products for every query, by the learned index.
 
     ``is_query`` makes a boolean Column of the id's Column. Candidates are all
     usable rows but the query's own id; null, zero and non-finite vectors take
-    no part. Vectors of a length other than the commonest are left out too.
-    Returns query_id, rank (from 1), vec_id, score (double, on the original
+    no part. Vectors of a length other than the commonest have no product with
+    the others and are left out too, as candidates and as queries. Returns query_id, rank (from 1), vec_id, score (double, on the original
     vectors), nearest first, ties to the smaller id. Fewer than k candidates
     are all found. Null ids take no part; rows that repeat an id and vector
     are one candidate. An empty table gives an empty result.
 
     The graph and the classifier are fitted on at most ``SAMPLE`` vectors; all
     vectors are indexed. A query visits ``probes`` parts, by default as many as
-    sampled queries need to find ``RECALL`` of their neighbours in the sample.
+    ``TRIALS`` queries, which the fit hasn't seen, need to find ``RECALL`` of
+    their nearest in the whole table. ``report`` gets the number of parts, of
+    visited ones, and the recall of the trial queries.
     """
     spark = vectors.sparkSession
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -171,17 +202,18 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     # copies: k + 1 ids of a vector are all that any query can need
     entries = keep(smallest(rows.dropDuplicates(["id", "key"]), "key", [F.col("id")], k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "entries")
     n = entries.count()
-    picked = entries.withColumn("h", F.xxhash64(F.lit(seed), "key")).where(F.pmod("h", F.lit(1 << 30)) < min(1.0, 1.1 * SAMPLE / n) * (1 << 30)).select("h", "v").orderBy("h").limit(SAMPLE).collect()
-    x = np.array([r["v"] for r in picked])
-    parts = min(MAX_PARTS, max(1, n // PART), max(1, len(x) // 32))
+    share = min(1.0, 1.1 * (SAMPLE + TRIALS) / n)
+    picked = entries.withColumn("h", F.xxhash64(F.lit(seed), "key")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("h", "key", "v").orderBy("h").limit(SAMPLE + TRIALS).collect()
+    held = min(TRIALS, len(picked) // 5)
+    trials, x = {r["key"]: np.array(r["v"]) for r in picked[:held]}, np.array([r["v"] for r in picked[held:]])
+    parts = parts_for(n, len(x))
     router, visits = None, 1
     if parts > 1:
         # directions make better parts than lengths; the rerank has the true measure
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         near = neighbour_graph(unit)
         router = Router(x, balanced_parts(unit, near, parts), near, parts)
-        visits = probes or router.visits(x, k)
-    known = spark.sparkContext.broadcast(router)  # vector length times MAX_PARTS
+    known = spark.sparkContext.broadcast(router)  # vector length times SAMPLE / FITTED at most
 
     def routed(df: DataFrame, most: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,14 +226,23 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
         return df.select("key", "ids", "v").mapInArrow(tidy(run), "key string, ids array<long>, v array<double>, parts array<int>")
 
     indexed = keep(routed(entries, 1).select("key", "ids", "v", F.element_at("parts", 1).alias("part")), "index")
+    sizes = {r["part"]: r["n"] for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    recall = 1.0
+    if router is not None:
+        visits, recall = (probes, math.nan) if probes else router.visits(np.array(list(trials.values())), neighbours_parts(indexed, trials, k))
+        # whichever parts a query visits, they hold k others if the table does
+        smallest_first = np.cumsum(sorted(sizes.get(p, 0) for p in range(parts)))
+        visits = min(parts, max(visits, int(np.searchsorted(smallest_first, min(k + 1, n))) + 1))
+    if report is not None:
+        report |= {"vectors": n, "parts": parts, "visits": visits, "recall": recall}
     ask = rows.where(is_query(F.col("id"))).select("key").distinct()
     asked = keep(routed(entries.join(ask, "key", "left_semi"), visits).select("key", "v", F.posexplode("parts").alias("turn", "part")), "asked")
     # parts by blocks, on both sides: a block pair is one bounded task
-    most = {r["part"]: (math.ceil(r["n"] / BLOCK), 0) for r in indexed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    most = {p: (math.ceil(size / BLOCK), 0) for p, size in sizes.items()}
     for r in asked.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
         if r["part"] in most:
             most[r["part"]] = (most[r["part"]][0], math.ceil(r["n"] / BLOCK))
-    table = F.broadcast(spark.createDataFrame([(p, a, q) for p, (a, q) in sorted(most.items())], "part int, blocks int, q_blocks int"))  # MAX_PARTS rows
+    table = F.broadcast(spark.createDataFrame([(p, a, q) for p, (a, q) in sorted(most.items())], "part int, blocks int, q_blocks int"))  # a row for each part
     h = F.xxhash64(F.lit(seed + 1), "key")
     left = indexed.join(table, "part").where("q_blocks > 0").withColumn("b", F.pmod(h, F.col("blocks")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
 
@@ -253,5 +294,10 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
 
 
 def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 nearest of every vector whose id is divisible by 20."""
+    """The 20 nearest of every vector whose id is divisible by 20.
+
+    Null, zero and non-finite vectors take no part, nor do null ids; ties go to
+    the smaller id; rows that repeat an id and vector are one candidate; an
+    empty table gives no rows.
+    """
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20)

@@ -343,18 +343,41 @@ def test_search_is_exact_on_a_small_table(spark):
     assert few.count() == 6
 
 
-def test_search_by_parts_recalls(spark, monkeypatch):
-    monkeypatch.setattr(learned_partitions, "PART", 60)
-    monkeypatch.setattr(learned_partitions, "BLOCK", 50)
-    r = np.random.default_rng(4)
-    centres = r.normal(size=(12, 16))
-    vectors = {i: (centres[i % 12] + 0.4 * r.normal(size=16)).astype(np.float32) for i in range(900)}
+def clustered(r, n, centres=12, spread=0.4):
+    c = r.normal(size=(centres, 16))
+    return {i: (c[i % centres] + spread * r.normal(size=16)).astype(np.float32) for i in range(n)}
+
+
+@pytest.mark.parametrize("n", [500, 3000])
+def test_search_by_parts_recalls(spark, n):
+    """Several parts even at 500 vectors; where the vectors have structure few of them are visited and recall holds."""
+    vectors = clustered(np.random.default_rng(4), n)
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<float>")
-    got = defaultdict(set)
-    for x in learned_partitions.search(df, lambda i: i % 20 == 0, k=10).collect():
+    got, report = defaultdict(set), {}
+    for x in learned_partitions.search(df, lambda i: i % 20 == 0, k=10, report=report).collect():
         got[x["query_id"]].add(x["vec_id"])
     want = nearest(vectors, [i for i in vectors if i % 20 == 0], 10)
     assert np.mean([len(got[q] & set(w)) / 10 for q, w in want.items()]) >= 0.9
+    assert report["parts"] >= 8 and report["visits"] <= report["parts"] / 2 and report["recall"] >= 0.95
+
+
+def test_blocks_of_parts(spark, monkeypatch):
+    """Parts searched in many blocks, all of them visited: brute force's result."""
+    monkeypatch.setattr(learned_partitions, "BLOCK", 20)
+    vectors = clustered(np.random.default_rng(5), 300)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for x in sorted(learned_partitions.search(df, lambda i: i % 20 == 0, k=10, probes=10**6).collect(), key=lambda x: x["rank"]):
+        got[x["query_id"]].append(x["vec_id"])
+    assert dict(got) == nearest(vectors, [i for i in vectors if i % 20 == 0], 10)
+
+
+def test_few_parts_still_hold_enough(spark):
+    """k others are found even where the visited parts alone would hold fewer."""
+    vectors = clustered(np.random.default_rng(6), 260, centres=3, spread=0.05)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "vec_id long, embedding array<float>")
+    got = learned_partitions.search(df, lambda i: i % 20 == 0, k=120, probes=1).groupBy("query_id").count().collect()
+    assert len(got) == 13 and {r["count"] for r in got} == {120}
 
 
 def test_parts_are_balanced():
