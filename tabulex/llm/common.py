@@ -22,9 +22,16 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); one of our own only where it is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Where it is unset and all runs on one machine, as in tests, a temporary one
+    takes its place; on a cluster that would lose what executors write, so there
+    it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tabulex-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -44,15 +51,30 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: lost executors never repeat what stands above, and
     ids that depend on the order of rows are fixed from here on. The table goes
-    when the interpreter ends.
+    when the interpreter ends, or with ``finished``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulex-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    KEPT.append(path)
     atexit.register(forget, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that ``keep`` wrote and ``finished`` hasn't deleted.
+KEPT: list[str] = []
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``keep(make(), name)``, after which the tables that ``make`` kept on its way are deleted."""
+    before = len(KEPT)
+    out = keep(make(), name)
+    for path in KEPT[before:-1]:
+        forget(spark, path)
+    del KEPT[before:-1]
+    return out
+
+
 def find(df: DataFrame, name: str) -> int:
     """The position of a column: an exact name first, else one that differs in case only."""
     names = df.columns
