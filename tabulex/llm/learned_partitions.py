@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, pick, tidy
+from .common import finished, keep, pick, tidy
 
-SAMPLE = 32768  # vectors that the graph and the classifier are fitted on, at most
+SAMPLE = 16384  # vectors that the graph and the classifier are fitted on, at most
 RECALL, TRIALS = 0.95, 256  # recall that the number of visited parts is chosen for, on so many queries that the fit doesn't see
 LEAST_PARTS, IN_PART, FITTED = 8, 32, 16  # parts if each has vectors enough; so many; sampled ones that a part is learned from
 BLOCK = 16384  # vectors of a part that are searched together, and queries
@@ -30,10 +30,10 @@ BLOCK = 16384  # vectors of a part that are searched together, and queries
 def neighbour_graph(x: np.ndarray, k: int = 10) -> np.ndarray:
     """Each vector's k nearest by inner product, itself left out."""
     out = np.zeros((len(x), min(k, len(x) - 1)), np.int64)
-    for lo in range(0, len(x), 1024):
-        s = x[lo : lo + 1024] @ x.T
-        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = -np.inf
-        out[lo : lo + 1024] = np.argpartition(-s, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
+    for lo in range(0, len(x), 256):
+        s = -(x[lo : lo + 256] @ x.T)
+        s[np.arange(len(s)), np.arange(lo, lo + len(s))] = np.inf
+        out[lo : lo + 256] = np.argpartition(s, out.shape[1] - 1, axis=1)[:, : out.shape[1]]
     return out
 
 
@@ -203,9 +203,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, vec_id: str = "vec_id", em
     entries = keep(smallest(rows.dropDuplicates(["id", "key"]), "key", [F.col("id")], k + 1).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "entries")
     n = entries.count()
     share = min(1.0, 1.1 * (SAMPLE + TRIALS) / n)
-    picked = entries.withColumn("h", F.xxhash64(F.lit(seed), "key")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("h", "key", "v").orderBy("h").limit(SAMPLE + TRIALS).collect()
+    picked = entries.withColumn("h", F.xxhash64(F.lit(seed), "key")).where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("h", "key", "v").orderBy("h").limit(SAMPLE + TRIALS).toArrow()
     held = min(TRIALS, len(picked) // 5)
-    trials, x = {r["key"]: np.array(r["v"]) for r in picked[:held]}, np.array([r["v"] for r in picked[held:]])
+    keys, all_picked = picked["key"].to_pylist()[:held], picked["v"].combine_chunks().flatten().to_numpy().reshape(len(picked), -1)
+    trials, x = dict(zip(keys, all_picked, strict=False)), all_picked[held:]
+    del picked
     parts = parts_for(n, len(x))
     router, visits = None, 1
     if parts > 1:
@@ -300,4 +302,4 @@ def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     the smaller id; rows that repeat an id and vector are one candidate; an
     empty table gives no rows.
     """
-    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20)
+    return finished(spark, lambda: search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20), "result")
