@@ -22,8 +22,10 @@ from .common import find, numbered, parallelism, pick, slices, tidy
 
 BITS = 16
 DIM = 1 << BITS
-SEGMENT = 1 << 18  # characters that are read together; n-grams across such a seam of one long text are left out
+SEGMENT = 1 << 18  # characters that are read together
+CARRY = 2  # characters that a long text's next segment begins with again, for the n-grams across the seam
 MAX_LANGUAGES = 200
+TOTAL = 10_000  # documents that the weights are fitted on, at most about, whatever the languages
 SCALE = 20.0
 
 _LETTERS: list[np.ndarray] = []
@@ -38,34 +40,46 @@ def letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def segments(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Numbers and lower-cased pieces of texts, about SEGMENT characters together."""
-    numbers: list[int] = []
-    parts: list[str] = []
-    size = 0
+@dataclass
+class Segment:
+    """Pieces of texts that are read together: the number of each one's text, how many characters it repeats from the piece before, whether it is its text's last."""
+
+    numbers: list[int]
+    parts: list[str]
+    carried: list[int]
+    last: list[bool]
+
+
+def segments(texts: list[str | None]) -> Iterator[Segment]:
+    """Lower-cased texts, about SEGMENT characters together; a longer text is cut, and each of its later pieces begins with the CARRY characters before it."""
+    held, size = Segment([], [], [], []), 0
     for i, t in enumerate(texts):
         t = (t or "").lower()
         for lo in range(0, max(1, len(t)), SEGMENT):
-            part = t[lo : lo + SEGMENT]
-            if size + len(part) > SEGMENT and parts:
-                yield numbers, parts
-                numbers, parts, size = [], [], 0
-            numbers.append(i)
-            parts.append(part)
+            part = t[max(0, lo - CARRY) : lo + SEGMENT]
+            if size + len(part) > SEGMENT and held.parts:
+                yield held
+                held, size = Segment([], [], [], []), 0
+            held.numbers.append(i)
+            held.parts.append(part)
+            held.carried.append(min(CARRY, lo))
+            held.last.append(lo + SEGMENT >= len(t))
             size += len(part) + 2
-    if parts:
-        yield numbers, parts
+    if held.parts:
+        yield held
 
 
-def grams(parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For n of 1, 2, 3: the features in order, and where each part's features begin and end."""
-    code = np.frombuffer(("  " + "  ".join(parts) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+def grams(s: Segment) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """For n of 1, 2, 3: the features in order, where each part's features begin, and where they end."""
+    code = np.frombuffer(("  " + "  ".join(s.parts) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = letters()[code]
     c = np.where(letter, code, 32).astype(np.uint64)
-    # a part owns what ends in it or in the two spaces after it; no n-gram has letters of two parts
-    edge = np.cumsum([2] + [len(p) + 2 for p in parts])
+    # a part owns what ends in it, and a text's last one what ends in the two spaces after it; no n-gram has letters of two texts
+    at = np.cumsum([2] + [len(p) + 2 for p in s.parts])
+    begin = at[:-1] + np.array(s.carried)
+    end = at[1:] - 2 + 2 * np.array(s.last)
     h = c * np.uint64(0x9E3779B97F4A7C15)
-    one, before, out, bounds = h, letter, [], []
+    one, before, out, begins, ends = h, letter, [], [], []
     for n in range(3):
         if n:
             h = (np.concatenate((np.zeros(1, np.uint64), h[:-1])) * np.uint64(0xD1342543DE82EF95)) ^ one
@@ -73,8 +87,10 @@ def grams(parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         z = h ^ np.uint64(n * 0x632BE59BD9B4E019)
         z = (z ^ (z >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         out.append((z >> np.uint64(64 - BITS))[before].astype(np.uint16))
-        bounds.append(np.concatenate(([0], np.cumsum(before)))[edge])
-    return out, bounds
+        run = np.concatenate(([0], np.cumsum(before)))
+        begins.append(run[begin])
+        ends.append(run[end])
+    return out, begins, ends
 
 
 def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
@@ -87,15 +103,15 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
             texts = b.column(0).to_pylist()
             n += len(texts)
             last = -1
-            for numbers, parts in segments(texts):
-                out, bounds = grams(parts)
-                for k, i in enumerate(numbers):
+            for segment in segments(texts):
+                out, begins, ends = grams(segment)
+                for k, i in enumerate(segment.numbers):
                     if i != last:
                         total += seen
                         seen[:] = False
                         last = i
-                    for f, at in zip(out, bounds, strict=True):
-                        seen[f[at[k] : at[k + 1]]] = True
+                    for f, lo, hi in zip(out, begins, ends, strict=True):
+                        seen[f[lo[k] : hi[k]]] = True
             total += seen
             seen[:] = False
         at = [-1, *range(0, DIM, 4096)]
@@ -123,10 +139,10 @@ def counted(docs: DataFrame) -> list[tuple[str, np.ndarray, np.ndarray]]:
         for b in slices(batches):
             texts = b.column(1).to_pylist()
             sums = [np.zeros(0, np.int64)] * len(texts)
-            for numbers, parts in segments(texts):
-                out, bounds = grams(parts)
-                for k, i in enumerate(numbers):
-                    own = np.concatenate([f[at[k] : at[k + 1]] for f, at in zip(out, bounds, strict=True)])
+            for segment in segments(texts):
+                out, begins, ends = grams(segment)
+                for k, i in enumerate(segment.numbers):
+                    own = np.concatenate([f[lo[k] : hi[k]] for f, lo, hi in zip(out, begins, ends, strict=True)])
                     more = np.bincount(own, minlength=DIM)
                     sums[i] = more + sums[i] if len(sums[i]) else more
             found = [np.flatnonzero(s) for s in sums]
@@ -200,20 +216,21 @@ def fit(labelled: DataFrame, per_language: int = 1000) -> Model | None:
     """A model from ``lang``, ``text`` (both not null); None without any row.
 
     idf covers all rows. The weights are fitted on a sample of about
-    ``per_language`` rows of each language (the documented bound), chosen by a
-    hash of the text.
+    ``per_language`` different texts of each language, TOTAL in all (the
+    documented bounds), chosen by a hash of the text; copies are one text.
     """
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    h = F.xxhash64(F.lit(41), "text")
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     n, df = document_counts(labelled)
     idf = np.log((1 + n) / (1 + df)) + 1
-    part = F.element_at(F.create_map(*[F.lit(x) for lang, k in sorted(counts.items()) for x in (lang, float(min(1.0, per_language / k)))]), F.col("lang"))
-    h = F.xxhash64(F.lit(41), "text")
-    chosen = labelled.where(F.pmod(h, F.lit(1 << 30)) < part * (1 << 30))
-    return train(counted(chosen.select("lang", "text", h.alias("h"))), idf)
+    each = min(per_language, TOTAL // len(counts))
+    part = F.element_at(F.create_map(*[F.lit(x) for lang, k in sorted(counts.items()) for x in (lang, float(min(1.0, each / max(1, k))))]), F.col("lang"))
+    chosen = labelled.where(F.pmod(h, F.lit(1 << 30)) < part * (1 << 30)).groupBy("lang", h.alias("h")).agg(F.first("text").alias("text"))
+    return train(counted(chosen.select("lang", "text", "h")), idf)
 
 
 def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
@@ -235,14 +252,14 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             k = len(m.languages) if m else 1
             sums, total = np.zeros((len(texts), k)), np.zeros(len(texts))
             has_letter = np.zeros(len(texts), bool)
-            for numbers, parts in segments(texts) if m else ():
-                out, bounds = grams(parts)
-                for order, (f, edge) in enumerate(zip(out, bounds, strict=True)):
+            for segment in segments(texts) if m else ():
+                out, begins, ends = grams(segment)
+                for order, (f, lo, hi) in enumerate(zip(out, begins, ends, strict=True)):
                     run_sum = np.concatenate((np.zeros((1, k)), np.cumsum(m.weights[f], axis=0, dtype=np.float64)))
-                    np.add.at(sums, numbers, run_sum[edge[1:]] - run_sum[edge[:-1]])
-                    np.add.at(total, numbers, np.diff(edge))
+                    np.add.at(sums, segment.numbers, run_sum[hi] - run_sum[lo])
+                    np.add.at(total, segment.numbers, hi - lo)
                     if not order:
-                        np.logical_or.at(has_letter, numbers, np.diff(edge) > 0)
+                        np.logical_or.at(has_letter, segment.numbers, hi > lo)
             p = softmax(sums / np.maximum(total, 1)[:, None] + (m.bias if m else 0.0))
             best = p.argmax(axis=1)
             lang = [m.languages[j] if ok else "und" for j, ok in zip(best, has_letter, strict=True)] if m else ["und"] * len(texts)
@@ -261,8 +278,17 @@ def learn(docs: DataFrame, modulus: int = 4, held: int = 2, per_language: int =
 
 
 def language_filter(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without the documents whose language can't be told: ``und``, or a score under ``least``."""
-    found = predict(docs, learn(docs))
+    """``docs`` without the documents whose language can't be told: ``und``, or a score under ``least``.
+
+    Where no row has a language and a text there is nothing to learn from, and
+    every text with a letter stays. Nulls, empty tables and extra columns are as
+    in ``predict``.
+    """
+    model = learn(docs)
+    if model is None:
+        n = numbered(docs)
+        return n.where(F.col(f"c{find(docs, 'text')}").rlike(r"\p{L}")).toDF(*docs.columns)
+    found = predict(docs, model)
     named = found.toDF(*[f"c{i}" for i in range(len(found.columns))])
     width = len(docs.columns)
     kept = named.where((F.col(f"c{width}") != "und") & (F.col(f"c{width + 1}") >= least))
@@ -270,7 +296,12 @@ def language_filter(docs: DataFrame, least: float = 0.5) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of every document, learned from three quarters of them."""
+    """The language of every document, learned from three quarters of them.
+
+    A null text, or one without a letter, is ``und`` with score 0; a null doc_id
+    counts as the empty text for the split; repeated rows have equal results;
+    other columns are left out; an empty table gives no rows.
+    """
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", lang="lang")
     out = predict(docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), learn(docs))
     return out.select("doc_id", "held_out", "lang_pred", "score")

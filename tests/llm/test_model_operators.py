@@ -268,8 +268,10 @@ class Tree:
         return sum(math.log10(self.chance(c, n, b)) for c, n, b in self.steps(t))
 
 
-@pytest.mark.parametrize("rare", [False, True])
-def test_context_tree(spark, rare, monkeypatch):
+@pytest.mark.parametrize(("rare", "share", "depth"), [(False, 512, 3), (True, 1 << 40, 3), (False, 12, 4), (False, 1 << 40, 4)])
+def test_context_tree(spark, rare, share, depth, monkeypatch):
+    """``share``: the usual one, all contexts split, and a mixture."""
+    monkeypatch.setattr(context_tree, "SHARE", share)
     if rare:  # nothing is broadcast: all goes by the joins
         monkeypatch.setattr(context_tree, "FREQUENT_GRAMS", 3)
         monkeypatch.setattr(context_tree, "FREQUENT_WORDS", 1)
@@ -277,10 +279,10 @@ def test_context_tree(spark, rare, monkeypatch):
     texts = [" ".join(r.choice(["ab", "abc", "B", "dé", "x1"]) for _ in range(r.randrange(0, 12))) for _ in range(40)] + [None, "", "Zz", "ab\n\tab"]
     ids = list(range(len(texts) - 1)) + [None]
     train = [(t or "").encode().lower() for i, t in zip(ids, texts, strict=True) if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1]
-    tree = Tree(train, 3)
+    tree = Tree(train, depth)
     words = Counter(w for t in train for w in WORD.findall(t))
     n, v = sum(words.values()) + len(train), len(words) + 1
-    rows = context_tree.score(table(spark, texts, ids), depth=3).collect()
+    rows = context_tree.score(table(spark, texts, ids).withColumn("Score", F.lit("mine")), depth=depth).collect()
     assert len(rows) == len(texts)
     by_id = {x["doc_id"]: x for x in rows}
     for i, t in zip(ids, texts, strict=True):
@@ -292,6 +294,15 @@ def test_context_tree(spark, rare, monkeypatch):
         assert math.isclose(x["score"], tree.score(low), rel_tol=1e-7), t
 
 
+def test_split_contexts_hold_most_grams(spark, monkeypatch):
+    monkeypatch.setattr(context_tree, "SHARE", 4)
+    keys = [(1 << 24) | (2 << 16) | (c << 8) | b for c in range(40) for b in range(5)] + [(3 << 24) | (c << 16) for c in range(60)]
+    grams = spark.createDataFrame([(k, 1, 1) for k in keys], "key long, train long, every long")
+    split = context_tree.split_contexts(grams, 3)
+    assert [x.tolist() for x in split] == [[(1 << 8) | 2]]
+    assert context_tree.own_depths(np.array(keys), split, 3).tolist() == [3] * 200 + [2] * 60
+
+
 def test_context_tree_is_a_distribution():
     tree = Tree([b"abab", b"ba"], 2)
     for context in (b"\xff\xff", b"ab", b"zz"):

@@ -396,13 +396,52 @@ def test_language_without_labels(spark):
     assert language_id.predict(docs.limit(0), language_id.learn(docs.limit(0))).count() == 0
 
 
-def test_features_do_not_depend_on_company():
-    texts = ["Abc dé", "x", "", "gh 12 ij"]
-    together = language_id.grams([t.lower() for t in texts])
-    for i, t in enumerate(texts):
-        alone = language_id.grams([t.lower()])
-        for (f, at), (g, bt) in zip(zip(*together, strict=True), zip(*alone, strict=True), strict=True):
-            assert f[at[i] : at[i + 1]].tolist() == g[bt[0] : bt[1]].tolist()
+def features_of(texts):
+    """All features of each text, in order of n-gram length and place."""
+    own = [[[], [], []] for _ in texts]
+    for segment in language_id.segments(texts):
+        out, begins, ends = language_id.grams(segment)
+        for n in range(3):
+            for k, i in enumerate(segment.numbers):
+                own[i][n] += out[n][begins[n][k] : ends[n][k]].tolist()
+    return own
+
+
+def test_features_do_not_depend_on_company_or_seams(monkeypatch):
+    r = random.Random(9)
+    texts = ["Abc dé", "x", "", None, "gh 12 ij", "".join(r.choice("abc dé1") for _ in range(97)), "z"]
+    whole = features_of(texts)
+    assert [features_of([t])[0] for t in texts] == whole
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "SEGMENT", size)
+        assert features_of(texts) == whole, size
+
+
+def test_a_text_over_many_segments(spark):
+    """A language of one letter pair, which stands on the seam of a text of 300,000 characters and nowhere else."""
+    seam = language_id.SEGMENT
+    long = " " * (seam - 1) + "qx" + " " * (300_000 - seam - 1)
+    assert sum(map(len, features_of([long])[0])) == sum(map(len, features_of([" qx "])[0])) == sum(map(len, features_of(["qx"])[0]))
+    assert sorted(features_of([long])[0][2]) == sorted(features_of(["qx"])[0][2])
+
+
+def test_copies_do_not_grow_the_sample(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, "the same text again" if i % 3 else spoken(r, "aa", 12), "l1" if i % 2 else "l2", "s", 0) for i in range(900)]
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda rows, idf: seen.append(len(rows)))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    language_id.fit(docs.select("lang", "text"))
+    assert 200 <= seen[0] <= 302 + 2  # each different text once for each language
+    monkeypatch.setattr(language_id, "TOTAL", 60)
+    language_id.fit(docs.select("lang", "text"))
+    assert seen[1] <= 120
+
+
+def test_filter_without_labels_keeps_texts_with_letters(spark):
+    docs = table(spark, ["some words", None, "12 !", "é", ""]).withColumn("lang", F.lit(None).cast("string")).withColumn("C0", F.lit(1))
+    kept = language_id.language_filter(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 3}
 
 
 def test_letters_of_all_planes():
