@@ -5,8 +5,9 @@ Each byte is eight binary decisions, each made in the contexts of the last 0 to
 the tree mixes, at every node, stopping there against going one byte deeper,
 with weights that the training counts give. Counts are those of the corpus's
 byte grams, which grow with it and are never on one machine: grams are dealt by
-their two nearest context bytes, so that every subtree from depth two lies in
-one partition, and only the 65 280 nodes of depth one meet on the driver.
+their two nearest context bytes, or by more of them where a pair has many grams,
+so that whole subtrees lie in one partition. Only the nodes above these subtrees
+meet on the driver; their number has a bound that no corpus moves.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, pick, slices, tidy
+from .common import finished, keep, pick, slices, tidy
 from .language_id import remainder
 from .near_dedup import lowered
 from .shingles import words_by_text
@@ -27,6 +28,8 @@ from .shingles import words_by_text
 DEPTH = 5
 #: At most so many of the most frequent grams and words are broadcast (16 and 24 bytes each); the rest are joined.
 FREQUENT_GRAMS, FREQUENT_WORDS = 1 << 19, 1 << 18
+#: A context of two bytes or more that has over 1 / SHARE of the grams is split by its next byte. So SHARE contexts of a depth are split at most, of 255 nodes each.
+SHARE = 512
 END = 0xFF  # never part of UTF-8
 STREAM = 1 << 18
 
@@ -202,64 +205,108 @@ def subtree(grams: np.ndarray, train: np.ndarray, depth: int, top: int = 2) -> t
     return levels, places
 
 
-def blocks(batches: Iterator[pa.RecordBatch], depth: int, size: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sorted grams in whole subtrees of the two nearest context bytes, about ``size`` together."""
+def context(grams, of: int, depth: int):
+    """The ``of`` nearest context bytes of grams (arrays, or a Column by shiftright)."""
+    return grams >> np.int64(8 * (depth + 1 - of))
+
+
+def split_contexts(grams: DataFrame, depth: int) -> list[np.ndarray]:
+    """For each depth from 0 on, the sorted contexts that are split; depths 0 and 1 are split whole."""
+    n = grams.count()
+    out: list[np.ndarray] = []
+    for d in range(2, depth):
+        mine = F.shiftright("key", 8 * (depth + 1 - d))
+        given = grams if d == 2 else grams.where(F.shiftright(mine, 8).isin(out[-1].tolist()))
+        rows = given.groupBy(mine.alias("c")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n / SHARE).select("c").collect()  # fewer than SHARE
+        if not rows:
+            break
+        out.append(np.sort(np.array([r["c"] for r in rows], np.int64)))
+    return out
+
+
+def own_depths(g: np.ndarray, split: list[np.ndarray], depth: int) -> np.ndarray:
+    """The depth of each gram's subtree: that of its first context which isn't split."""
+    out = np.full(len(g), 2)
+    for d, contexts in enumerate(split, 2):
+        out[np.isin(context(g, d, depth), contexts)] = d + 1
+    return out
+
+
+def blocks(batches: Iterator[pa.RecordBatch], depth: int, split: list[np.ndarray], size: int = 100_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Sorted grams (key, train, every) in whole subtrees, about ``size`` together, and the depth of these subtrees."""
     held: list[list[np.ndarray]] = []
     n = 0
-    shift = np.int64(8 * (depth - 1))
+
+    def by_depth(g: np.ndarray, t: np.ndarray, e: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+        own = own_depths(g, split, depth)
+        for d in np.unique(own).tolist():
+            at = own == d
+            yield g[at], t[at], e[at], d
+
     for b in batches:
         held.append([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
         n += b.num_rows
         if n >= size:
             g, t, e = (np.concatenate([h[i] for h in held]) for i in range(3))
+            shift = np.int64(8 * (depth + 1 - int(own_depths(g[-1:], split, depth)[0])))
             cut = int(np.searchsorted(g >> shift, g[-1] >> shift))
             if cut:
-                yield g[:cut], t[:cut], e[:cut]
+                yield from by_depth(g[:cut], t[:cut], e[:cut])
             held, n = [[g[cut:], t[cut:], e[cut:]]], len(g) - cut
     if n:
-        g, t, e = (np.concatenate([h[i] for h in held]) for i in range(3))
-        yield g, t, e
+        yield from by_depth(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+
+
+def upper_nodes(rows: list, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, n0, n1, stop) of the nodes above the subtrees, for each depth from 0 on; ``rows`` sums their subtrees."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    up = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0), np.zeros(0))
+    for d in range(depth - 1, -1, -1):
+        own = [r for r in rows if r["depth"] == d]
+        key = np.concatenate([np.array([r["node"] for r in own], np.int64), up[0]])
+        key, inverse = np.unique(key, return_inverse=True)
+        n0, n1, below = (np.bincount(inverse, np.concatenate([np.array([r[x] for r in own], float), up[i]]), len(key)) for i, x in enumerate(("n0", "n1", "below"), 1))
+        kt = log_kt(n0, n1)
+        log_w = np.logaddexp(kt, below) - np.log(2)
+        out.append((key, n0, n1, np.exp(kt - np.log(2) - log_w)))
+        up = (((key >> 16) << 8) | (key & 255), n0, n1, log_w)
+    return out[::-1]
 
 
 def gram_costs(grams: DataFrame, depth: int) -> DataFrame:
     """key, lp (log10 probability of the gram's byte after its context), every: for each gram (key, train, every)."""
     spark = grams.sparkSession
     n = spark.conf.get("spark.sql.shuffle.partitions")
-    dealt = grams.withColumn("near", F.shiftright("key", 8 * (depth - 1))).repartition(int(n), "near").sortWithinPartitions("key").select("key", "train", "every")
+    split = split_contexts(grams, depth)
+    near = F.shiftright("key", 8 * (depth - 1 - len(split)))
+    for d, contexts in reversed(list(enumerate(split, 2))):
+        mine = F.shiftright("key", 8 * (depth + 1 - d))
+        near = F.when(mine.isin(contexts.tolist()), near).otherwise(mine)
+    dealt = grams.withColumn("near", near).repartition(int(n), "near").sortWithinPartitions("key").select("key", "train", "every")
 
     def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, t, _ in blocks(batches, depth):
-            top = subtree(g, t, depth)[0][-1]
+        for g, t, _, d in blocks(batches, depth, split):
+            top = subtree(g, t, depth, d)[0][-1]
             parent = ((top.keys >> 16) << 8) | (top.keys & 255)
             keys, inverse = np.unique(parent, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.bincount(inverse, x, len(keys))) for x in (top.n0, top.n1, top.log_w))], names=["node", "n0", "n1", "below"])
-
-    # nodes of depth one: 256 contexts of 255 nodes
-    rows = dealt.mapInArrow(tidy(upward), "node long, n0 double, n1 double, below double").groupBy("node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "below")]).collect()
-    rows.sort(key=lambda r: r["node"])
-    key = np.array([r["node"] for r in rows], np.int64)
-    n0, n1, below = (np.array([r[x] for r in rows], float) for x in ("n0", "n1", "below"))
-    own = log_kt(n0, n1)
-    log_w = np.logaddexp(own, below) - np.log(2)
-    root, inverse = np.unique(key & 255, return_inverse=True)
-    r0, r1, rb = (np.bincount(inverse, x, len(root)) for x in (n0, n1, log_w))
-    root_own = log_kt(r0, r1)
-    upper = [(key, n0, n1, np.exp(own - np.log(2) - log_w)), (root, r0, r1, np.exp(root_own - np.logaddexp(root_own, rb)))]
-    known = spark.sparkContext.broadcast(upper)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), d - 1, np.int32)), pa.array(keys), *(pa.array(np.bincount(inverse, x, len(keys))) for x in (top.n0, top.n1, top.log_w))], names=["depth", "node", "n0", "n1", "below"])
+
+    # 257 contexts of depths 0 and 1, SHARE of each other depth, of 255 nodes each
+    rows = dealt.mapInArrow(tidy(upward), "depth int, node long, n0 double, n1 double, below double").groupBy("depth", "node").agg(*[F.sum(x).alias(x) for x in ("n0", "n1", "below")]).collect()
+    known = spark.sparkContext.broadcast(upper_nodes(rows, depth))
 
     def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g, t, e in blocks(batches, depth):
-            levels, places = subtree(g, t, depth)
+        for g, t, e, own in blocks(batches, depth, split):
+            levels, places = subtree(g, t, depth, own)
             p = levels[0].estimate()
             for level, place in zip(levels[1:], places[1:], strict=True):
                 stop, kt = level.stop[level.node][:, place], level.estimate()[:, place]
                 p = stop * kt + (1 - stop) * p
             byte = g & 255
-            near = g >> np.int64(8 * depth)
-            for d, (keys, m0, m1, stop_at) in enumerate(known.value):
+            for d in range(own - 1, -1, -1):
+                keys, m0, m1, stop_at = known.value[d]
                 for j in range(8):
-                    node = (1 << j) | (byte >> (8 - j))
-                    i = np.searchsorted(keys, node if d else (near << 8) | node)
+                    i = np.searchsorted(keys, (context(g, d, depth) << 8) | (1 << j) | (byte >> (8 - j)))
                     bit = (byte >> (7 - j)) & 1
                     kt = (np.where(bit == 1, m1[i], m0[i]) + 0.5) / (m0[i] + m1[i] + 1)
                     p[j] = stop_at[i] * kt + (1 - stop_at[i]) * p[j]
@@ -399,5 +446,10 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", modulus:
 
 
 def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents scored by a model of four fifths of them."""
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents scored by a model of four fifths of them.
+
+    A null text is empty; a null doc_id counts as the empty text for the split;
+    repeated rows are scored each; other columns are left out; an empty table
+    gives no rows.
+    """
+    return finished(spark, lambda: score(spark.read.parquet(f"{sf_dir}/documents.parquet")), "result")
