@@ -211,20 +211,25 @@ def rewritten(df: DataFrame, at: int, order_at: int, drop: Broadcast | None, dro
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents without the lines that at least 10 of them have."""
+    """All documents without the lines that at least 10 of them have.
+
+    A document is a row: rows that repeat a doc_id count each, and keep a row
+    each. A null or empty text is one empty line; empty keys never go; a null
+    doc_id stays null; other columns are left out; an empty table gives no rows.
+    """
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     out = line_dedup(docs, min_docs=10, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""
-WITH lines AS (
-  SELECT doc_id, pos, line,
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
-gone AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM docs)),
+gone AS (SELECT k FROM lines WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.k)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE g.k IS NULL), '')) AS kept_sha256
-FROM lines l LEFT JOIN gone g ON l.k = g.k GROUP BY doc_id
+FROM lines l LEFT JOIN gone g ON l.k = g.k GROUP BY r, doc_id
 """
