@@ -15,10 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import find, keep, numbered, pick
-
-#: The bucket offsets are broadcast; beyond this count buckets grow instead.
-MAX_BUCKETS = 1 << 20
+from .common import find, finished, keep, numbered, pick
 
 
 def record_bytes(df: DataFrame):
@@ -57,7 +54,7 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
     payload = [F.col(f"c{i}") for i in range(len(names))]
     h = F.xxhash64(F.lit(seed), *payload)
     total = n.agg(F.sum(size)).first()[0] or 0
-    buckets = min(max(min_buckets, math.ceil(total / bucket_bytes)), MAX_BUCKETS)
+    buckets = max(min_buckets, math.ceil(total / bucket_bytes))
     record = F.struct(h.alias("h"), F.struct(*payload).alias("row")).alias("r")
     scattered = n.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), record)
     # fewer than 8 * total / bucket_bytes hashes: small enough to broadcast
@@ -78,7 +75,7 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
         starts.append((bucket, at))
         at += count
     schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("start", T.LongType())])
-    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))  # one row a bucket: 12 bytes times MAX_BUCKETS at most
+    offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))  # one row of 12 bytes a bucket: a megabyte for 3 TB
     place = F.col("start") + F.col("pos")
     dealt = written.join(offsets, F.col("bucket") == F.col("b")).select("start", F.posexplode("rows").alias("pos", "r"))
     out = dealt.select(*[F.col(f"r.row.c{i}").alias(f"c{i}") for i in range(len(names))], (place % shards).cast("int").alias("s"), F.floor(place / shards).cast("long").alias("t"))
@@ -92,10 +89,14 @@ def write_shards(df: DataFrame, path: str, **options) -> None:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents dealt to 8 shards; a null text has no bytes and the checksum 0."""
+    """All documents dealt to 8 shards under the law ``rows``, a row for each row of the table.
+
+    A null text has no bytes and the checksum 0, like an empty one; rows that
+    repeat take a slot each; a null doc_id stays null; other columns are left
+    out; an empty table gives no rows.
+    """
     docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
-    dealt = external_shuffle(docs, shards=8)
-    return dealt.select(
+    digest = (
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
@@ -104,3 +105,4 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+    return finished(spark, lambda: external_shuffle(docs, shards=8).select(*digest), "result")

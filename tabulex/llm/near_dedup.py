@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, keep, numbered, parallelism, pick, slices, tidy
+from .common import find, finished, keep, numbered, parallelism, pick, slices, tidy
 from .line_dedup import bytes_of
 from .shingles import mix, shingles, words_by_text
 
@@ -397,7 +397,7 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
 
     Rows that repeat the doc_id and text of the one that stays go too.
     """
-    found = keep(near_duplicates(docs, text, doc_id, threshold), "groups")
+    found = finished(docs.sparkSession, lambda: near_duplicates(docs, text, doc_id, threshold), "groups")
     n = numbered(docs)
     i, t = F.col(f"c{find(docs, doc_id)}"), f"c{find(docs, text)}"
     again = found.where("keep").groupBy(F.col("doc_id").alias("k_id"), F.col("digest").alias("k_digest")).agg(F.count(F.lit(1)).alias("k_n"))
@@ -410,6 +410,11 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thre
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate group of every document."""
+    """The near-duplicate group of every document, one row for each row of the table.
+
+    Null, empty and equal texts are copies; texts without words have no other
+    links; rows that repeat a doc_id are documents of their own; a null doc_id
+    sorts first; other columns are left out; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs).select("doc_id", "cluster_id", "cluster_size", "keep")
+    return finished(spark, lambda: near_duplicates(docs).select("doc_id", "cluster_id", "cluster_size", "keep"), "result")

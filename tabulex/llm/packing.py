@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHES, keep, pick, slices, tidy
+from .common import CACHES, finished, keep, pick, slices, tidy
 
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 340_000, 64
@@ -234,9 +234,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, tokenized and packed into sequences of 2048."""
+    """All documents, tokenized and packed into sequences of 2048, a row for each piece.
+
+    A null or empty text is its end id alone; rows that repeat are packed each;
+    a null doc_id stays null; other columns are left out; an empty table gives no
+    rows.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    out = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class")
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class")
+    return finished(spark, lambda: pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(*columns), "result")
