@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulex.llm.common import find, keep, n_words, numbered
+from tabulex.llm.common import find, finished, n_words, numbered
 from tabulex.llm.language_id import language_filter
 from tabulex.llm.line_dedup import line_dedup
 from tabulex.llm.mixing import mix_sources
@@ -70,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name)
+        given = docs
+        docs = finished(spark, lambda: stage(spark, given, sf_dir), name)  # noqa: B023
     return docs
