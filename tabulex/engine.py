@@ -82,13 +82,15 @@ class Engine:
         """``df`` with a document's results; see ``apply_document``."""
         return self.apply_document(df, self.source.load(key), **options)
 
-    def apply_document(self, df: DataFrame, document: dict | str, *, into: str | None = None, keep: bool = True, goals: list[str] | None = None, trace: bool = False, validate: bool = False) -> DataFrame:
+    def apply_document(self, df: DataFrame, document: dict | str, *, into: str | None = None, keep: bool = True, goals: list[str] | None = None, trace: bool = False, validate: bool = False, pools: dict[str, DataFrame] | None = None) -> DataFrame:
         """Add a document's results to ``df`` in one narrow projection.
 
         Results become columns by their top-level keys, in place of columns with
         their names (which stay where a result lacks the key); with ``into`` they become one struct column. ``keep=False``
-        leaves only results. ``trace`` adds a struct with each node's output and
-        whether it ran. ``validate`` adds ``violations`` of a policy's models.
+        leaves only results. ``trace`` adds a struct with each node's input,
+        output, whether it ran and which rows of a table were hit. ``validate``
+        adds ``violations`` of a policy's models. ``pools`` has the objects that
+        a policy's references name as tables, by entity; those are joined.
         A missing result is null. Sessions run in UTC.
         """
         document = read_document(document)
@@ -98,7 +100,7 @@ class Engine:
         if self.settings["exact"]:
             given = replace(given, fields={k: Val(v.col.cast(t := exact_type(v.type)), t, sure=v.sure) if exact_type(v.type) != v.type else v for k, v in given.fields.items()})
         stage = Stage(df)
-        o = self.options(trace=trace)
+        o = self.options(trace=trace, pools=pools or {})
         traced: Val | None = None
         if is_policy(document):
             result = compile_policy(document, given, stage, o, goals)

@@ -110,6 +110,36 @@ def unit_of(v: Val) -> str | None:
     return UNITS.get(v.const)
 
 
+def by_unit(u: Val, make: Callable[[str], Val]) -> Val:
+    """What ``make`` builds for a unit of time; a unit that is known at run time only picks among all of them."""
+    if isinstance(u.const, str):
+        unit = UNITS.get(u.const)
+        return failed() if unit is None else make(unit)
+    if not u.string:
+        return failed()
+    made = {unit: make(unit) for unit in dict.fromkeys(UNITS.values())}
+    first = next(v for v in made.values() if not v.nothing)
+    col, ok = F.lit(None).cast(first.type), F.lit(False)
+    for unit, v in made.items():
+        hit = u.col.isin(*[name for name, x in UNITS.items() if x == unit])
+        if not v.nothing:
+            col = F.when(hit, v.col).otherwise(col)
+        ok = F.when(hit, v.ok if v.ok is not None else F.lit(True)).otherwise(ok)
+    return Val(col, first.type, ok=both(u.ok, F.coalesce(ok, F.lit(False))), zone=first.zone)
+
+
+def duration_of(text: Column) -> tuple[Column, Column, Column]:
+    """(seconds, months, whether it is a duration) of a text at run time, as ``duration`` reads it."""
+    pair = r"([+-]?\d+)\s*([A-Za-z]+)"
+    seconds = F.create_map(*[F.lit(x) for name, unit in UNITS.items() for x in (name, SECONDS.get(unit, 0))])
+    months = F.create_map(*[F.lit(x) for name, unit in UNITS.items() for x in (name, MONTHS.get(unit, 0))])
+    parts = F.zip_with(F.regexp_extract_all(text, F.lit(pair), F.lit(1)), F.regexp_extract_all(text, F.lit(pair), F.lit(2)), lambda n, u: F.struct(n.try_cast("long").alias("n"), u.alias("u")))
+    known = (F.size(parts) > 0) & F.forall(parts, lambda x: F.map_contains_key(seconds, x["u"]) & x["n"].isNotNull()) & (F.regexp_replace(F.regexp_replace(text, pair, ""), "^[ ,and]+|[ ,and]+$", "") == "")
+    s = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x["n"] * F.coalesce(F.try_element_at(seconds, x["u"]), F.lit(0)))
+    m = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: F.when(F.coalesce(F.try_element_at(months, x["u"]), F.lit(0)) > 0, x["n"] * F.try_element_at(months, x["u"])).otherwise(a))
+    return s, m, F.coalesce(known, F.lit(False))
+
+
 def moved(c: Column, seconds: Column | int, months: Column | int) -> Column:
     """Seconds first, then months, the day cut to the month's last."""
     c = c + F.make_interval(secs=F.lit(seconds).cast("decimal(18,6)") if isinstance(seconds, int) else seconds.cast("decimal(18,6)"))
@@ -200,37 +230,46 @@ def rendered(v: Val) -> Column:
 
 def _shift(v: Val, args: list[Val], sign: int) -> Val:
     c = local(v)
+
+    def shifted(out: Column, yearly: Column | bool, ok: Column | None) -> Val:
+        """The 29th of February has no day in another year."""
+        if yearly is not False:
+            same = F.dayofmonth(out) == F.dayofmonth(c)
+            out = F.when(same if yearly is True else ~yearly | same, out)
+        return Val(instant(out, v.zone), TS, ok=ok, zone=v.zone)
+
     if len(args) == 1:
-        if not isinstance(args[0].const, str):
-            raise RuleError("a duration must be a literal text, or a number and a unit")
-        seconds, months = duration(args[0].const)
-        unit = "year" if months and months % 12 == 0 and re.search(r"\d\s*y", args[0].const) else ""
-        out = moved(c, sign * seconds, sign * months)
-        ok = v.ok
-    else:
-        unit = unit_of(args[1])
-        if unit is None or not args[0].number:
-            return failed()
-        n = args[0].col * sign
-        out = moved(c, n * SECONDS[unit], 0) if unit in SECONDS else moved(c, 0, n * MONTHS[unit])
-        ok = both(v.ok, args[0].ok, given(args[0]))
-    if unit == "year":  # the 29th of February has no day in another year
-        out = F.when(F.dayofmonth(out) == F.dayofmonth(c), out)
-    return Val(instant(out, v.zone), TS, ok=ok, zone=v.zone)
+        text = args[0]
+        if isinstance(text.const, str):
+            seconds, months = duration(text.const)
+            return shifted(moved(c, sign * seconds, sign * months), bool(months and months % 12 == 0 and re.search(r"\d\s*y", text.const)), v.ok)
+        if not text.string:
+            raise RuleError("a duration is a text, or a number and a unit")
+        seconds, months, known = duration_of(text.col)
+        yearly = (months != 0) & (months % 12 == 0) & text.col.rlike(r"\d\s*y")
+        return shifted(moved(c, seconds * sign, months * sign), yearly, both(v.ok, text.ok, known))
+    if not args[0].number:
+        return failed()
+    n = args[0].col * sign
+    ok = both(v.ok, args[0].ok, given(args[0]))
+    return by_unit(args[1], lambda unit: shifted(moved(c, n * SECONDS[unit], 0) if unit in SECONDS else moved(c, 0, n * MONTHS[unit]), unit == "year", ok))
 
 
 def _set(v: Val, args: list[Val]) -> Val:
-    unit = unit_of(args[0])
-    if unit is None or not args[1].number:
+    if not args[1].number:
         return failed()
-    if unit in ("week", "quarter"):
-        return v
     c, x = local(v), args[1].col.cast("int")
-    parts = {"year": F.year(c), "month": F.month(c), "day": F.dayofmonth(c), "hour": F.hour(c), "minute": F.minute(c), "second": F.second(c).cast("decimal(16,6)")}
-    parts[unit] = x.cast("decimal(16,6)") if unit == "second" else x
-    fits = {"hour": x.between(0, 23), "minute": x.between(0, 59), "second": x.between(0, 59)}.get(unit, F.lit(True))
-    out = F.when(fits, F.try_make_timestamp(parts["year"], parts["month"], parts["day"], parts["hour"], parts["minute"], parts["second"]))
-    return Val(instant(out, v.zone), TS, ok=both(v.ok, args[1].ok, given(args[1])), zone=v.zone)
+
+    def one(unit: str) -> Val:
+        if unit in ("week", "quarter"):
+            return v
+        parts = {"year": F.year(c), "month": F.month(c), "day": F.dayofmonth(c), "hour": F.hour(c), "minute": F.minute(c), "second": F.second(c).cast("decimal(16,6)")}
+        parts[unit] = x.cast("decimal(16,6)") if unit == "second" else x
+        fits = {"hour": x.between(0, 23), "minute": x.between(0, 59), "second": x.between(0, 59)}.get(unit, F.lit(True))
+        out = F.when(fits, F.try_make_timestamp(parts["year"], parts["month"], parts["day"], parts["hour"], parts["minute"], parts["second"]))
+        return Val(instant(out, v.zone), TS, ok=both(v.ok, args[1].ok, given(args[1])), zone=v.zone)
+
+    return by_unit(args[0], one)
 
 
 def _diff(v: Val, args: list[Val], s: Scope) -> Val:
@@ -241,16 +280,16 @@ def _diff(v: Val, args: list[Val], s: Scope) -> Val:
     ok = both(v.ok, other.ok)
     if len(args) == 1:
         return Val(ms, LONG, ok=ok)
-    unit = unit_of(args[1])
-    if unit is None:
-        return failed()
-    if unit in MONTHS:
-        x = month_difference(local(v), local(other)) / MONTHS[unit]
-    else:
-        if unit in ("day", "week"):
-            ms = F.unix_millis(local(v)) - F.unix_millis(local(other))
-        x = ms.cast("double") / (SECONDS[unit] * 1000)
-    return Val(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"), LONG, ok=ok)
+
+    def one(unit: str) -> Val:
+        if unit in MONTHS:
+            x = month_difference(local(v), local(other)) / MONTHS[unit]
+        else:
+            own = F.unix_millis(local(v)) - F.unix_millis(local(other)) if unit in ("day", "week") else ms
+            x = own.cast("double") / (SECONDS[unit] * 1000)
+        return Val(F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("long"), LONG, ok=ok)
+
+    return by_unit(args[1], one)
 
 
 def as_date(v: Val, s: Scope) -> Val | None:
@@ -265,14 +304,15 @@ def _compare(name: str, v: Val, args: list[Val], s: Scope) -> Val:
     other = as_date(args[0], s)
     if other is None:
         return failed()
-    unit = unit_of(args[1]) if len(args) > 1 else None
-    if len(args) > 1 and unit is None:
-        return failed()
     a, b = local(v), other.col.cast("timestamp") if v.zone == "UTC" else F.from_utc_timestamp(other.col.cast("timestamp"), v.zone)
-    low, high = (start_of(a, unit), end_of(a, unit)) if unit else (a, a)
-    same = (F.unix_millis(a) == F.unix_millis(b)) if unit is None else (low <= b) & (b <= high)
-    test = {"isSame": same, "isBefore": high < b, "isAfter": b < low, "isSameOrBefore": same | (high < b), "isSameOrAfter": same | (b < low)}[name]
-    return Val(F.coalesce(test, F.lit(False)), BOOL, ok=both(v.ok, other.ok), sure=True)
+
+    def one(unit: str | None) -> Val:
+        low, high = (start_of(a, unit), end_of(a, unit)) if unit else (a, a)
+        same = (F.unix_millis(a) == F.unix_millis(b)) if unit is None else (low <= b) & (b <= high)
+        test = {"isSame": same, "isBefore": high < b, "isAfter": b < low, "isSameOrBefore": same | (high < b), "isSameOrAfter": same | (b < low)}[name]
+        return Val(F.coalesce(test, F.lit(False)), BOOL, ok=both(v.ok, other.ok), sure=True)
+
+    return by_unit(args[1], one) if len(args) > 1 else one(None)
 
 
 _GETTERS: dict[str, Callable[[Column], Column]] = {
@@ -309,10 +349,8 @@ def method(name: str, v: Val, args: list[Val], s: Scope) -> Val:
         pattern = args[0].const if args else "%Y-%m-%d %H:%M:%S %Z"
         return Val(F.coalesce(formatted(v, pattern), F.lit("Invalid date")), STRING, ok=v.ok, sure=True)
     if name in ("startOf", "endOf"):
-        unit = unit_of(args[0])
-        if unit is None:
-            return failed()
-        return Val(instant((start_of if name == "startOf" else end_of)(local(v), unit), v.zone), TS, ok=v.ok, zone=v.zone)
+        edge = start_of if name == "startOf" else end_of
+        return by_unit(args[0], lambda unit: Val(instant(edge(local(v), unit), v.zone), TS, ok=v.ok, zone=v.zone))
     if name == "diff":
         return _diff(v, args, s)
     if name in ("isSame", "isBefore", "isAfter", "isSameOrBefore", "isSameOrAfter"):

@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,7 @@ class Options:
     adapters: dict[str, Callable] = field(default_factory=dict)
     dictionaries: dict[str, list[str]] = field(default_factory=dict)
     trace: bool = False
+    pools: dict[str, DataFrame] = field(default_factory=dict)
 
 
 @dataclass
@@ -43,6 +44,8 @@ class Ran:
 
     out: Val
     where: Column | None
+    given: Val | None = None
+    note: dict[str, Column] = field(default_factory=dict)
 
 
 def validate_graph(doc: dict) -> list[dict]:
@@ -119,9 +122,10 @@ def compile_graph(doc: dict, given: Val, stage: Stage | Inline, o: Options, dept
             switch(n, taken, seen, edges, guard, stage, o)
             ran[n["id"]] = Ran(taken, where)
             continue
-        out = run_node(n, taken, seen, stage, o, depth, where)
+        note: dict[str, Column] = {}
+        out = run_node(n, taken, seen, stage, o, depth, where, note)
         out = stage.hold(out)
-        ran[n["id"]] = Ran(out, where)
+        ran[n["id"]] = Ran(out, where, None if n["type"] == "inputNode" else taken, note)
         if n["type"] == "outputNode":
             outputs.append(ran[n["id"]])
     if any(n["type"] == "outputNode" for n in order):
@@ -148,7 +152,14 @@ def compile_graph(doc: dict, given: Val, stage: Stage | Inline, o: Options, dept
 def open_trace(name: str, order: int, r: Ran) -> Val:
     from ..plans.typed import literal
 
-    return Val(F.lit(None), T.NullType(), fields={"name": literal(name), "order": literal(order), "ran": Val(r.where if r.where is not None else F.lit(True), T.BooleanType(), sure=True), "output": r.out})
+    ran = r.where if r.where is not None else F.lit(True)
+    fields = {"name": literal(name), "order": literal(order), "ran": Val(ran, T.BooleanType(), sure=True), "output": r.out}
+    if r.given is not None:
+        fields["input"] = r.given
+    if r.note:  # the rows of a table that were hit, counted from 0
+        kinds = {"index": T.IntegerType(), "indices": T.ArrayType(T.IntegerType())}
+        fields["traceData"] = Val(F.lit(None), T.NullType(), fields={k: Val(F.when(ran, c), kinds[k]) for k, c in r.note.items()})
+    return Val(F.lit(None), T.NullType(), fields=fields)
 
 
 def scope_for(v: Val, seen: Val, o: Options, dollar: Val | None = None) -> Scope:
@@ -173,7 +184,7 @@ def switch(n: dict, taken: Val, seen: Val, edges: list[dict], guard: dict[int, C
             guard[id(e)] = tests.get(e.get("sourceHandle"), F.lit(False))
 
 
-def run_node(n: dict, taken: Val, seen: Val, stage: Stage | Inline, o: Options, depth: int, where: Column | None) -> Val:
+def run_node(n: dict, taken: Val, seen: Val, stage: Stage | Inline, o: Options, depth: int, where: Column | None, note: dict[str, Column] | None = None) -> Val:
     """A node's output with its transform attributes applied."""
     kind, content = n["type"], n.get("content")
     if kind in ("inputNode", "outputNode"):
@@ -204,7 +215,7 @@ def run_node(n: dict, taken: Val, seen: Val, stage: Stage | Inline, o: Options,
         col = F.transform(arr.col, one)
         out = Val(col, T.ArrayType(made[-1].type), ok=arr.ok, sure=arr.sure)
     else:
-        out = handle(n, given, seen, stage, o, depth, where)
+        out = handle(n, given, seen, stage, o, depth, where, note)
     if path := str(attributes.get("outputPath") or "").strip():
         out = placed(path.split("."), solid(out) if out.fields is None else out)
     if passing:
@@ -220,13 +231,13 @@ def checked(v: Val, ok: Column, what: str, o: Options, where: Column | None) ->
     return replace(v, fields={k: replace(x, present=(v.fields or {})[k].present) for k, x in fields.items()})
 
 
-def handle(n: dict, given: Val, seen: Val, stage: Stage | Inline, o: Options, depth: int, where: Column | None) -> Val:
+def handle(n: dict, given: Val, seen: Val, stage: Stage | Inline, o: Options, depth: int, where: Column | None, note: dict[str, Column] | None = None) -> Val:
     kind, content = n["type"], n.get("content") or {}
     what = f"node {n.get('name') or n['id']}"
     if kind == "expressionNode":
         return expressions(content, given, seen, stage, o, what, where)
     if kind == "decisionTableNode":
-        return compile_table(content, scope_for(given, seen, o), stage)
+        return compile_table(content, scope_for(given, seen, o), stage, note if o.trace else None)
     if kind == "decisionNode":
         sub = o.load(content["key"])
         if "blocks" in sub:
@@ -270,16 +281,36 @@ def expressions(content: dict, given: Val, seen: Val, stage: Stage | Inline, o:
 
 
 def function(f: tuple[Callable, str], given: Val) -> Val:
-    """A registered Python function from an input to an output object, in Arrow batches."""
+    """A registered Python function from an input to an output object, in Arrow batches.
+
+    It takes one object as a dict; one marked with ``batched`` takes a pandas
+    DataFrame of many and returns another, without a way through JSON.
+    """
     import pandas as pd
 
     call, ddl = f
     v = solid(given)
+    kind = T._parse_datatype_string(ddl)
+    if getattr(call, "batched", False):
+        names = [x.name for x in kind.fields] if isinstance(kind, T.StructType) else None
+        if names is None or not isinstance(v.type, T.StructType):
+            raise RuleError("a batched function takes and returns objects")
+
+        def many(rows: pd.DataFrame) -> pd.DataFrame:
+            return call(rows)[names]
+
+        many.__annotations__ = {"rows": pd.DataFrame, "return": pd.DataFrame}
+        return Val(F.pandas_udf(many, kind)(v.col), kind)
 
     def run(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else json.dumps(call(json.loads(t)), default=str) for t in texts])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    kind = T._parse_datatype_string(ddl)
     text = F.to_json(v.col, {"ignoreNullFields": "false"}) if v.object else F.to_json(F.struct(v.col))
     return Val(F.from_json(F.pandas_udf(run, "string")(text), kind), kind)
+
+
+def batched(f: Callable) -> Callable:
+    """Mark a function node's function as one from DataFrame to DataFrame."""
+    f.batched = True
+    return f

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,15 +94,25 @@ def load_policy(doc: dict, options: Options) -> Policy:
                 if len(props) < len(data.get("properties") or []):
                     raise RuleError(f"DuplicateProperty in model {data['name']}")
                 old = models.get(data["name"])
+                for q in props.values():
+                    if old and q.name in old.props and old.props[q.name] != q:
+                        raise RuleError(f"DataModelCollision: {data['name']}.{q.name} is defined in two ways")
                 models[data["name"]] = Model(data["name"], data.get("scope", "entity"), {**(old.props if old else {}), **props})
             elif b["type"] == "dictionary":
+                if data["name"] in dictionaries:
+                    raise RuleError(f"DataModelCollision: dictionary {data['name']} is defined twice")
                 dictionaries[data["name"]] = data.get("entries") or []
             elif b["type"] in ("expression", "match", "decisionTable", "assertion"):
                 if block := block_of(b, data):
                     blocks.append(block)
+    for name in dictionaries:
+        if name in models and models[name].scope != "global":
+            raise RuleError(f"DataModelCollision: {name} is a dictionary and an entity")
     for m in models.values():
         for p in m.props.values():
-            if p.target and p.target not in models:
+            if m.scope == "global" and (p.name in dictionaries or p.name in models and models[p.name].scope != "global"):
+                raise RuleError(f"DataModelCollision: global property {p.name} has the name of an entity or a dictionary")
+            if p.target and p.target not in models and not (p.target in dictionaries and p.kind.lower() == "relationship"):
                 raise RuleError(f"UnknownDataModelTarget: {m.name}.{p.name} names {p.target!r}")
     out = Policy(models, dictionaries, blocks)
     out.blocks = ordered(out)
@@ -276,6 +286,36 @@ def assertion(conditions: list[dict], scope: Scope) -> Val:
     return Val(col, T.BooleanType(), ok=ok, sure=True)
 
 
+#: A pool of so many rows at most is broadcast; larger ones are joined by a shuffle.
+POOL_ROWS = 200_000
+
+
+def pooled(p: Policy, given: Val, stage: Stage, pools: dict[str, DataFrame]) -> Val:
+    """References replaced by the rows that they name in pools given as tables (``id`` and the object's fields).
+
+    An id that a pool lacks becomes null; of rows with one id the least counts.
+    """
+    out = given
+    for m in p.models.values():
+        for prop in m.props.values():
+            if prop.kind.lower() != "reference" or prop.target not in pools or member(out, m.name).nothing:
+                continue
+            ref = member(member(out, m.name), prop.name)
+            if ref.nothing:
+                continue
+            if prop.array or ref.array:
+                raise RuleError(f"{m.name}.{prop.name}: a list of ids needs its pool in the row")
+            pool = pools[prop.target]
+            key, value = f"{Stage.PREFIX}id{stage.n}", f"{Stage.PREFIX}pool{stage.n}"
+            stage.n += 1
+            rows = pool.select(F.col("id").cast("string").alias(key), F.struct(*[F.col(f"`{c}`") for c in pool.columns]).alias(value)).where(F.col(key).isNotNull())
+            rows = rows.groupBy(key).agg(F.min(value).alias(value))
+            small = rows.limit(POOL_ROWS + 1).count() <= POOL_ROWS
+            stage.join(F.broadcast(rows) if small else rows, ref.col.cast("string") == F.col(key))
+            out = placed([m.name, prop.name], Val(F.col(value), rows.schema[value].dataType), out)
+    return out
+
+
 def hydrated(p: Policy, given: Val) -> Val:
     """References replaced by the objects that they name in the input's own pools; unknown ids become null."""
     out = given
@@ -307,7 +347,10 @@ def compile_policy(doc: dict, given: Val, stage: Stage | Inline, o: Options, goa
     blocks = p.blocks if goals is None else needed_for(p, goals)
     if lost := missing_inputs(p, blocks, given):
         raise RuleError(f"missing inputs: {', '.join(lost)}")
-    tree = stage.hold(hydrated(p, open_up(given)))
+    given = open_up(given)
+    if o.pools:
+        given = pooled(p, given, stage, o.pools)
+    tree = stage.hold(hydrated(p, given))
     i = 0
     while i < len(blocks):
         b = blocks[i]

@@ -98,17 +98,25 @@ def collected(rows: list[Row], field: str) -> Val:
     return Val(col, T.ArrayType(kind), sure=True)
 
 
-def compile_table(content: dict, scope: Scope, stage: Stage | Inline) -> Val:
-    """The output of a graph's table: an object, or an array of objects where it collects."""
+def compile_table(content: dict, scope: Scope, stage: Stage | Inline, note: dict[str, Column] | None = None) -> Val:
+    """The output of a graph's table: an object, or an array of objects where it collects.
+
+    ``note`` gets the rows that were hit, counted from 0: ``index``, or ``indices`` where the table collects.
+    """
     outputs = content.get("outputs") or []
     if content.get("hitPolicy", "first") == "first" and isinstance(stage, Stage) and len(content.get("rules") or []) >= JOIN_ROWS:
-        joined = compile_join(content, scope, stage)
+        joined = compile_join(content, scope, stage, note)
         if joined is not None:
             return joined
     rows = rows_of(content, scope, stage)
     if content.get("hitPolicy", "first") == "collect":
+        if note is not None:
+            hits = [F.lit(i) if r.test is None else F.when(r.test, F.lit(i)) for i, r in enumerate(rows)]
+            note["indices"] = F.filter(F.array(*hits), lambda x: x.isNotNull()) if hits else F.array().cast("array<int>")
         return collect_rows(rows, outputs)
     hit = first_index(rows, stage)
+    if note is not None:
+        note["index"] = hit
     out = Val(F.lit(None), T.NullType(), fields={})
     any_hit = hit.isNotNull()
     for c in outputs:
@@ -274,7 +282,7 @@ def stored(text: str, v: Val) -> object:
     return int(c) if LONGS[0] < c <= LONGS[1] else None
 
 
-def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
+def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Column] | None = None) -> Val | None:
     """A first-hit table as a broadcast join; None if its cells aren't plain or no single type compares them as they are.
 
     The rules are grouped by the values of the most telling column: one row a
@@ -406,6 +414,8 @@ def compile_join(content: dict, scope: Scope, stage: Stage) -> Val | None:
         return out
 
     hit = stage.column(F.get(F.filter(candidates, passes), F.lit(0)))
+    if note is not None:
+        note["index"] = hit["at"]
     out = Val(F.lit(None), T.NullType(), fields={})
     for f, k in kinds.items():
         out = placed(f.split("."), Val(hit[names[f]], k, present=F.coalesce(hit[f"p{names[f]}"], F.lit(False))), out)

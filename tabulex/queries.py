@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import Engine, cell, expr, template
-from .sources.loaders import MemorySource
+from . import tooling
+from .engine import Engine, cell, expr, template, validate_cell, validate_expression
+from .operators.graph import batched
+from .plans.syntax import RuleError
+from .sources.json_io import contexts, results
+from .sources.loaders import CachedSource, CallableSource, DirectorySource, MemorySource, ZipSource, source_from
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -736,6 +743,229 @@ def exact_numbers(spark: SparkSession, d: str) -> DataFrame:
     return apply(df, doc, exact=True).select(F.col("p_partkey").cast("long").alias("p_partkey"), F.col("a").cast("string").alias("a"), "b")
 
 
+# -- sources, JSON in and out
+
+EXAMPLES = Path(__file__).parent / "examples"
+BAND_CASE = "CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice BETWEEN 50000 AND 200000 THEN 'middle' ELSE 'low' END"
+
+
+@query("source_kinds", f"SELECT o_orderkey, {', '.join(f'{BAND_CASE} AS s{i}' for i in range(7))}, 'failed' AS nothing FROM orders")
+def source_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """One document by way of every kind of source; the default source has none."""
+    text = (EXAMPLES / "orders/band.json").read_text()
+    archive = io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("orders/band.json", text)
+    sources = [
+        DirectorySource(EXAMPLES),
+        MemorySource({"orders/band.json": text}),
+        ZipSource(archive.getvalue()),
+        CallableSource(lambda key: (EXAMPLES / key).read_text()),
+        CachedSource(DirectorySource(EXAMPLES)),
+        source_from({"type": "static", "content": {"orders/band.json": text}}),
+        source_from({"type": "fs", "path": str(EXAMPLES)}),
+    ]
+    out = read(spark, d, "orders").select("o_orderkey", "o_totalprice")
+    for i, source in enumerate(sources):
+        out = Engine(source).apply(out, "orders/band.json").withColumnRenamed("band", f"s{i}")
+    try:
+        Engine().apply(out, "orders/band.json")
+        nothing = "found"
+    except RuleError:
+        nothing = "failed"
+    return out.drop("o_totalprice").withColumn("nothing", F.lit(nothing))
+
+
+@query("json_in_out", """
+SELECT o_orderkey, o_totalprice > 100000 AS big, 'order ' || o_orderkey AS label, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%SZ') AS due, NULL::VARCHAR AS gone FROM orders""")
+def json_in_out(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts from JSON texts, results back as JSON texts, read again here with Spark's own functions."""
+    given = read(spark, d, "orders").select(F.to_json(F.struct("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("at"))).alias("j"))
+    doc = graph({"e": expressions(("key", "o_orderkey"), ("big", "o_totalprice > 100000"), ("label", "'order ' + string(o_orderkey)"), ("due", "d(at).add(1, 'day')"), ("gone", "missing"))})
+    out = results(apply(contexts(given, "j", "o_orderkey bigint, o_totalprice double, at string"), doc, keep=False))
+    return out.select(F.get_json_object("json", "$.key").cast("long").alias("o_orderkey"), F.get_json_object("json", "$.big").cast("boolean").alias("big"), *[F.get_json_object("json", f"$.{x}").alias(x) for x in ("label", "due", "gone")])
+
+
+@query("json_variant", "SELECT o_orderkey, o_totalprice * 2 AS twice, o_orderstatus = 'O' AS open FROM orders")
+def json_variant(spark: SparkSession, d: str) -> DataFrame:
+    """JSON contexts without a schema."""
+    given = read(spark, d, "orders").select(F.to_json(F.struct("o_orderkey", "o_totalprice", "o_orderstatus")).alias("j"))
+    doc = graph({"e": expressions(("o_orderkey", "number(context.o_orderkey)"), ("twice", "number(context.o_totalprice) * 2"), ("open", "context.o_orderstatus == 'O'"))})
+    out = apply(contexts(given, "j"), doc, keep=False)
+    return out.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "twice", "open")
+
+
+# -- cells, traces, dates by column
+
+
+@query("cell_forms", """
+SELECT l_orderkey, l_linenumber, CASE WHEN -l_quantity <= -45 THEN 'a' WHEN l_discount = (CASE WHEN l_tax > 0.04 THEN 0.1 ELSE 0.05 END) THEN 'b' WHEN l_quantity IN (1, 2) OR l_quantity > 40 THEN 'c' WHEN l_quantity + l_linenumber > 40 THEN 'd' ELSE 'e' END AS kind FROM lineitem""")
+def cell_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with unary minus, a ternary and parentheses, and a column without a field."""
+    doc = table_doc(["-l_quantity", "l_discount", "l_quantity", "free"], ["kind"], [("<= -45", "", "", "", "'a'"), ("", "l_tax > 0.04 ? 0.1 : 0.05", "", "", "'b'"), ("", "", "(1), 2 or > 40", "", "'c'"), ("", "", "", "l_quantity + l_linenumber > 40", "'d'"), ("", "", "", "", "'e'")])
+    doc["nodes"][1]["content"]["inputs"][3]["field"] = ""
+    return apply(read(spark, d, "lineitem"), doc).select("l_orderkey", "l_linenumber", "kind")
+
+
+@query("graph_trace_rows", """
+SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 0 WHEN o_totalprice > 50000 THEN 1 ELSE -1 END::INTEGER AS first_row, array_to_string(list_filter([CASE WHEN o_totalprice > 100000 THEN 0 END, CASE WHEN o_totalprice > 50000 THEN 1 END], lambda x: x IS NOT NULL), ',') AS all_rows, o_totalprice AS given, CASE WHEN o_totalprice > 100000 THEN 'a' WHEN o_totalprice > 50000 THEN 'b' END AS made FROM orders""")
+def graph_trace_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The trace of tables: what they were given, which rows were hit, what came out."""
+    rules = [("> 100000", "'a'"), ("> 50000", "'b'")]
+    doc = graph({"f": ("decisionTableNode", table_content(["o_totalprice"], ["x"], rules, passThrough=True)), "c": ("decisionTableNode", table_content(["o_totalprice"], ["x"], rules, hit="collect"))})
+    out = apply(read(spark, d, "orders").select("o_orderkey", "o_totalprice"), doc, trace=True, into="r")
+    return out.select("o_orderkey", F.coalesce("trace.f.traceData.index", F.lit(-1)).alias("first_row"), F.array_join("trace.c.traceData.indices", ",").alias("all_rows"), F.col("trace.f.input.o_totalprice").alias("given"), F.col("trace.f.output.x").alias("made"))
+
+
+@query("date_seconds", """
+SELECT event_id, second(ts)::BIGINT AS s, minute(ts)::BIGINT AS m, epoch_ms(ts) >= epoch_ms(TIMESTAMP '2024-01-10 06:00:00') AS late, date_trunc('hour', ts) >= TIMESTAMP '2024-01-10 06:00:00' AS late_hour FROM events""")
+def date_seconds(spark: SparkSession, d: str) -> DataFrame:
+    return computed(read(spark, d, "events"), ["event_id"], s="d(ts).second()", m="d(ts).minute()", late="d(ts).isSameOrAfter(d('2024-01-10 06:00:00'))", late_hour="d(ts).isSameOrAfter(d('2024-01-10 06:00:00'), 'hour')")
+
+
+@query("date_units_by_column", """
+SELECT o_orderkey, CASE WHEN u = 'fortnight' THEN NULL ELSE date_trunc(u, o_orderdate) END AS start,
+  CASE u WHEN 'day' THEN o_orderdate + INTERVAL 3 DAY WHEN 'month' THEN o_orderdate + INTERVAL 3 MONTH WHEN 'hour' THEN o_orderdate + INTERVAL 3 HOUR END AS later,
+  CASE u WHEN 'day' THEN 31 WHEN 'month' THEN 1 WHEN 'hour' THEN 744 ELSE -1 END::BIGINT AS span,
+  CASE u WHEN 'hour' THEN o_orderdate + INTERVAL 2 DAY + INTERVAL 5 HOUR WHEN 'day' THEN o_orderdate + INTERVAL 1 MONTH WHEN 'month' THEN o_orderdate - INTERVAL 7 DAY END AS moved
+FROM (SELECT o_orderkey, o_orderdate, ['day', 'month', 'hour', 'fortnight'][1 + o_orderkey % 4] AS u FROM orders)""")
+def date_units_by_column(spark: SparkSession, d: str) -> DataFrame:
+    """Units and durations that are columns; a unit that is none is an evaluation error."""
+    names = F.array(*[F.lit(x) for x in ("day", "month", "hour", "fortnight")])
+    spans = F.array(*[F.lit(x) for x in ("1 month", "-1w", "2d 5h", "soon")])
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderdate", F.get(names, (F.col("o_orderkey") % 4).cast("int")).alias("u"), F.get(spans, (F.col("o_orderkey") % 4).cast("int")).alias("p"))
+    out = computed(o, ["o_orderkey"], on_error="null", start="d(o_orderdate).startOf(u)", later="d(o_orderdate).add(3, u)", span="d('2024-02-01').diff(d('2024-01-01'), u)", moved="d(o_orderdate).add(p)")
+    return out.select("o_orderkey", *[F.col(x).cast("timestamp_ntz").alias(x) for x in ("start", "later")], F.coalesce("span", F.lit(-1)).alias("span"), F.col("moved").cast("timestamp_ntz").alias("moved"))
+
+
+# -- policies: imports, goals, errors, pools
+
+
+@query("policy_imports", "SELECT c_custkey, c_acctbal * 1.1 AS raised, CASE WHEN c_acctbal * 1.1 > 5000 THEN 'vip' ELSE 'std' END AS band FROM customer")
+def policy_imports(spark: SparkSession, d: str) -> DataFrame:
+    """A policy over models and blocks that two imports bring, one by way of the other."""
+    source = MemorySource({
+        "models": policy(model("customer", "balance:number")),
+        "raise": {"imports": ["models"], **policy(("expression", {"key": "customer.raised", "value": "customer.balance * 1.1"}))},
+        "band": {"imports": ["raise", "models"], **policy(("match", {"key": "customer.band", "arms": [{"id": "1", "condition": "customer.raised > 5000", "value": "'vip'"}, {"id": "2", "condition": "", "value": "'std'"}]}))},
+    })
+    df = read(spark, d, "customer").select("c_custkey", F.struct(F.col("c_acctbal").alias("balance")).alias("customer"))
+    return Engine(source).apply(df, "band").select("c_custkey", "customer.raised", "customer.band")
+
+
+@query("policy_error_null", "SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_acctbal + 1 END AS a, c_acctbal + 2 AS b FROM customer")
+def policy_error_null(spark: SparkSession, d: str) -> DataFrame:
+    """An evaluation error of one block is null there and leaves the others alone."""
+    doc = policy(model("customer", "balance:number", "segment:string"), ("expression", {"key": "customer.a", "value": "customer.segment == 'BUILDING' ? number('x') : customer.balance + 1"}), ("expression", {"key": "customer.b", "value": "customer.balance + 2"}))
+    df = read(spark, d, "customer").select("c_custkey", F.struct(F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).alias("customer"))
+    return apply(df, doc, on_error="null").select("c_custkey", "customer.a", "customer.b")
+
+
+@query("policy_pool_table", "SELECT c_custkey, upper(n_name) AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey <> 3")
+def policy_pool_table(spark: SparkSession, d: str) -> DataFrame:
+    """References that name rows of a table; an id without its row is null."""
+    doc = policy(model("customer", "nation:reference:nation"), model("nation", "id:string", "name:string"), ("expression", {"key": "customer.label", "value": "customer.nation.name == null ? null : upper(customer.nation.name)"}))
+    pool = read(spark, d, "nation").where("n_nationkey <> 3").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    df = read(spark, d, "customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation")).alias("customer"))
+    return apply(df, doc, pools={"nation": pool}).select("c_custkey", F.col("customer.label").alias("nation"))
+
+
+@query("graph_function_batched", "SELECT o_orderkey, o_totalprice * 2 AS twice, upper(o_orderstatus) || '!' AS status FROM orders")
+def graph_function_batched(spark: SparkSession, d: str) -> DataFrame:
+    """A function node over many rows at once."""
+
+    def handler(rows):
+        return rows.assign(twice=rows.o_totalprice * 2, status=rows.o_orderstatus.str.upper() + "!")
+
+    doc = graph({"f": ("functionNode", {"source": "registered in Python"})})
+    df = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    return apply(df, doc, functions={"f": (batched(handler), "twice double, status string")}).select("o_orderkey", "twice", "status")
+
+
+# -- tooling, as small tables
+
+
+def listed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values_sql(rows: list[tuple], names: str) -> str:
+    cells = ", ".join("(" + ", ".join("NULL" if x is None else "'" + str(x).replace("'", "''") + "'" for x in r) + ")" for r in rows)
+    return f"SELECT * FROM (VALUES {cells}) AS t({names})"
+
+
+BROKEN: list[tuple[str, dict, str]] = [
+    ("circular", {"imports": ["loop"], **policy()}, "CircularImport"),
+    ("missing import", {"imports": ["nowhere"], **policy()}, "ImportNotFound"),
+    ("two shapes", policy(model("c", "x:number"), model("c", "x:string")), "DataModelCollision"),
+    ("enum", policy(("dictionary", {"name": "e", "entries": [{"id": "1", "value": "a"}, {"id": "2", "value": "a"}]})), "DuplicateEnumValue"),
+    ("name", policy(model("1st", "x:number")), "InvalidName"),
+    ("path", policy(("expression", {"key": "a..b", "value": "1"})), "InvalidWritePath"),
+    ("empty", policy(("assertion", {"output": "a.ok", "conditions": []})), "EmptyBlock"),
+    ("deep", policy(("assertion", {"output": "a.ok", "conditions": [{"id": "1", "expression": "true", "depth": 40}]})), "MaxDepthExceeded"),
+    ("twice", policy(("expression", {"key": "c.x", "value": "1"}), ("expression", {"key": "c.x", "value": "2"})), "DuplicateWriter"),
+    ("whole and part", policy(("expression", {"key": "c.o", "value": "{a: 1}"}), ("expression", {"key": "c.o.b", "value": "2"})), "PartialObjectWrite"),
+    ("iterated read", policy(model("o", "ls:relationship[]:l"), model("l", "q:number"), ("expression", {"key": "o.n", "value": "l.q + 1"})), "UnreachableEntityRead"),
+    ("nested", policy(model("o", "ls:relationship[]:l"), model("l", "ps:relationship[]:p"), model("p", "q:number"), ("expression", {"key": "p.n", "value": "p.q + 1"})), "UnsupportedNestedIteration"),
+    ("cycle", policy(("expression", {"key": "c.x", "value": "c.y"}), ("expression", {"key": "c.y", "value": "c.x"})), "CyclicDependency"),
+    ("self", policy(("expression", {"key": "c.x", "value": "c.x + 1"})), "SelfReferencingWrite"),
+    ("input", policy(model("c", "x:number"), ("expression", {"key": "c.x", "value": "1"})), "InputOverride"),
+    ("target", policy(model("c", "x:reference:d")), "UnknownDataModelTarget"),
+    ("types", policy(model("c", "n:number"), ("expression", {"key": "c.m", "value": "c.n + 'a'"})), "TypeMismatch"),
+    ("types of a computed value", policy(model("c", "n:number"), ("expression", {"key": "c.m", "value": "c.n > 1"}), ("expression", {"key": "c.k", "value": "c.m * 2"})), "TypeMismatch"),
+    ("no such name", policy(model("c", "n:number"), ("expression", {"key": "c.m", "value": "c.gone"})), "UndefinedVariable"),
+    ("no such function", policy(model("c", "n:number"), ("expression", {"key": "c.m", "value": "c.n + foo(1)"})), "InvalidExpression"),
+    ("graph", {"nodes": [], "edges": []}, "InvalidGraphStructure"),
+    ("syntax", graph({"e": expressions(("x", "1 +"))}), "ParseError"),
+    ("graph types", graph({"e": expressions(("x", "o_orderkey > 1")), "f": expressions(("y", "x + 1"))}), "TypeMismatch"),
+    ("right", graph({"e": expressions(("x", "o_orderkey + 1")), "f": expressions(("y", "x > 2 and o_orderstatus == 'O'"))}), ""),
+]
+
+
+@query("tool_diagnostics", values_sql([(name, code) for name, _, code in BROKEN], "document, errors"))
+def tool_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    """Error codes of documents that have one thing wrong each."""
+    source, schema = MemorySource({"loop": {"imports": ["loop"], "blocks": []}}), read(spark, d, "orders").schema
+    return listed(spark, [(name, ",".join(sorted({f.code for f in tooling.diagnostics(doc, source, schema) if f.error}))) for name, doc, _ in BROKEN], "document string, errors string")
+
+
+LINTED = graph({"e": expressions(("x", "(a + b * 2)"), ("y", "a > 1 ? 1 : a > 0 ? 2 : 3")), "f": expressions(("z", "a * b + c")), "g": expressions(("w", "a * b + c")), "t": ("decisionTableNode", table_content(["n", "k"], ["q"], [("> 5", "'a'", "1"), ("[6..9]", "'a'", "2"), ("", "'a'", "3")]))})
+
+
+@query("tool_lint", values_sql([("PreferMatch", "e"), ("RedundantParentheses", "e"), ("RepeatedDerivation", "g"), ("NonDiscriminatingColumn", "t"), ("RedundantTableRow", "t")], "code, place"))
+def tool_lint(spark: SparkSession, d: str) -> DataFrame:
+    return listed(spark, [(f.code, f.where) for f in tooling.lint(LINTED)], "code string, place string")
+
+
+@query("tool_types", values_sql([("o_orderkey + 1", "bigint"), ("o_totalprice / 2", "double"), ("o_totalprice > 1 ? o_orderstatus : 'x'", "string"), ("o_orderkey in [1, 2]", "boolean"), ("[o_orderkey]", "array<bigint>"), ("d(o_orderdate)", "timestamp"), ("gone", "void")], "text, type"))
+def tool_types(spark: SparkSession, d: str) -> DataFrame:
+    schema = read(spark, d, "orders").schema
+    return listed(spark, [(t, tooling.type_of(t, schema).simpleString()) for t in ("o_orderkey + 1", "o_totalprice / 2", "o_totalprice > 1 ? o_orderstatus : 'x'", "o_orderkey in [1, 2]", "[o_orderkey]", "d(o_orderdate)", "gone")], "text string, type string")
+
+
+@query("tool_dependencies", values_sql([("t", "a.b,c,d"), ("e", "x"), ("inputs", "a.b,c,d"), ("outputs", "x,y")], "part, paths"))
+def tool_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    doc = graph({"t": ("decisionTableNode", table_content(["a.b"], ["x"], [("> c", "d + 1")])), "e": expressions(("y", "x * 2"))})
+    rows = [(k, ",".join(v)) for k, v in tooling.dependencies(doc).items() if v]
+    return listed(spark, [*rows, ("inputs", ",".join(tooling.inputs(doc))), ("outputs", ",".join(tooling.outputs(doc)))], "part string, paths string")
+
+
+@query("tool_validate", values_sql([("expression", "a + 1", "true"), ("expression", "a +", "false"), ("cell", "> 5, [1..2]", "true"), ("cell", "> ", "false"), ("document", "good", "true"), ("document", "bad", "false"), ("inputs", "customer.balance", "false")], "kind, text, valid"))
+def tool_validate(spark: SparkSession, d: str) -> DataFrame:
+    """Syntax checks, compiling a source's documents, and a policy whose input lacks what it reads."""
+    rows = [("expression", t, validate_expression(t) is None) for t in ("a + 1", "a +")] + [("cell", t, validate_cell(t) is None) for t in ("> 5, [1..2]", "> ")]
+    engine = Engine(MemorySource({"good": graph({"e": expressions(("x", "1"))}), "bad": {"nodes": [], "edges": []}}))
+    failed = engine.compile()
+    rows += [("document", k, k not in failed) for k in ("good", "bad")]
+    doc = policy(model("customer", "balance:number", "name:string"), ("expression", {"key": "customer.x", "value": "customer.balance + 1"}))
+    df = read(spark, d, "customer").select(F.struct(F.col("c_name").alias("name")).alias("customer"))
+    try:
+        apply(df, doc)
+    except RuleError as e:
+        rows.append(("inputs", str(e).removeprefix("missing inputs: "), False))
+    return listed(spark, [(a, b, str(c).lower()) for a, b, c in rows], "kind string, text string, valid string")
+
+
 STREAM_DOC = table_doc(["event_type", "value"], ["lane"], [("'purchase'", "> 50", "'big'"), ("'purchase'", "", "'small'"), ("", "", "'none'")])
 
 
@@ -744,14 +974,9 @@ SELECT CASE WHEN event_type = 'purchase' AND value > 50 THEN 'big' WHEN event_ty
 def stream_scored(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
-    from .streaming import write_scored
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
+    from .streaming import shared_dir, write_scored
 
-        root = tempfile.mkdtemp(prefix="tabulex-stream-")
-    at = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = read(spark, d, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
     write_scored(Engine(MemorySource({"lanes": STREAM_DOC})), events, "lanes", f"{at}/out", f"{at}/state").awaitTermination()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
@@ -19,3 +22,11 @@ def write_scored(engine: Engine, stream: DataFrame, key: str, path: str, checkpo
     """Score what is there and write it as Parquet; exactly once, by the checkpoint."""
     scored = score_stream(engine, stream, key, **options)
     return scored.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); where all runs on one machine and none is named, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or tempfile.mkdtemp(prefix="tabulex-stream-")).rstrip("/")

@@ -236,3 +236,24 @@ def test_entry_lists_what_it_has(spark):
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert "table_first_hit" in __spark_entry__.queries()
+
+
+def test_pools_given_as_tables(spark, monkeypatch):
+    """A repeated id, a null one and one without a row; by broadcast and by shuffle."""
+    doc = policy(model("c", "n:reference:nation"), model("nation", "id:string", "name:string"), ("expression", {"key": "c.label", "value": "c.n.name ?? 'none'"}))
+    pool = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (None, "z")], "id long, name string")
+    df = spark.createDataFrame([(i, (i,)) for i in (1, 2, 3, None)], "k long, c struct<n: long>")
+    for most in (100, 0):
+        monkeypatch.setattr("tabulex.operators.policy.POOL_ROWS", most)
+        got = apply(df, doc, pools={"nation": pool}).select("k", "c.label").collect()
+        assert sorted(map(tuple, got), key=str) == [(1, "a"), (2, "b"), (3, "none"), (None, "none")]
+    many = policy(model("c", "n:reference[]:nation"), model("nation", "id:string", "name:string"), ("expression", {"key": "c.x", "value": "len(c.n)"}))
+    with pytest.raises(RuleError):
+        apply(spark.createDataFrame([(1, ([1],))], "k long, c struct<n: array<long>>"), many, pools={"nation": pool})
+
+
+def test_models_that_disagree_are_an_error(spark):
+    df = spark.createDataFrame([(1, (2.0,))], "k long, c struct<x: double>")
+    with pytest.raises(RuleError, match="DataModelCollision"):
+        apply(df, policy(model("c", "x:number"), model("c", "x:string")))
+    assert apply(df, policy(model("c", "x:number"), model("c", "x:number", "y:string?"))).count() == 1
