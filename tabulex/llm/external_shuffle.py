@@ -40,7 +40,7 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
 
     ``bytes_column`` holds the size of a record (without it, ``record_bytes``);
     there are as many buckets as keep a bucket near ``bucket_bytes``, and
-    ``min_buckets`` at least. A bucket is one row of an array for a while, so it
+    ``min_buckets`` at least. A bucket is one array of a task for a while, so it
     must fit a task's memory several times. Equal rows that would fill an eighth
     of a bucket or more are dealt one by one to all buckets. Null columns hash
     like any value. An empty table gives an empty result. Columns must be
@@ -69,16 +69,19 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
         scattered = rest.unionByName(each.select(F.pmod(F.xxhash64(F.lit(seed), "r.h", "k"), F.lit(buckets)).cast("int").alias("bucket"), "r"))
     # one bucket to a partition, numbered alike: the seed of Fisher-Yates then depends on the bucket alone
     filled = scattered.repartitionById(buckets, F.col("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list("r")).alias("rows"))
-    written = keep(filled.select("bucket", F.shuffle("rows", seed).alias("rows")), "buckets")
+    shuffled = filled.select("bucket", F.shuffle("rows", seed).alias("rows"))
+    # rows again before they are written: no file holds a bucket as one value
+    flat = shuffled.select("bucket", F.posexplode("rows").alias("pos", "r")).select("bucket", "pos", *[F.col(f"r.row.c{i}").alias(f"c{i}") for i in range(len(names))])
+    written = keep(flat, "buckets")
     starts, at = [], 0
-    for bucket, count in sorted(written.select("bucket", F.size("rows").alias("n")).collect()):
+    for bucket, count in sorted(written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()):
         starts.append((bucket, at))
         at += count
     schema = T.StructType([T.StructField("b", T.IntegerType()), T.StructField("start", T.LongType())])
     offsets = F.broadcast(df.sparkSession.createDataFrame(starts, schema))  # one row of 12 bytes a bucket: a megabyte for 3 TB
     place = F.col("start") + F.col("pos")
-    dealt = written.join(offsets, F.col("bucket") == F.col("b")).select("start", F.posexplode("rows").alias("pos", "r"))
-    out = dealt.select(*[F.col(f"r.row.c{i}").alias(f"c{i}") for i in range(len(names))], (place % shards).cast("int").alias("s"), F.floor(place / shards).cast("long").alias("t"))
+    dealt = written.join(offsets, F.col("bucket") == F.col("b"))
+    out = dealt.select(*[F.col(f"c{i}") for i in range(len(names))], (place % shards).cast("int").alias("s"), F.floor(place / shards).cast("long").alias("t"))
     return out.toDF(*names, "shard", "slot")
 
 

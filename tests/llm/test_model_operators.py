@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabulex.llm import context_tree, learned_partitions, mixing, near_dedup, packing, shingles
+from tabulex.llm.common import keep
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -484,7 +485,7 @@ def test_pipeline(spark):
     names = docs.columns
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.keep(stage(spark, docs, "unused"), name)
+        docs = keep(stage(spark, docs, "unused"), name)
         kept[name] = docs
         if name != "packing":
             assert docs.columns == names
