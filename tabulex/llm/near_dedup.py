@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,58 +24,68 @@ from pyspark.sql import functions as F
 from .common import find, finished, keep, numbered, parallelism, pick, slices, tidy
 from .line_dedup import bytes_of
 from .shingles import mix, shingles, words_by_text
+from .tallies import Lookup, Tally, frequent, word_keys
 
-BUCKETS_BITS = 18  # word frequencies are counted by hash: 2 MB, whatever the vocabulary
+#: The most frequent words, whose counts are broadcast (16 bytes each); all others count as the rarest of these.
+FREQUENT_WORDS = 1 << 18
 BANDS, ROWS = 12, 3
 #: Buckets of more than twice this many texts, or shingles, are dealt to cells of about so many; a block has two cells at most.
 CELL, CELL_SHINGLES = 500, 1_400_000
 #: The largest shingle weight from idf is 1 + IDF_SPAN times the smallest.
 IDF_SPAN = 1.0
-PIECE = 4096
 
 
 def lowered(column: pa.Array) -> list[bytes]:
     return [(t or b"").lower() for t in bytes_of(column)]
 
 
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """The number of documents, and in how many of them words of each hash bucket are."""
+def document_frequencies(docs: DataFrame) -> tuple[int, pa.Table, int]:
+    """The number of documents, the most frequent words (key, every: documents that have it), and a count that no other word passes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(1 << BUCKETS_BITS, np.int64), 0
+        tally = Tally()
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            key, _, every = tally.take()
+            for lo in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000].astype(np.int64)) for x in (key, every)], names=["key", "every"])
+
         for b in slices(batches):
             texts = lowered(b.column(0))
-            n += len(texts)
             for lo in range(0, len(texts), 256):
-                own = [np.unique(w >> np.uint64(64 - BUCKETS_BITS)) for w in words_by_text(texts[lo : lo + 256])]
-                total += np.bincount(np.concatenate(own).astype(np.int64), minlength=len(total)) if own else 0
-        at = [-1, *range(0, len(total), PIECE)]
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([np.array([n]).tobytes(), *(total[i : i + PIECE].tobytes() for i in at[1:])], pa.binary())], names=["at", "part"])
+                own = [np.unique(w) for w in words_by_text(texts[lo : lo + 256])]
+                keys = word_keys(own) if own else np.zeros(0, np.int64)
+                tally.add(keys, np.zeros(len(keys), bool))
+                if tally.full():  # more different words than are worth holding
+                    yield from rows()
+        yield from rows()
+
+    counted = keep(docs.select("text").mapInArrow(tidy(count), "key long, every long").groupBy("key").agg(F.sum("every").alias("every")), "words")
+    often = frequent(counted, FREQUENT_WORDS)
+    rest = counted.count() > len(often)
+    least = int(pc.min(often["every"]).as_py() or 1) if len(often) else 1
+    return docs.count(), often, least if rest else 1
+
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for i, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                held[i] = held.get(i, 0) + np.frombuffer(part, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
+class WordValues:
+    """From 1 for words that all documents have to 1 + IDF_SPAN for words of one."""
 
-    n = 2 * parallelism(docs.sparkSession)
-    parts = docs.select("text").coalesce(n).mapInArrow(tidy(count), "at int, part binary")
-    merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(tidy(add), "at int, part binary").collect()}
-    if -1 not in merged:
-        return 0, np.zeros(1 << BUCKETS_BITS, np.int64)
-    return int(merged[-1][0]), np.concatenate([merged[i] for i in range(0, 1 << BUCKETS_BITS, PIECE)])
+    def __init__(self, n: int, keys: np.ndarray, every: np.ndarray, least: int):
+        def value(x: np.ndarray) -> np.ndarray:
+            return 1 + IDF_SPAN * np.log((n + 1) / (np.minimum(x, n) + 1)) / np.log(n + 2)
 
+        self.lookup, self.rest = Lookup(keys, value(every.astype(float))), float(value(np.array([float(least)]))[0])
 
-def word_values(n: int, frequencies: np.ndarray) -> np.ndarray:
-    """1 for words that all documents have, up to 1 + IDF_SPAN for words of one document."""
-    idf = np.log((n + 1) / (np.minimum(frequencies, n) + 1)) / np.log(n + 2)
-    return (1 + IDF_SPAN * idf).astype(np.float64)
+    def of(self, words: np.ndarray) -> np.ndarray:
+        if not len(words):
+            return np.zeros(0)
+        values, found = self.lookup.find(word_keys([words]))
+        return np.where(found, values, self.rest)
 
 
-def weighted(words: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def weighted(words: np.ndarray, values: WordValues) -> tuple[np.ndarray, np.ndarray]:
     """A document's shingles, sorted, and their weights."""
-    h, count, value = shingles(words, values[(words >> np.uint64(64 - BUCKETS_BITS)).astype(np.int64)])
+    h, count, value = shingles(words, values.of(words))
     order = np.argsort(h)
     return h[order], ((1 + np.log(count)) * value)[order]
 
@@ -124,13 +135,13 @@ def signatures(docs: DataFrame, values: Broadcast, bands: int = BANDS, rows: int
     """doc_id, digest of the text and one key a band; texts without words have no keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(bands * rows)
+        sampler, known = Sampler(bands * rows), WordValues(*values.value)
         factor = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(rows)], np.uint64)
         for b in slices(batches):
             texts, keys = lowered(b.column(0)), []
             for lo in range(0, len(texts), 256):
                 for words in words_by_text(texts[lo : lo + 256]):
-                    h, w = weighted(words, values.value)
+                    h, w = weighted(words, known)
                     keys.append(mix((sampler.sample(h, w).reshape(bands, rows) * factor).sum(axis=1, dtype=np.uint64)).view(np.int64) if len(h) else [])
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "digest", "keys"])
 
@@ -146,8 +157,9 @@ def features(docs: DataFrame, wanted: DataFrame, values: Broadcast) -> DataFrame
     """The weighted shingles of each wanted text, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordValues(*values.value)
         for b in slices(batches):
-            sets = [weighted(w, values.value) for w in words_by_text(lowered(b.column(1)))]
+            sets = [weighted(w, known) for w in words_by_text(lowered(b.column(1)))]
             stored = [pa.array([x[k].astype(kind).tobytes() for x in sets], pa.large_binary()).cast(pa.binary()) for k, kind in ((0, np.uint64), (1, np.float32))]
             whole = [float(x[1].astype(np.float32).astype(float).sum()) for x in sets]
             yield pa.RecordBatch.from_arrays([b.column(0), *stored, pa.array([len(x[0]) for x in sets], pa.int64()), pa.array(whole, pa.float64())], names=["digest", "h", "w", "size", "whole"])
@@ -354,8 +366,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     spark = docs.sparkSession
     table = pick(docs, text=text, doc_id=doc_id)
-    n, frequencies = document_frequencies(table)
-    values = spark.sparkContext.broadcast(word_values(max(1, n), frequencies))  # 2 MB
+    n, often, least = document_frequencies(table)
+    values = spark.sparkContext.broadcast((max(1, n), often["key"].to_numpy(), often["every"].to_numpy(), least))  # 4 MB
     signed = keep(signatures(table, values), "signatures")
     texts = signed.groupBy("digest").agg(F.first("keys").alias("keys"))
     banded = texts.select("digest", F.posexplode("keys").alias("band", "key"))

@@ -99,17 +99,14 @@ def jaccard(a, b):
 
 
 def brute_groups(texts):
-    """Components of equal texts and of weighted Jaccard of 0.8 or more, with the operator's own word values."""
+    """Components of equal texts and of weighted Jaccard of 0.8 or more."""
     low = [(t or "").encode().lower() for t in texts]
     words = [shingles.word_hashes(t) for t in low]
     n = len(texts)
-    df = np.zeros(1 << near_dedup.BUCKETS_BITS, np.int64)
-    for w in words:
-        df[np.unique(w >> np.uint64(64 - near_dedup.BUCKETS_BITS)).astype(np.int64)] += 1
-    values = near_dedup.word_values(n, df)
+    df = Counter(x for w in words for x in set(w.tolist()))
     sets = []
     for t, w in zip(low, words, strict=True):
-        value = dict(zip(w.tolist(), values[(w >> np.uint64(64 - near_dedup.BUCKETS_BITS)).astype(np.int64)], strict=True))
+        value = {x: 1 + math.log((n + 1) / (df[x] + 1)) / math.log(n + 2) for x in w.tolist()}
         assert len(WORD.findall(t)) == len(w)
         own = w.tolist()
         grams = [tuple(own[i : i + 5]) for i in range(max(1, len(own) - 4))] if own else []
@@ -132,6 +129,21 @@ def brute_groups(texts):
     return {frozenset(g) for g in groups.values()}
 
 
+def test_words_are_counted_exactly(spark, monkeypatch):
+    r = random.Random(14)
+    texts = [" ".join(f"w{r.randrange(3000) if r.random() < 0.7 else r.randrange(40)}" for _ in range(50)) for _ in range(120)] + [None, ""]
+    df = Counter(w for t in texts for w in set((t or "").split()))
+    for most in (1 << 18, 30):
+        monkeypatch.setattr(near_dedup, "FREQUENT_WORDS", most)
+        n, often, least = near_dedup.document_frequencies(table(spark, texts))
+        assert n == len(texts) and len(often) <= most and (least == 1) == (most > 30)
+        values = near_dedup.WordValues(n, often["key"].to_numpy(), often["every"].to_numpy(), least)
+        for w, k in df.items():
+            got = values.of(shingles.word_hashes(w.encode()))[0]
+            assert math.isclose(got, 1 + math.log((n + 1) / (max(k, least) + 1)) / math.log(n + 2))
+        assert values.of(shingles.word_hashes(b"never"))[0] == values.rest
+
+
 def near_texts(r, n=60):
     texts = []
     for _ in range(n):
