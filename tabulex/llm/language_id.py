@@ -124,7 +124,7 @@ def document_counts(docs: DataFrame) -> tuple[int, np.ndarray]:
                 held[i] = held.get(i, 0) + np.frombuffer(part, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["at", "part"])
 
-    n = 2 * parallelism(docs.sparkSession)
+    n = 16 * parallelism(docs.sparkSession)  # tasks of some half a megabyte each
     parts = docs.select("text").coalesce(n).mapInArrow(tidy(count), "at int, part binary")
     merged = {r["at"]: np.frombuffer(r["part"], np.int64) for r in parts.repartition(n, "at").mapInArrow(tidy(add), "at int, part binary").collect()}
     if -1 not in merged:

@@ -48,9 +48,9 @@ def _block(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(text: bytes) -> np.ndarray:
     """64-bit hashes of a text's words, in order."""
     out = []
-    while len(text) > BLOCK:
+    while len(text) >= BLOCK:
         cut = max(text.rfind(bytes([s]), 0, BLOCK) for s in (0x20, 9, 10, 11, 12, 13))
-        if cut < 0:  # a word that is longer than a block has a hash of its own kind
+        if cut < 0:  # a word of a block or more has a hash of its own kind
             cut = min((p for s in (0x20, 9, 10, 11, 12, 13) if (p := text.find(bytes([s]))) >= 0), default=len(text))
             out.append(np.array([xxhash.xxh3_64_intdigest(text[:cut])], np.uint64))
         else:

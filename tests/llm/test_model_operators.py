@@ -129,6 +129,16 @@ def brute_groups(texts):
     return {frozenset(g) for g in groups.values()}
 
 
+@pytest.mark.parametrize("size", [-1, 0, 1])
+def test_a_long_word_has_one_hash(size):
+    word = b"q" * (shingles.BLOCK + size)
+    alone = shingles.word_hashes(word)
+    for text in (word + b" x", b"ab " + word, b"ab " + word + b"\n" + word, b" " + word + b" "):
+        got = shingles.word_hashes(text)
+        assert got[np.isin(got, alone)].size == text.split().count(word)
+        assert [x.tolist() for x in shingles.words_by_text([b"a", text, b"b"])][1] == got.tolist()
+
+
 def test_words_are_counted_exactly(spark, monkeypatch):
     r = random.Random(14)
     texts = [" ".join(f"w{r.randrange(3000) if r.random() < 0.7 else r.randrange(40)}" for _ in range(50)) for _ in range(120)] + [None, ""]
