@@ -246,41 +246,60 @@ def _split(args: list[Val], s: Scope) -> Val:
 
 
 def fuzzy_udf(many: bool) -> Callable:
-    """Arrow-batched; all that it needs is made here, so that workers needn't import this package."""
+    """Arrow-batched: each different pair once, pairs of equal lengths together. All that it needs is made here, so that workers needn't import this package."""
     import pandas as pd
 
-    def similarity(a: str, b: str) -> float:
-        """1 less the unrestricted Damerau-Levenshtein distance over the longer length."""
-        if not a and not b:
-            return 1.0
-        last: dict[str, int] = {}
-        big = len(a) + len(b)
-        d = [[big] * (len(b) + 2) for _ in range(len(a) + 2)]
-        for i in range(len(a) + 1):
-            d[i + 1][1] = i
-        for j in range(len(b) + 1):
-            d[1][j + 1] = j
-        for i in range(1, len(a) + 1):
-            at = 0
-            for j in range(1, len(b) + 1):
-                i1, j1 = last.get(b[j - 1], 0), at
-                cost = 1
-                if a[i - 1] == b[j - 1]:
-                    cost, at = 0, j
-                d[i + 1][j + 1] = min(d[i][j] + cost, d[i + 1][j] + 1, d[i][j + 1] + 1, d[i1][j1] + (i - i1 - 1) + 1 + (j - j1 - 1))
-            last[a[i - 1]] = i
-        return 1 - d[-1][-1] / max(len(a), len(b))
+    def distances(pairs: list[tuple[str, str]]):
+        """Unrestricted Damerau-Levenshtein distances of pairs with the same two lengths, none of them 0."""
+        import numpy as np
+
+        n, la, lb = len(pairs), len(pairs[0][0]), len(pairs[0][1])
+        a, b = (np.frombuffer("".join(p[k] for p in pairs).encode("utf-32-le", "surrogatepass"), "<u4").reshape(n, -1) for k in (0, 1))
+        rows, big = np.arange(n), la + lb
+        d = np.full((la + 2, lb + 2, n), big, np.int32)
+        d[1:, 1] = np.arange(la + 1)[:, None]
+        d[1, 1:] = np.arange(lb + 1)[:, None]
+        last = np.zeros((lb + 1, n), np.int64)  # where in a the character of b was seen last
+        for i in range(1, la + 1):
+            at = np.zeros(n, np.int64)
+            for j in range(1, lb + 1):
+                same = a[:, i - 1] == b[:, j - 1]
+                swapped = d[last[j], at, rows] + (i - last[j] - 1) + 1 + (j - at - 1)
+                d[i + 1, j + 1] = np.minimum(np.minimum(d[i, j] + ~same, np.minimum(d[i + 1, j], d[i, j + 1]) + 1), swapped)
+                at[same] = j
+                last[j, same] = i
+        return d[la + 1, lb + 1]
+
+    def similarities(pairs: list[tuple[str, str]]) -> dict[tuple[str, str], float]:
+        """1 less the distance over the longer length."""
+        out: dict[tuple[str, str], float] = {}
+        sizes: dict[tuple[int, int], list[tuple[str, str]]] = {}
+        for p in set(pairs):
+            if p[0] == p[1] or not p[0] or not p[1]:
+                out[p] = float(p[0] == p[1])
+            else:
+                sizes.setdefault((len(p[0]), len(p[1])), []).append(p)
+        for (la, lb), own in sizes.items():
+            step = max(1, 4_000_000 // ((la + 2) * (lb + 2)))
+            for lo in range(0, len(own), step):
+                part = own[lo : lo + step]
+                out |= {p: 1 - x / max(la, lb) for p, x in zip(part, distances(part).tolist(), strict=True)}
+        return out
 
     if many:
 
         def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None or y is None else [None if z is None else similarity(z, y) for z in x] for x, y in zip(a, b, strict=True)])
+            pairs = [None if x is None or y is None else [None if z is None else (z, y) for z in x] for x, y in zip(a, b, strict=True)]
+            known = similarities([p for row in pairs if row for p in row if p])
+            return pd.Series([None if row is None else [None if p is None else known[p] for p in row] for row in pairs])
 
         run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
         return F.pandas_udf(run, T.ArrayType(DOUBLE))
 
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+        pairs = [None if x is None or y is None else (x, y) for x, y in zip(a, b, strict=True)]
+        known = similarities([p for p in pairs if p])
+        return pd.Series([None if p is None else known[p] for p in pairs], dtype="float64")
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, DOUBLE)
