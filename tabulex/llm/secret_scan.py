@@ -3,8 +3,9 @@
 Tokens are runs of the characters that secrets are made of. Each token is
 tagged secret-begin, secret-inside or outside; a line's tokens are one chain.
 Features are the token's shape, its neighbours and the text around it. The field
-is fitted on a bounded sample that the patterns label; half of the time it
-doesn't see the neighbours, so that it also knows secrets that nothing announces.
+is fitted on a bounded sample that the patterns label, and on secrets and
+harmless tokens made up at random in the same texts; half of the time it doesn't
+see the neighbours, so that it also knows secrets that nothing announces.
 
 Tokens and features of many texts are made by array operations on their bytes.
 Viterbi is exact but short: a token whose outside score leads by more than any
@@ -15,7 +16,9 @@ into independent parts there.
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -344,35 +347,92 @@ def byte_places(text: str) -> np.ndarray:
     return np.r_[np.flatnonzero((raw & 0xC0) != 0x80), len(raw)]
 
 
-#: Rows that the field is fitted on, at most about; chains taken of each; tokens of a training chain on either side of one that makes it.
-SAMPLE, CHAINS, NEAR = 4000, 8, 6
+#: Texts that the field is fitted on, at most about, and of others; chains taken of each; tokens of a training chain on either side of one that makes it; places where something made up stands.
+SAMPLE, OTHERS, CHAINS, NEAR, MADE_UP = 4000, 1000, 8, 6, 3
+
+
+LOWER, UPPER, DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+
+
+def made_up(r: random.Random, words: list[str]) -> tuple[str, str, bool]:
+    """(what stands before, a token or two, whether it is a secret), put together at random.
+
+    Secrets are random characters of several alphabets, some behind a short
+    prefix, and, behind a sign, short ones and words run together. The others
+    are what clean texts hold: numbers, dates, addresses, words joined by signs.
+    """
+
+    def some(letters: str, n: int) -> str:
+        return "".join(r.choice(letters) for _ in range(n))
+
+    def word() -> str:
+        return r.choice(words)
+
+    sign = r.choice(["", "", " = ", ": ", "=", ' = "', ":"])
+    before = word() + sign if sign else ""
+    if r.random() < 0.5:
+        letters = r.choice([LOWER[:6] + DIGIT, LOWER + UPPER + DIGIT, LOWER + UPPER + DIGIT, LOWER + DIGIT, UPPER + DIGIT, LOWER + UPPER + DIGIT + "+/", LOWER + UPPER])
+        body = some(letters, r.randint(9 if sign else 20, 44))
+        kind = r.random()
+        if kind < 0.3:
+            body = some(LOWER, r.randint(2, 5)) + r.choice(["_", "-", "_live_", "-test-"]) + body
+        elif kind < 0.4:
+            body += ":" + some(letters, r.randint(12, 30))
+        elif kind < 0.5 and sign:
+            body = "".join(word().capitalize() for _ in range(3)) + (some(DIGIT, 2) if r.random() < 0.5 else "")
+        return before, body, True
+    year = f"{r.randint(1950, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}"
+    return before, r.choice([
+        some(DIGIT, r.randint(3, 18)), year, f"{year}T{r.randint(0, 23):02}", ".".join(some(DIGIT, r.randint(1, 3)) for _ in range(4)), f"{word()}.{word()}", f"{word()}-{word()}-{word()}", f"{word()}_{word()}",
+        f"www.{word()}.com/{word()}/{word()}-{word()}", f"{word()}{some(DIGIT, 2)}", word().capitalize() + word().capitalize(), word().upper() + "-" + some(DIGIT, 4), word(), word(), f"{some(DIGIT, 3)}-{some(DIGIT, 4)}", "=" * r.randint(3, 30), "-" * r.randint(3, 40),
+    ]), False
 
 
 def labelled(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Stretches of a text's chains with tags by the patterns: around secrets and long tokens with a digit, and the start of a plain line.
+    """Stretches of a text's chains with their tags, for the fit.
 
-    Of an assignment its value is the secret. Of more than CHAINS stretches the ones with secrets come first.
+    Those around secrets by the patterns (of an assignment its value is the
+    secret) and around long tokens with a digit; the start of a plain line; and,
+    in the same text, places where something made up stands.
     """
     low = text.lower()
     spans = [m.span(2) for m in ASSIGN.finditer(text) if len(m.group(2)) >= 8] if any(h in low for h in HINTS) else []
-    spans = sorted(spans + [(s, e) for s, k, e in patterns(text) if k])
+    out = stretches(text, spans + [(s, e) for s, k, e in patterns(text) if k])
+    r = random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass")))
+    words, gaps = re.findall("[A-Za-z]{3,12}", text), [m.start() for m in re.finditer(" ", text)]
+    for _ in range(MADE_UP if words and gaps else 0):
+        at = r.choice(gaps)
+        before, body, secret = made_up(r, words)
+        start = at + 1 + len(before)
+        changed = f"{text[:at]} {before}{body}{text[at:]}"
+        # only what lies near it, so that what the text has itself isn't repeated
+        lo, hi = max(changed.rfind("\n", 0, at) + 1, start - 200), start + len(body) + 200
+        out += stretches(changed[lo:hi].split("\n")[0], [(start - lo, start - lo + len(body))], secret)
+    return out
+
+
+def stretches(text: str, spans: list[tuple[int, int]], secret: bool | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of chains with tags by spans; with ``secret`` the only one is that around the span, which is one or is none."""
     raw = text.encode()
     x = tokens_of([raw])
     n = len(x.start)
     if not n:
         return []
     tags = np.full(n, OUTSIDE, np.int64)
+    inside = np.zeros(n, bool)
     if spans:
         place = byte_places(text)
-        for s, e in spans:
+        for s, e in sorted(spans):
             i, j = np.searchsorted(x.end, place[s], side="right"), np.searchsorted(x.start, place[e], side="left")
-            tags[i:j] = INSIDE
-            tags[i : i + 1] = BEGIN
+            inside[i:j] = True
+            if secret is not False:
+                tags[i:j] = INSIDE
+                tags[i : i + 1] = BEGIN
     data = np.frombuffer(raw, np.uint8)
     digits = np.r_[0, np.cumsum(KIND[data] == 3)]
-    hot = (tags != OUTSIDE) | ((x.end - x.start >= LEAST) & (digits[x.end] > digits[x.start]))
+    hot = inside if secret is not None else inside | ((x.end - x.start >= LEAST) & (digits[x.end] > digits[x.start]))
     bounds = np.r_[np.flatnonzero(np.r_[True, x.line[1:] != x.line[:-1]]), n]
-    plain = [(int(lo), int(min(hi, lo + 2 * NEAR))) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if not hot[lo:hi].any()][:1]
+    plain = [(int(lo), int(min(hi, lo + 2 * NEAR))) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) if not hot[lo:hi].any()][: secret is None]
     parts: list[list[int]] = []
     for i in np.flatnonzero(hot).tolist():
         line = np.searchsorted(bounds, i, side="right") - 1
@@ -386,12 +446,18 @@ def labelled(text: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def learn(docs: DataFrame) -> Field:
-    """A field fitted on a sample of ``text``: about SAMPLE different texts with a long token or a keyword, chosen by hash; CHAINS chains of each at most."""
+    """A field fitted on a sample of ``text``, chosen by hash: about SAMPLE different texts with a long token or a keyword and OTHERS without.
+
+    Of each, CHAINS chains at most and MADE_UP made-up ones. Without any text
+    nothing is learned, and nothing will be tagged.
+    """
     reach(docs.sparkSession)
-    long = docs.where((F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")) | F.col("text").rlike("(?i)" + "|".join(HINTS))).select("text", F.xxhash64(F.lit(19), "text").alias("h"))
-    n = long.agg(F.approx_count_distinct("h")).first()[0] or 0
+    hot = (F.col("text").rlike(r"[A-Za-z0-9+/_.=-]{%d}" % LEAST) & F.col("text").rlike("[0-9]")) | F.col("text").rlike("(?i)" + "|".join(HINTS))
+    texts = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64(F.lit(19), "text").alias("h"), hot.alias("hot"))
+    some, others = texts.agg(F.approx_count_distinct(F.when(F.col("hot"), F.col("h"))), F.approx_count_distinct(F.when(~F.col("hot"), F.col("h")))).first()
+    share = F.when(F.col("hot"), min(1.0, SAMPLE / max(1, some))).otherwise(min(1.0, OTHERS / max(1, others)))
     # copies become one text before they count
-    chosen = long.where(F.pmod("h", F.lit(1 << 30)) < min(1.0, SAMPLE / max(1, n)) * (1 << 30)).groupBy("h").agg(F.first("text").alias("text"))
+    chosen = texts.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
