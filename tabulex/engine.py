@@ -48,7 +48,7 @@ class Engine:
     null instead. exact: numbers are DECIMAL(28, 10) throughout; otherwise they
     keep their columns' types. now: the instant that ``d()`` and ``isToday``
     mean, for results that can be repeated. functions: {node id or name:
-    (function, result schema)} for function nodes. adapters: {kind: f(scope,
+    (function, result schema)} for function nodes, or a ``columnar`` function. adapters: {kind: f(scope,
     config)} for custom nodes.
     """
 

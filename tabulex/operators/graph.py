@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.compiler import Scope, compile_text, settled, truth
+from ..plans.compiler import Scope, compile_cell, compile_text, settled, truth
 from ..plans.syntax import RuleError
 from ..plans.typed import Val, both, guarded, merged, open_up, placed, solid
 from .schema_check import conforms, read_schema
@@ -247,7 +248,10 @@ def handle(n: dict, given: Val, seen: Val, stage: Stage | Inline, o: Options, de
         f = o.functions.get(n["id"]) or o.functions.get(n.get("name") or "")
         if f is None:
             raise RuleError(f"{what}: no Python function is registered for it")
-        return function(f, given)
+        if getattr(f, "columnar", False):
+            made = f(Rules(scope_for(given, seen, o), stage, o, depth))
+            return Val(F.lit(None), T.NullType(), fields=dict(made), sure=True)
+        return function(f, given, seen)
     if kind == "customNode":
         f = o.adapters.get(content.get("kind"))
         if f is None:
@@ -280,10 +284,34 @@ def expressions(content: dict, given: Val, seen: Val, stage: Stage | Inline, o:
     return out
 
 
-def function(f: tuple[Callable, str], given: Val) -> Val:
+@dataclass
+class Rules:
+    """What a function that makes Columns can ask for: expressions, cells and other documents, compiled like any node's."""
+
+    scope: Scope
+    stage: Stage | Inline
+    options: Options
+    depth: int
+
+    def evaluate(self, text: str) -> Val:
+        """An expression over the node's input; ``$nodes`` has the outputs of earlier nodes."""
+        return compile_text(text, self.scope)
+
+    def test(self, text: str, on: str) -> Val:
+        """A table cell's test of an expression; false where either fails."""
+        return Val(truth(compile_cell(text, replace(self.scope, dollar=compile_text(on, self.scope)))), T.BooleanType(), sure=True)
+
+    def decide(self, key: str, **given: Val) -> Val:
+        """Another graph's result for the node's input, or for the values given."""
+        base = Val(F.lit(None), T.NullType(), fields=given, sure=True) if given else self.scope.base
+        return compile_graph(self.options.load(key), base, self.stage, self.options, self.depth + 1)[0]
+
+
+def function(f: tuple[Callable, str], given: Val, seen: Val) -> Val:
     """A registered Python function from an input to an output object, in Arrow batches.
 
-    It takes one object as a dict; one marked with ``batched`` takes a pandas
+    It takes one object as a dict, and the outputs of earlier nodes by name if
+    it has a parameter ``nodes``. One marked with ``batched`` takes a pandas
     DataFrame of many and returns another, without a way through JSON.
     """
     import pandas as pd
@@ -301,16 +329,29 @@ def function(f: tuple[Callable, str], given: Val) -> Val:
 
         many.__annotations__ = {"rows": pd.DataFrame, "return": pd.DataFrame}
         return Val(F.pandas_udf(many, kind)(v.col), kind)
+    wants = "nodes" in inspect.signature(call).parameters
 
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else json.dumps(call(json.loads(t)), default=str) for t in texts])
+        def one(text: str) -> object:
+            x = json.loads(text)
+            return call(x["input"], nodes=x["nodes"]) if wants else call(x)
+
+        return pd.Series([None if t is None else json.dumps(one(t), default=str) for t in texts])
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    text = F.to_json(v.col, {"ignoreNullFields": "false"}) if v.object else F.to_json(F.struct(v.col))
-    return Val(F.from_json(F.pandas_udf(run, "string")(text), kind), kind)
+    whole = v.col if v.object else F.struct(v.col)
+    if wants:
+        whole = F.struct(whole.alias("input"), solid(seen).col.alias("nodes"))
+    return Val(F.from_json(F.pandas_udf(run, "string")(F.to_json(whole, {"ignoreNullFields": "false"})), kind), kind)
 
 
 def batched(f: Callable) -> Callable:
     """Mark a function node's function as one from DataFrame to DataFrame."""
     f.batched = True
     return f
+
+
+def columnar(f: Callable) -> Callable:
+    """Mark a function node's function as one that makes Columns: it takes ``Rules`` and returns values by key, and no Python runs on rows."""
+    f.columnar = True
+    return f

@@ -6,6 +6,7 @@ import io
 import json
 import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import tooling
 from .engine import Engine, cell, expr, template, validate_cell, validate_expression
-from .operators.graph import batched
+from .operators.graph import batched, columnar
 from .plans.syntax import RuleError
 from .sources.json_io import contexts, results
 from .sources.loaders import CachedSource, CallableSource, DirectorySource, MemorySource, ZipSource, source_from
@@ -882,6 +883,22 @@ def graph_function_batched(spark: SparkSession, d: str) -> DataFrame:
     return apply(df, doc, functions={"f": (batched(handler), "twice double, status string")}).select("o_orderkey", "twice", "status")
 
 
+@query("graph_function_columns", f"""
+SELECT o_orderkey, o_totalprice * 1.5 AS raised, o_totalprice > 200000 AND o_orderstatus = 'O' AS hot, {BAND_CASE} AS band, 'n' || o_orderkey AS tag FROM orders""")
+def graph_function_columns(spark: SparkSession, d: str) -> DataFrame:
+    """A function node that evaluates expressions, a cell and another document, all as Columns, and one that sees earlier nodes."""
+
+    def handler(rules):
+        hot = rules.evaluate("rate > 1 and o_orderstatus == 'O'")
+        big = rules.test("> 200000", "o_totalprice")
+        return {"raised": rules.evaluate("o_totalprice * $nodes.e.rate"), "hot": replace(hot, col=big.col & hot.col), "band": rules.decide("orders/band.json", o_totalprice=rules.evaluate("o_totalprice")).fields["band"]}
+
+    doc = graph({"e": expressions(("rate", "1.5"), passThrough=True), "f": ("functionNode", {"source": "registered in Python"}), "g": ("functionNode", "registered in Python too")})
+    df = read(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    engine = Engine(DirectorySource(EXAMPLES), functions={"f": columnar(handler), "g": (lambda x, nodes: {**x, "tag": "n" + str(nodes["in"]["o_orderkey"])}, "raised double, hot boolean, band string, tag string")})
+    return engine.create_decision(doc).apply(df).select("o_orderkey", "raised", "hot", "band", "tag")
+
+
 # -- tooling, as small tables
 
 
@@ -950,6 +967,31 @@ def tool_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return listed(spark, [*rows, ("inputs", ",".join(tooling.inputs(doc))), ("outputs", ",".join(tooling.outputs(doc)))], "part string, paths string")
 
 
+PRICED = policy(
+    model("order", "kind:string", "weight:number", "zone:string", "value:number", "name:string"),
+    ("expression", {"key": "order.insured", "value": "order.value * 0.01"}),
+    ("match", {"key": "order.fee", "arms": [{"id": "1", "condition": "order.kind == 'parcel'", "value": "order.weight * 2"}, {"id": "2", "condition": "order.kind == 'safe'", "value": "order.insured + 5"}, {"id": "3", "condition": "", "value": "1"}]}),
+    ("expression", {"key": "order.label", "value": "order.name + ' ' + string(order.fee)"}),
+    ("match", {"key": "order.route", "arms": [{"id": "1", "condition": "order.fee > 10", "value": "order.zone"}]}),
+)
+
+
+@query("tool_conditional_inputs", values_sql([("", "", "order.kind,order.name,order.value"), ("order.fee", "order.kind == 'parcel'", "order.weight"), ("order.fee", "order.kind == 'safe'", ""), ("order.fee", "", ""), ("order.route", "order.fee > 10", "order.zone")], "path, condition, inputs"))
+def tool_conditional_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """What a policy needs always, and what each arm of its matches needs besides."""
+    return listed(spark, [(path, condition, ",".join(found)) for path, condition, found in tooling.conditional_inputs(PRICED)], "path string, condition string, inputs string")
+
+
+GAPS = [("> 5|<= 5", ""), ("> 5|< 5", "[5..5]"), ("[0..10)|[10..20]", "(-..0), (20..)"), ("1|2|> 2", "(-..1), (1..2)"), ("", ""), ("< 3|> 7|[4..6]", "[3..4), (6..7]"), ("'a'", None)]
+
+
+@query("tool_numeric_gaps", values_sql(GAPS, "cells, gaps"))
+def tool_numeric_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Which numbers a column's cells leave out."""
+    found = [(cells, tooling.numeric_gaps(cells.split("|"))) for cells, _ in GAPS]
+    return listed(spark, [(cells, None if gaps is None else ", ".join(gaps)) for cells, gaps in found], "cells string, gaps string")
+
+
 @query("tool_validate", values_sql([("expression", "a + 1", "true"), ("expression", "a +", "false"), ("cell", "> 5, [1..2]", "true"), ("cell", "> ", "false"), ("document", "good", "true"), ("document", "bad", "false"), ("inputs", "customer.balance", "false")], "kind, text, valid"))
 def tool_validate(spark: SparkSession, d: str) -> DataFrame:
     """Syntax checks, compiling a source's documents, and a policy whose input lacks what it reads."""
