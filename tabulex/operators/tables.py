@@ -285,10 +285,12 @@ def stored(text: str, v: Val) -> object:
 def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Column] | None = None) -> Val | None:
     """A first-hit table as a broadcast join; None if its cells aren't plain or no single type compares them as they are.
 
-    The rules are grouped by the values of the most telling column: one row a
-    value, with an array of that value's rules in order, so the join never
-    multiplies rows and nothing shuffles. The rest of the tests picks the first
-    rule of the array. The answers are those of the chain of conditions.
+    The rules are grouped by the values of the most telling column. If one
+    other column is tested, and it is of numbers, a value has a row for each
+    stretch of numbers with one first hit, and the join's condition finds it;
+    else a value is one row with an array of its rules in order, of which the
+    rest of the tests picks the first. Either way the join never multiplies rows,
+    nothing shuffles, and the answers are those of the chain of conditions.
     """
     inputs, outputs, rules = content.get("inputs") or [], content.get("outputs") or [], content.get("rules") or []
     if not inputs or any(not str(c.get("field") or "").strip() for c in inputs) or any(c["field"].endswith("[]") for c in outputs):
@@ -360,8 +362,17 @@ def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Colu
         else:
             for x in dict.fromkeys(p.values):
                 groups.setdefault(x, []).append(at)
-    # what a rule's record holds of each column; its key's values are the group's
     names = {f: f"o{i}" for i, f in enumerate(kinds)}
+    out_type = [T.StructField(names[f], k) for f, k in kinds.items()] + [T.StructField(f"p{n}", T.BooleanType()) for n in names.values()] + [T.StructField("at", T.IntegerType())]
+
+    def outputs_of(at: int) -> tuple:
+        row = []
+        for f, k in kinds.items():
+            x = made[at][f][0] if f in made[at] else None
+            row.append(float(x) if isinstance(k, T.DoubleType) and x is not None else x)
+        return (*row, *(f in made[at] for f in kinds), at)
+
+    # what a rule's record holds of each column; its key's values are the group's
     parts: list[tuple[str, str, T.DataType]] = []
     for i, c in enumerate(inputs):
         used = [t[c["id"]] for t in tests if c["id"] in t]
@@ -373,29 +384,14 @@ def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Colu
                 if len({getattr(p, closed) for p in some}) > 1:
                     parts.append((c["id"], f"{closed}{i}", T.BooleanType()))
     kind_of = {n: k for _, n, k in parts}
-    rule_type = [T.StructField(n, k) for _, n, k in parts] + [T.StructField(names[f], k) for f, k in kinds.items()] + [T.StructField(f"p{n}", T.BooleanType()) for n in names.values()]
-    rule_type.append(T.StructField("at", T.IntegerType()))
+    array = T.ArrayType(T.StructType([T.StructField(n, k) for _, n, k in parts] + out_type))
 
     def record(at: int) -> tuple:
         row: list[object] = []
         for column, n, _ in parts:
             p = tests[at].get(column) or Plain()
             row.append(getattr(p, "values" if n[0] == "e" else n.rstrip("0123456789")))
-        for f, k in kinds.items():
-            x = made[at][f][0] if f in made[at] else None
-            row.append(float(x) if isinstance(k, T.DoubleType) and x is not None else x)
-        return (*row, *(f in made[at] for f in kinds), at)
-
-    array = T.ArrayType(T.StructType(rule_type))
-    spark = stage.df.sparkSession
-    tag = f"{Stage.PREFIX}rules{stage.n}"
-    table = spark.createDataFrame([(x, [record(i) for i in sorted(at + free)]) for x, at in groups.items()], T.StructType([T.StructField(f"{tag}_key", compared[key["id"]]), T.StructField(tag, array)]))
-    stage.join(F.broadcast(table), tested(key) == F.col(f"{tag}_key"))  # as large as the document
-    candidates = F.col(tag)
-    if free:
-        rest = spark.createDataFrame([([record(i) for i in free],)], T.StructType([T.StructField(f"{tag}_free", array)]))
-        stage.df = stage.df.crossJoin(F.broadcast(rest))  # one row
-        candidates = F.coalesce(F.col(tag), F.col(f"{tag}_free"))
+        return (*row, *outputs_of(at))
 
     def passes(r: Column) -> Column:
         out = F.lit(True)
@@ -413,7 +409,42 @@ def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Colu
                 out = out & (r[n].isNull() | F.coalesce(inside, F.lit(False)))
         return out
 
-    hit = stage.column(F.get(F.filter(candidates, passes), F.lit(0)))
+    spark = stage.df.sparkSession
+    tag = f"{Stage.PREFIX}rules{stage.n}"
+    stage.n += 1
+    key_field = T.StructField(f"{tag}_key", compared[key["id"]])
+    others = [c for c in inputs if c is not key and any(c["id"] in t for t in tests)]
+    lines = len(others) < 2 and all(not isinstance(compared[c["id"]], T.StringType) for c in others)
+    if lines:
+        # with one other column, of numbers, each group is a line of numbers, cut where the first hit changes
+        other = others[0]["id"] if others else None
+        kind = compared[other] if other else T.LongType()
+        rows = []
+        for x, own in groups.items():
+            able = sorted(own + [i for i in free if takes(tests[i].get(key["id"]), x)])
+            rows += [(x, *piece, outputs_of(i)) for piece, i in pieces([(i, tests[i].get(other)) for i in able], isinstance(kind, T.LongType))]
+        edges = [T.StructField(f"{tag}_{n}", k) for n, k in (("null", T.BooleanType()), ("low", kind), ("low_in", T.BooleanType()), ("high", kind), ("high_in", T.BooleanType()))]
+        table = spark.createDataFrame(rows, T.StructType([key_field, *edges, T.StructField(tag, T.StructType(out_type))]))
+        on = tested(key) == F.col(f"{tag}_key")
+        if other:
+            nothing, low, low_in, high, high_in = (F.col(e.name) for e in edges)
+            x = tested(others[0])
+            above, below = low.isNull() | (x > low) | (low_in & (x == low)), high.isNull() | (x < high) | (high_in & (x == high))
+            on = on & F.when(x.isNull(), nothing).otherwise(~nothing & above & below)
+        stage.join(F.broadcast(table), on)  # as large as the document; a row has one piece at most
+        hit = F.col(tag)
+    else:
+        table = spark.createDataFrame([(x, [record(i) for i in sorted(at + free)]) for x, at in groups.items()], T.StructType([key_field, T.StructField(tag, array)]))
+        stage.join(F.broadcast(table), tested(key) == F.col(f"{tag}_key"))  # as large as the document
+        hit = F.get(F.filter(F.col(tag), passes), F.lit(0))
+    if free:
+        rest = spark.createDataFrame([([record(i) for i in free],)], T.StructType([T.StructField(f"{tag}_free", array)]))
+        stage.df = stage.df.crossJoin(F.broadcast(rest))  # one row
+        alone = F.get(F.filter(F.col(f"{tag}_free"), passes), F.lit(0))
+        if lines:
+            alone = F.when(alone.isNotNull(), F.struct(*[alone[f.name].alias(f.name) for f in out_type]))
+        hit = F.when(F.col(tag).isNull(), alone).otherwise(hit)
+    hit = stage.column(hit)
     if note is not None:
         note["index"] = hit["at"]
     out = Val(F.lit(None), T.NullType(), fields={})
@@ -422,6 +453,40 @@ def compile_join(content: dict, scope: Scope, stage: Stage, note: dict[str, Colu
     return out
 
 
+def takes(p: Plain | None, x: object) -> bool:
+    """Whether a typed test passes for a known value."""
+    if p is None:
+        return True
+    if p.values is not None:
+        return x in p.values
+    return (p.low is None or x > p.low or p.low_in and x == p.low) and (p.high is None or x < p.high or p.high_in and x == p.high)
+
+
+def pieces(rules: list[tuple[int, Plain | None]], whole: bool) -> list[tuple[tuple, int]]:
+    """The line of numbers in pieces ((null, low, low_in, high, high_in), first rule that hits there); what no rule takes is left out."""
+    cuts = sorted({x for _, p in rules if p for x in [*(p.values or []), p.low, p.high] if x is not None})
+    found: list[list] = []  # low, low_in, high, high_in, rule
+
+    def put(low: object, high: object, closed: bool) -> None:
+        if closed:
+            rule = next((i for i, p in rules if takes(p, low)), None)
+        else:  # between two cuts
+            rule = next((i for i, p in rules if p is None or p.values is None and (p.low is None or low is not None and p.low <= low) and (p.high is None or high is not None and p.high >= high)), None)
+        if found and found[-1][4] == rule:
+            found[-1][2:4] = high, closed
+        else:
+            found.append([low, closed, high, closed, rule])
+
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        if not whole or low is None or high is None or low + 1 < high:
+            put(low, high, False)
+        if high is not None:
+            put(high, high, True)
+    out = [((False, *x[:4]), x[4]) for x in found if x[4] is not None]
+    null = next((i for i, p in rules if p is None), None)
+    return out + ([((True, None, False, None, False), null)] if null is not None else [])
+
+
 # -- policies' tables
 
 

@@ -63,13 +63,17 @@ def test_join_compares_numbers_as_the_chain_does(spark, kind, exact, monkeypatch
     few = [x for x in values if not (exact and x is not None and (x != x or abs(float(x)) > 1e17))]
     df = spark.createDataFrame([(i, None if v is None else str(v), k) for i, (v, k) in enumerate((v, k) for v in few for k in ("a", "b", None))], "i long, v string, k string").select("i", F.col("v").cast(kind).alias("v"), "k")
     literals = [x for x in LITERALS if not exact or len(x) < 18]
-    for trial in range(2):
-        pool = literals if trial else [x for x in literals if not set(x) & set(".e")]
+    for trial in range(3):
+        pool = literals if trial == 1 else [x for x in literals if not set(x) & set(".e")]
         made = []
         for i in range(30):
             a, b = r.choice(pool), r.choice(pool)
             test = r.choice([a, a, a, f"{a}, {b}", f"> {a}", f"<= {a}", f"({a}..{b}]", f">= {a}", f"< {a}"])
-            made.append((test, r.choice(["'a'", "'b'", "", ""]), f"'r{i}'", r.choice(["1", "2.5", "0.1"])))
+            key = r.choice(["'a'", "'b'", "", ""])
+            if trial == 2:  # the strings tell the rules apart, and the numbers are a line
+                key = r.choice(["'a'", "'b'", "'c'", "'d', 'a'", "'e'", "'f'", "'b'", ""])
+                test = r.choice([test, ""]) if i > 3 else r.choice([f"({a}..{b})", f"[{a}..{b}]"])
+            made.append((test, key, f"'r{i}'", r.choice(["1", "2.5", "0.1"])))
         doc = table_doc(["v", "k"], ["code", "rate"], [*made, ("", "'a'", "'last'", "7")])
         monkeypatch.setattr(tables, "JOIN_ROWS", 10**9)
         chain = sorted(rows(apply(df, doc, exact=exact).select("i", "code", F.col("rate").cast("string"))))
