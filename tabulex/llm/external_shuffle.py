@@ -29,7 +29,16 @@ def record_bytes(df: DataFrame):
     return size
 
 
-def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None = None, seed: int = 17, bucket_bytes: int = 32 << 20, min_buckets: int = 16) -> DataFrame:
+def bucket_size(spark: SparkSession) -> int:
+    """Bytes of a bucket that a task's memory holds many times over: a 28th of an executor's share for a core, from 32 MB to 1 GB."""
+    text = spark.conf.get("spark.executor.memory", "1g").strip().lower().removesuffix("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    memory = int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
+    cores = int(spark.conf.get("spark.executor.cores", "2"))
+    return min(max(memory // cores // 28, 32 << 20), 1 << 30)
+
+
+def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None = None, seed: int = 17, bucket_bytes: int | None = None, min_buckets: int = 16) -> DataFrame:
     """Deal all rows of ``df`` to ``shards`` shards in a seeded random order.
 
     Returns the columns of ``df`` with ``shard`` int and ``slot`` long appended;
@@ -39,8 +48,8 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
     not on their order or partitions; equal rows are interchangeable.
 
     ``bytes_column`` holds the size of a record (without it, ``record_bytes``);
-    there are as many buckets as keep a bucket near ``bucket_bytes``, and
-    ``min_buckets`` at least. A bucket is one array of a task for a while, so it
+    there are as many buckets as keep a bucket near ``bucket_bytes`` (by default
+    what ``bucket_size`` finds for the executors), and ``min_buckets`` at least. A bucket is one array of a task for a while, so it
     must fit a task's memory several times. Equal rows that would fill an eighth
     of a bucket or more are dealt one by one to all buckets. Null columns hash
     like any value. An empty table gives an empty result. Columns must be
@@ -48,6 +57,7 @@ def external_shuffle(df: DataFrame, shards: int = 8, bytes_column: str | None =
     """
     if shards < 1:
         raise ValueError("shards must be positive")
+    bucket_bytes = bucket_bytes or bucket_size(df.sparkSession)
     names = df.columns
     n = numbered(df)
     size = F.coalesce(F.col(f"c{find(df, bytes_column)}"), F.lit(0)) if bytes_column else record_bytes(n)

@@ -52,6 +52,16 @@ def test_sharding_awkward(spark):
     assert out.columns == [*clash.columns, "shard", "slot"] and out.count() == 40
 
 
+def test_buckets_fit_the_executors():
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {f"spark.executor.{k}": v for k, v in conf.items()}
+
+    assert sharding.bucket_size(Session()) == sharding.bucket_size(Session(memory="1800m", cores="2")) >> 25 << 25 == 32 << 20
+    assert sharding.bucket_size(Session(memory="28g", cores="4")) == 256 << 20 and sharding.bucket_size(Session(memory="900GB", cores="1")) == 1 << 30
+    assert sharding.bucket_size(Session(memory=str(56 << 30), cores="2")) == 1 << 30
+
+
 def test_sharding_moves_the_texts(spark, tmp_path, monkeypatch):
     docs = table(spark, [f"t{i} é" * (i % 40) for i in range(150)] + AWKWARD)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
