@@ -8,6 +8,7 @@ import gc
 import os
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,23 +57,29 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulex-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    KEPT.append(path)
     atexit.register(forget, spark, path)
+    if kept := getattr(WITHIN, "kept", None):
+        kept[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables that ``keep`` wrote and ``finished`` hasn't deleted.
-KEPT: list[str] = []
+#: For each thread, a list of the tables kept within each ``finished`` that it is in, the innermost last.
+WITHIN = threading.local()
 
 
 def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``keep(make(), name)``, after which the tables that ``make`` kept on its way are deleted."""
-    before = len(KEPT)
-    out = keep(make(), name)
-    for path in KEPT[before:-1]:
+    if not hasattr(WITHIN, "kept"):
+        WITHIN.kept = []
+    WITHIN.kept.append([])
+    try:
+        out = make()
+    finally:
+        mine = WITHIN.kept.pop()  # after an error they stay until the interpreter ends
+    result = keep(out, name)  # one of the tables of the ``finished`` around this one
+    for path in mine:
         forget(spark, path)
-    del KEPT[before:-1]
-    return out
+    return result
 
 
 def find(df: DataFrame, name: str) -> int:

@@ -67,6 +67,31 @@ def nothing(spark, folder, tmp_path_factory):
     return str(root)
 
 
+def test_finished_deletes_its_own_tables_only(spark):
+    import os
+    import threading
+
+    from tabulex.llm.common import finished, keep, shared_dir
+
+    def names():
+        return {x.rsplit("-", 1)[0] for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("tabulex-own")}
+
+    def make():
+        inner = finished(spark, lambda: keep(spark.range(5), "own-a").where("id > 0"), "own-b")
+        assert names() == {"tabulex-own-other", "tabulex-own-b"}
+        return keep(inner, "own-c").where("id > 1")
+
+    other = keep(spark.range(3), "own-other")
+    out = []
+    worker = threading.Thread(target=lambda: out.append(finished(spark, make, "own-result")))
+    worker.start()
+    worker.join()
+    assert names() == {"tabulex-own-other", "tabulex-own-result"} and out[0].count() == 3 and other.count() == 3
+    with pytest.raises(ValueError):
+        finished(spark, lambda: int("x"), "own-never")
+    assert keep(spark.range(1), "own-last").count() == 1
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_empty_tables(spark, nothing, folder, name):
     out = queries.QUERIES[name](spark, nothing)
