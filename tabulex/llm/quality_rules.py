@@ -199,17 +199,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP9_SQL = r"""
-WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-k AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM (
-  SELECT doc_id, list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i + 7], chr(1))) AS ks FROM w WHERE len(ws) >= 9)),
-twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM k) WHERE c > 1),
-covered AS (SELECT doc_id, sum(least(8, coalesce(i - before, 8))) AS n FROM (
-  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM twice) GROUP BY doc_id),
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+k AS (SELECT r, i, k FROM (
+  SELECT r, i, list(x) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS k
+  FROM (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM w)) WHERE len(k) = 8),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM k) WHERE c > 1),
+covered AS (SELECT r, sum(least(8, coalesce(i - before, 8))) AS n FROM (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM twice) GROUP BY r),
 s AS (
   SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
     length(regexp_replace(t, '\P{L}+', '', 'g'))::BIGINT AS n_letters, length(regexp_replace(t, '\P{Lu}+', '', 'g'))::BIGINT AS n_upper,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(c.n, 0)::BIGINT AS n_repeat_words
-  FROM w LEFT JOIN covered c ON w.doc_id = c.doc_id),
+  FROM w LEFT JOIN covered c ON w.r = c.r),
 f AS (SELECT *, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM s)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 4 * n_symbols > n_words OR (n_lines >= 4 AND 100 * n_dup_lines > 40 * n_lines) OR (n_letters >= 40 AND 100 * n_upper > 60 * n_letters)
