@@ -149,11 +149,22 @@ def cut(rest: int, capacity: int) -> tuple[tuple[int, int], ...]:
     return tuple(pieces)
 
 
+#: A vocabulary of up to so many ids travels as 16-bit numbers, less this offset.
+SMALL_IDS, OFFSET = 1 << 16, 1 << 15
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, class int, worker int, at long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, batch: int = 64) -> DataFrame:
-    """Tokenize and cut; each piece gets its class and its number ``at`` among this worker's pieces of the class."""
+def has_small_ids(tokenizer: str, end_id: int) -> bool:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= SMALL_IDS
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, small: bool = False, batch: int = 64) -> DataFrame:
+    """Tokenize and cut; each piece gets its class and its number ``at`` among this worker's pieces of the class.
+
+    Ids are 16-bit numbers less OFFSET if they are ``small``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, worker = word_ids(tokenizer).encode, TaskContext.get().partitionId()
@@ -180,11 +191,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
             arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)]
             if with_ids:
                 ends = np.cumsum([0, *(len(x) // 4 for x in parts)])
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+                flat = np.frombuffer(b"".join(parts), "<i4")
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((flat - OFFSET).astype(np.int16) if small else flat)))
             yield pa.RecordBatch.from_arrays(arrays, names=[x.strip().split()[0] for x in PIECES.split(",")] + ["ids"] * with_ids)
         word_ids(tokenizer).forget()  # idle workers hold it beside the next stage's
 
-    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), PIECES + ", ids array<int>" * with_ids)
+    return pick(docs, doc_id="doc_id", text="text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run, "packing"), PIECES + f", ids array<{'smallint' if small else 'int'}>" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
@@ -197,7 +209,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     A null doc_id stays null.
     """
     spark = docs.sparkSession
-    cut_up = keep(pieces(docs, tokenizer, capacity, end_id, with_ids), "pieces")
+    narrow = with_ids and has_small_ids(tokenizer, end_id)
+    cut_up = keep(pieces(docs, tokenizer, capacity, end_id, with_ids, narrow), "pieces")
     counts = cut_up.groupBy("worker", "class").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("class").orderBy("worker").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keep(counts.select(F.col("worker").alias("w"), F.col("class").alias("k"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
@@ -226,11 +239,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 1,
     k = F.col("class")
     sequence = F.when(F.col("left"), F.element_at(rest, k)).otherwise(F.element_at(table, k) + F.floor(F.col("number") / k)).cast("long")
     inside = Window.partitionBy("sequence_id").orderBy("class", "number").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        placed.withColumn("sequence_id", sequence)
-        .withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long"))
-        .drop("number", "left")
-    )
+    out = placed.withColumn("sequence_id", sequence).withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("number", "left")
+    return out.withColumn("ids", F.transform("ids", lambda x: x.cast("int") + OFFSET)) if narrow else out
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

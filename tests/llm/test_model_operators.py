@@ -424,13 +424,19 @@ def test_parts_are_balanced():
 # -- packing
 
 
-def test_packing_round_trip(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_packing_round_trip(spark, small, monkeypatch):
     from tokenizers import Tokenizer
 
+    if not small:
+        monkeypatch.setattr(packing, "SMALL_IDS", 100)
+
     r = random.Random(12)
     texts = [" ".join(r.choice(["hello", "World,", "don't", "naïve", "42", "a.b", "…", "ＡＢＣ", "x" * 70]) for _ in range(r.choice([0, 1, 5, 300, 3000]))) for _ in range(60)] + AWKWARD + ["<|endoftext|> İΣΑΣ it's 's y"]
     docs = table(spark, texts).withColumn("sequence_id", F.lit("mine"))
-    rows = packing.pack(docs, TOKENIZER, with_ids=True).collect()
+    out = packing.pack(docs, TOKENIZER, with_ids=True)
+    assert out.schema["ids"].dataType.simpleString() == "array<int>"
+    rows = out.collect()
     tokenizer = Tokenizer.from_file(TOKENIZER)
     parts, sequences = defaultdict(list), defaultdict(list)
     for x in rows:
