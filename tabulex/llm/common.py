@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
 import os
@@ -38,13 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system, the path in it)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def forget(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system; a folder that is gone is no error."""
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may have ended before the interpreter does
-        pass
+    """Delete a folder; one that is gone is no error."""
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+    fs.cancelDeleteOnExit(p)
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
@@ -52,12 +55,13 @@ def keep(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: lost executors never repeat what stands above, and
     ids that depend on the order of rows are fixed from here on. The table goes
-    when the interpreter ends, or with ``finished``.
+    when the driver's JVM ends, or with ``finished``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tabulex-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(forget, spark, path)
+    fs, p = file_system(spark, path)
+    fs.deleteOnExit(p)
     if kept := getattr(WITHIN, "kept", None):
         kept[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -75,7 +79,7 @@ def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> D
     try:
         out = make()
     finally:
-        mine = WITHIN.kept.pop()  # after an error they stay until the interpreter ends
+        mine = WITHIN.kept.pop()  # after an error they stay until the JVM ends
     result = keep(out, name)  # one of the tables of the ``finished`` around this one
     for path in mine:
         forget(spark, path)

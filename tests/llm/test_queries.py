@@ -70,26 +70,29 @@ def nothing(spark, folder, tmp_path_factory):
 def test_finished_deletes_its_own_tables_only(spark):
     import os
     import threading
+    import uuid
 
     from tabulex.llm.common import finished, keep, shared_dir
 
+    own = uuid.uuid4().hex
+
     def names():
-        return {x.rsplit("-", 1)[0] for x in os.listdir(shared_dir(spark).removeprefix("file://")) if x.startswith("tabulex-own")}
+        return {x.split("-")[2] for x in os.listdir(shared_dir(spark).removeprefix("file:").replace("//", "/")) if x.startswith(f"tabulex-{own}")}
 
     def make():
-        inner = finished(spark, lambda: keep(spark.range(5), "own-a").where("id > 0"), "own-b")
-        assert names() == {"tabulex-own-other", "tabulex-own-b"}
-        return keep(inner, "own-c").where("id > 1")
+        inner = finished(spark, lambda: keep(spark.range(5), f"{own}-a").where("id > 0"), f"{own}-b")
+        seen.append(names())
+        return keep(inner, f"{own}-c").where("id > 1")
 
-    other = keep(spark.range(3), "own-other")
-    out = []
-    worker = threading.Thread(target=lambda: out.append(finished(spark, make, "own-result")))
+    other, out, seen = keep(spark.range(3), f"{own}-other"), [], []
+    worker = threading.Thread(target=lambda: out.append(finished(spark, make, f"{own}-result")))
     worker.start()
     worker.join()
-    assert names() == {"tabulex-own-other", "tabulex-own-result"} and out[0].count() == 3 and other.count() == 3
+    assert seen == [{"other", "b"}]
+    assert names() == {"other", "result"} and out[0].count() == 3 and other.count() == 3
     with pytest.raises(ValueError):
-        finished(spark, lambda: int("x"), "own-never")
-    assert keep(spark.range(1), "own-last").count() == 1
+        finished(spark, lambda: int("x"), f"{own}-never")
+    assert keep(spark.range(1), f"{own}-last").count() == 1
 
 
 @pytest.mark.parametrize("name", queries.QUERIES)
