@@ -305,7 +305,7 @@ def test_pipeline_on_awkward_documents(spark, folder, nothing):
             if name == "language_id":
                 assert set(range(150)) <= kept and not {200, 201, 202, 203, 204} & kept
             if name == "near_dedup":
-                assert len({3, 210, 211} & kept) == 1
+                assert 3 in kept and 210 not in kept  # of 211 the lines stage leaves its own line
     texts = {r["doc_id"]: r["text"] for r in before.collect()}
     from tokenizers import Tokenizer
 
