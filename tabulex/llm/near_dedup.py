@@ -170,11 +170,14 @@ def features(docs: DataFrame, wanted: DataFrame, values: Broadcast) -> DataFrame
 
 
 def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
-    """Whether two sets (sorted shingles, weights) have a weighted Jaccard similarity of ``threshold``."""
+    """Whether two sets (sorted shingles, weights) have a weighted or a plain Jaccard similarity of ``threshold``."""
     (xa, fa), (xb, fb) = a, b
     at = np.searchsorted(xb, xa)
     at[at == len(xb)] = 0
     same = xb[at] == xa if len(xb) else np.zeros(len(xa), bool)
+    n = int(same.sum())
+    if n and n >= threshold * (len(xa) + len(xb) - n) - 1e-9:
+        return True
     both = np.minimum(fa[same], fb[at[same]]).sum()
     whole = fa.sum() + fb.sum() - both
     return bool(whole > 0 and both >= threshold * whole - 1e-9)
@@ -185,7 +188,7 @@ def read_set(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least ``threshold``."""
+    """The pairs (a, b) whose similarity is at least ``threshold``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -243,7 +246,13 @@ def block_links(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]
     own = np.array([names[x] for x in label])
     sides, bands, k, weight = np.array(side), np.array(band), np.array(keys, np.int64), np.array(whole)
     may = np.triu(own[:, None] != own, 1) & ((sides[:, None] != sides) | (sides == 2)) & (bands[:, None] == bands)
-    may &= np.minimum(weight[:, None], weight) >= threshold * np.maximum(weight[:, None], weight) - 1e-6
+    size = np.array([len(x) // 8 for x in h], float)
+
+    def near(x: np.ndarray) -> np.ndarray:
+        return np.minimum(x[:, None], x) >= threshold * np.maximum(x[:, None], x) - 1e-6
+
+    by_weight, by_size = near(weight), near(size)
+    may &= by_weight | by_size
     first = np.full(may.shape, -1, np.int16)
     for i in reversed(range(k.shape[1])):
         first[k[:, i][:, None] == k[:, i]] = i
@@ -251,7 +260,7 @@ def block_links(rows: list[tuple], threshold: float) -> list[tuple[bytes, bytes]
     if not may.any():
         return []
     sets = [read_set(a, b) for a, b in zip(h, w, strict=True)]
-    may &= common_prefixes(sets, threshold)
+    may &= by_weight & common_prefixes(sets, threshold) | by_size & common_prefixes([(x, np.ones(len(x))) for x, _ in sets], threshold)
     top = list(range(len(names)))
 
     def root(x: int) -> int:
@@ -355,14 +364,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cluster_id (the smallest doc_id of the group), cluster_size and keep (true
     for one doc_id of the group: the smallest; rows that repeat it with the same
     text are all marked). Groups are components of links: equal texts, and texts
-    whose weighted Jaccard similarity over five-word shingles is ``threshold`` or
-    more. Words are compared with A-Z in lower case. Texts under five words
+    whose weighted or plain Jaccard similarity over five-word shingles is
+    ``threshold`` or more. Words are compared with A-Z in lower case. Texts under five words
     have one shingle; null and empty texts are equal texts, and texts without
     words are linked to equal ones only. A null doc_id sorts first. An empty
     table gives an empty result. Other columns are left out.
 
-    At a similarity of 0.8 a pair shares a bucket with probability 0.9998. Of
-    the pairs that share one, none between different groups is left untested.
+    At a weighted similarity of 0.8 a pair shares a bucket with probability
+    0.9998. Of the pairs that share one, none between different groups is left
+    untested; a pair that is similar by plain sets alone, in a bucket of over a
+    thousand texts, is tested if its weights are no two classes apart.
     """
     spark = docs.sparkSession
     table = pick(docs, text=text, doc_id=doc_id)

@@ -99,7 +99,7 @@ def jaccard(a, b):
 
 
 def brute_groups(texts):
-    """Components of equal texts and of weighted Jaccard of 0.8 or more."""
+    """Components of equal texts and of weighted or plain Jaccard of 0.8 or more."""
     low = [(t or "").encode().lower() for t in texts]
     words = [shingles.word_hashes(t) for t in low]
     n = len(texts)
@@ -121,7 +121,7 @@ def brute_groups(texts):
 
     for i in range(n):
         for j in range(i):
-            if (texts[i] or "") == (texts[j] or "") or jaccard(sets[i], sets[j]) >= 0.8:
+            if (texts[i] or "") == (texts[j] or "") or max(jaccard(sets[i], sets[j]), jaccard(dict.fromkeys(sets[i], 1), dict.fromkeys(sets[j], 1))) >= 0.8:
                 parent[max(find(i), find(j))] = min(find(i), find(j))
     groups = defaultdict(set)
     for i in range(n):
@@ -154,6 +154,22 @@ def test_words_are_counted_exactly(spark, monkeypatch):
         assert values.of(shingles.word_hashes(b"never"))[0] == values.rest
 
 
+def test_rare_words_do_not_hide_a_near_copy(spark):
+    """Few rare words in a text of common ones weigh much: by weights the copies differ more than by plain sets."""
+    r = random.Random(17)
+    common = [f"c{i}" for i in range(12)]
+    texts = [" ".join(r.choice(common) for _ in range(200)) for _ in range(60)]
+    pairs = []
+    for k in range(20):
+        words = texts[k].split()
+        words[30 + k], words[120 + k] = f"rare{k}", f"odd{k}"
+        words += [f"tail{k}x{j}" for j in range(16)]
+        texts.append(" ".join(words))
+        pairs.append((k, 60 + k))
+    cluster = {x["doc_id"]: x["cluster_id"] for x in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert all(cluster[a] == cluster[b] for a, b in pairs) and len({cluster[a] for a, _ in pairs}) == 20
+
+
 def near_texts(r, n=60):
     texts = []
     for _ in range(n):
