@@ -17,7 +17,7 @@ from ..plans.typed import EXACT, Val, both, convert, null, placed, settled_type,
 from .stage import Inline, Stage
 
 #: From so many rows on, a table of plain tests becomes a broadcast join on one of its columns.
-JOIN_ROWS = 200
+JOIN_ROWS = 40
 
 
 @dataclass
