@@ -299,43 +299,63 @@ class Field:
             out[x.text[i]].append((int(x.start[i]), int(x.end[i]), int(tags[i])))
         return out
 
-    def gradient(self, s: np.ndarray, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected less seen counts: of each token's tags, and of transitions."""
-        n = len(s)
-        fore, aft = np.zeros((n, 3)), np.zeros((n, 3))
-        fore[0] = self.t[OUTSIDE] + s[0]
-        for i in range(1, n):
-            m = fore[i - 1][:, None] + self.t
-            top = m.max(axis=0)
-            fore[i] = np.log(np.exp(m - top).sum(axis=0)) + top + s[i]
-        aft[-1] = self.t[:, OUTSIDE]
-        for i in range(n - 2, -1, -1):
-            m = self.t + (s[i + 1] + aft[i + 1])[None, :]
-            top = m.max(axis=1)
-            aft[i] = np.log(np.exp(m - top[:, None]).sum(axis=1)) + top
-        z = np.logaddexp.reduce(fore[-1] + aft[-1])
-        own = np.exp(fore + aft - z)
-        pair = np.exp(fore[:-1, :, None] + self.t + (s[1:] + aft[1:])[:, None, :] - z).sum(axis=0)
-        pair[OUTSIDE] += own[0]
-        pair[:, OUTSIDE] += own[-1]
-        own[np.arange(n), tags] -= 1
-        np.subtract.at(pair, (np.r_[OUTSIDE, tags], np.r_[tags, OUTSIDE]), 1)
+    def gradient(self, s: np.ndarray, tags: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected less seen counts of chains side by side: of each token's tags, and of all transitions.
+
+        s: scores (chains, tokens, tags); tags: (chains, tokens); ``size`` tokens of each chain count.
+        """
+        n, most = s.shape[:2]
+        at, rows = np.arange(most), np.arange(n)
+        inside = at < size[:, None]
+
+        def added(m: np.ndarray, axis: int) -> np.ndarray:
+            top = m.max(axis=axis, keepdims=True)
+            return (np.log(np.exp(m - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+
+        fore, aft = np.zeros_like(s), np.zeros_like(s)
+        fore[:, 0] = self.t[OUTSIDE] + s[:, 0]
+        for i in range(1, most):
+            fore[:, i] = added(fore[:, i - 1, :, None] + self.t, 1) + s[:, i]
+        for i in range(most - 1, -1, -1):
+            last = (size - 1 == i)[:, None]
+            more = added(self.t + (s[:, i + 1] + aft[:, i + 1])[:, None, :], 2) if i + 1 < most else np.zeros((n, 3))
+            aft[:, i] = np.where(last, self.t[:, OUTSIDE], more)
+        z = added(fore[rows, size - 1] + self.t[:, OUTSIDE], 1)
+        own = np.where(inside[:, :, None], np.exp(np.where(inside[:, :, None], fore + aft - z[:, None, None], 0.0)), 0.0)
+        steps = inside[:, 1:]
+        m = fore[:, :-1, :, None] + self.t + (s[:, 1:] + aft[:, 1:])[:, :, None, :] - z[:, None, None, None]
+        pair = np.exp(m[steps]).sum(axis=0)
+        pair[OUTSIDE] += own[:, 0].sum(axis=0)
+        pair[:, OUTSIDE] += own[rows, size - 1].sum(axis=0)
+        c, i = np.nonzero(inside)
+        own[c, i, tags[c, i]] -= 1
+        before = np.where(i > 0, tags[c, np.maximum(i - 1, 0)], OUTSIDE)
+        np.subtract.at(pair, (before, tags[c, i]), 1)
+        np.subtract.at(pair, (tags[rows, size - 1], OUTSIDE), 1)
         return own, pair
 
-    def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.3, l2: float = 1e-3, seed: int = 23) -> None:
-        """data: each chain's own features, features around, tags. AdaGrad on the log likelihood."""
+    def fit(self, data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], epochs: int = 5, rate: float = 0.3, l2: float = 1e-3, seed: int = 23, together: int = 16) -> None:
+        """data: each chain's own features, features around, tags. AdaGrad on the log likelihood, ``together`` chains a step."""
         rng = np.random.default_rng(seed)
         gw, gt = np.full((DIM + 1, 3), 1e-8), np.full((3, 3), 1e-8)
+        width = len(OWN) + len(AROUND)
         for _ in range(epochs):
-            for i in rng.permutation(len(data)):
-                own, around, tags = data[i]
-                features = np.hstack([own, around]) if rng.random() < 0.5 else own
-                g, pair = self.gradient(self.w[features].sum(axis=1), tags)
-                rows = features.ravel()
-                d = np.repeat(g, features.shape[1], axis=0) + l2 * self.w[rows]
+            order = rng.permutation(len(data))
+            for lo in range(0, len(order), together):
+                chains = [data[i] for i in order[lo : lo + together]]
+                size = np.array([len(t) for _, _, t in chains])
+                features = np.full((len(chains), size.max(), width), DIM, np.int64)
+                tags = np.full((len(chains), size.max()), OUTSIDE, np.int64)
+                for k, (own, around, t) in enumerate(chains):
+                    features[k, : len(t), : len(OWN)], tags[k, : len(t)] = own, t
+                    if rng.random() < 0.5:
+                        features[k, : len(t), len(OWN) :] = around
+                g, pair = self.gradient(self.w[features].sum(axis=2), tags, size)
+                used = features != DIM
+                rows = features[used]
+                d = np.repeat(g.reshape(-1, 3), used.reshape(-1, width).sum(axis=1), axis=0) + l2 * self.w[rows]
                 np.add.at(gw, rows, d * d)
                 np.subtract.at(self.w, rows, rate * d / np.sqrt(gw[rows]))
-                self.w[DIM] = 0
                 pair[OUTSIDE, INSIDE] = 0
                 gt += pair * pair
                 self.t -= rate * pair / np.sqrt(gt)

@@ -269,6 +269,30 @@ def test_field_finds_secrets_without_a_keyword(spark):
     assert secret_scan.scan(table(spark, []), secret_scan.learn(table(spark, []))).count() == 0
 
 
+def test_gradient_by_all_taggings():
+    """Chains of several lengths side by side, each against the sum over all its taggings."""
+    r = np.random.default_rng(8)
+    f = secret_scan.Field()
+    f.t[:2] = r.normal(size=(2, 3))
+    f.t[2, [0, 2]] = r.normal(size=2)
+    size = np.array([1, 4, 3, 4])
+    s, tags = r.normal(size=(4, 4, 3)), np.array([[2, 2, 2, 2], [0, 1, 2, 0], [2, 0, 1, 2], [2, 2, 2, 2]])
+    own, pair = f.gradient(s, tags, size)
+    want_pair = np.zeros((3, 3))
+    for c, n in enumerate(size):
+        every = list(product(range(3), repeat=n))
+        p = np.exp([value_of(f, s[c], x) for x in every])
+        p /= p.sum()
+        want = np.zeros((4, 3))
+        for x, q in [*zip(every, p, strict=True), (tuple(tags[c, :n]), -1.0)]:
+            for i, k in enumerate(x):
+                want[i, k] += q
+            for a, b in zip((secret_scan.OUTSIDE, *x), (*x, secret_scan.OUTSIDE), strict=True):
+                want_pair[a, b] += q
+        assert np.allclose(own[c], want, atol=1e-9)
+    assert np.allclose(pair, want_pair, atol=1e-9)
+
+
 def naive_tokens(text):
     """Tokens of a text's bytes with the rows of their features, one at a time and by definition."""
     raw = text.encode()
