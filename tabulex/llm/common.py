@@ -125,6 +125,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
+#: Tables up to so many bytes on disk are dealt anew where their files are fewer than the cores.
+SMALL_TABLE = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows; those of a small table in few files, which a few tasks would read alone, dealt to all cores."""
+    n = parallelism(df.sparkSession)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * n) if size <= SMALL_TABLE and len(df.inputFiles()) < n else df
+
+
 #: What operators remember in a worker between tasks; a task of another operator drops it.
 CACHES: list[dict] = []
 

@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import finished, keep, pick, slices, tidy
+from .common import finished, keep, pick, slices, spread, tidy
 from .language_id import remainder
 from .near_dedup import lowered
 from .shingles import words_by_text
@@ -366,4 +366,4 @@ def op3_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated rows are scored each; other columns are left out; an empty table
     gives no rows.
     """
-    return finished(spark, lambda: score(spark.read.parquet(f"{sf_dir}/documents.parquet")), "result")
+    return finished(spark, lambda: score(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))), "result")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import find, finished, keep, numbered, pick
+from .common import find, finished, keep, numbered, pick, spread
 
 
 def record_bytes(df: DataFrame):
@@ -108,7 +108,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeat take a slot each; a null doc_id stays null; other columns are left
     out; an empty table gives no rows.
     """
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text")
     digest = (
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),

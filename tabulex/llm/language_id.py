@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, parallelism, pick, slices, tidy
+from .common import find, numbered, parallelism, pick, slices, spread, tidy
 
 BITS = 16
 DIM = 1 << BITS
@@ -302,6 +302,6 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts as the empty text for the split; repeated rows have equal results;
     other columns are left out; an empty table gives no rows.
     """
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", lang="lang")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text", lang="lang")
     out = predict(docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "text"), learn(docs))
     return out.select("doc_id", "held_out", "lang_pred", "score")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import finished, keep, pick, tidy
+from .common import finished, keep, pick, spread, tidy
 
 SAMPLE = 16384  # vectors that the graph and the classifier are fitted on, at most
 RECALL, TRIALS = 0.95, 256  # recall that the number of visited parts is chosen for, on so many queries that the fit doesn't see
@@ -302,4 +302,4 @@ def op4_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     the smaller id; rows that repeat an id and vector are one candidate; an
     empty table gives no rows.
     """
-    return finished(spark, lambda: search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), lambda i: i % 20 == 0, k=20), "result")
+    return finished(spark, lambda: search(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), lambda i: i % 20 == 0, k=20), "result")

@@ -18,7 +18,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, find, keep, numbered, parallelism, pick, slices, tidy
+from .common import SPACES, find, keep, numbered, parallelism, pick, slices, spread, tidy
 
 CHUNK = 8192  # bytes of a filter that travel together
 HASHES = 3
@@ -217,7 +217,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     each. A null or empty text is one empty line; empty keys never go; a null
     doc_id stays null; other columns are left out; an empty table gives no rows.
     """
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text")
     out = line_dedup(docs, min_docs=10, keep_first=False)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

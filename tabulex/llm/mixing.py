@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import find, keep, n_words, numbered, pick
+from .common import find, keep, n_words, numbered, pick, spread
 
 #: Patterns and sources are settings of a mix, not data; their sums go to the driver. More than this is an error.
 MAX_PATTERNS = 200_000
@@ -216,7 +216,7 @@ def mix_sources(docs: DataFrame, members: Column | str, size: Column | str, weig
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150% of their words; each has one source."""
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text", source="source")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text", source="source")
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"))
     out = mix_sources(sized, F.array("source"), "size")
     return out.select("doc_id", "size", F.element_at("source_size", 1).alias("source_size"), F.element_at("target", 1).alias("target"), (F.col("copies") * F.col("size")).alias("taken"))

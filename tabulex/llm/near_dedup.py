@@ -21,7 +21,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, finished, keep, numbered, parallelism, pick, slices, tidy
+from .common import find, finished, keep, numbered, parallelism, pick, slices, spread, tidy
 from .line_dedup import bytes_of
 from .shingles import mix, shingles, words_by_text
 from .tallies import Lookup, Tally, frequent, word_keys
@@ -439,5 +439,5 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     links; rows that repeat a doc_id are documents of their own; a null doc_id
     sorts first; other columns are left out; an empty table gives no rows.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return finished(spark, lambda: near_duplicates(docs).select("doc_id", "cluster_id", "cluster_size", "keep"), "result")

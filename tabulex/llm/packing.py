@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import CACHES, finished, keep, pick, slices, tidy
+from .common import CACHES, finished, keep, pick, slices, spread, tidy
 
 #: Words after which a worker starts a new memory of ids (it keeps the last one beside it), and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 340_000, 64
@@ -252,6 +252,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "class")
     return finished(spark, lambda: pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(*columns), "result")

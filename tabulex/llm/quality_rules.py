@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, pick
+from .common import find, numbered, pick, spread
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -188,7 +188,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null text has no words and fails; repeated rows have equal results; a null
     doc_id stays null; other columns are left out; an empty table gives no rows.
     """
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text")
     stats = with_statistics(docs)
     cols = {x: F.col(x) for x in STATISTICS}
     failed = F.lit(False)

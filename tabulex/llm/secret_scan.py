@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import find, numbered, pick, reach, slices, tidy
+from .common import find, numbered, parallelism, pick, reach, slices, spread, tidy
 from .shingles import mix
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -476,8 +476,8 @@ def learn(docs: DataFrame) -> Field:
     texts = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64(F.lit(19), "text").alias("h"), hot.alias("hot"))
     some, others = texts.agg(F.approx_count_distinct(F.when(F.col("hot"), F.col("h"))), F.approx_count_distinct(F.when(~F.col("hot"), F.col("h")))).first()
     share = F.when(F.col("hot"), min(1.0, SAMPLE / max(1, some))).otherwise(min(1.0, OTHERS / max(1, others)))
-    # copies become one text before they count
-    chosen = texts.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h").agg(F.first("text").alias("text"))
+    # copies become one text before they count; few bytes, but work for all cores
+    chosen = texts.where(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).groupBy("h").agg(F.first("text").alias("text")).repartition(2 * parallelism(docs.sparkSession))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -568,5 +568,5 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null text is empty. Repeated rows have equal results, a null doc_id stays
     null, other columns are left out, an empty table gives no rows.
     """
-    docs = pick(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
+    docs = pick(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), doc_id="doc_id", text="text")
     return scan(docs, learn(docs)).drop("text")

@@ -95,6 +95,18 @@ def test_finished_deletes_its_own_tables_only(spark):
     assert keep(spark.range(1), f"{own}-last").count() == 1
 
 
+def test_small_tables_are_dealt_to_all_cores(spark, folder, tmp_path, monkeypatch):
+    from tabulex.llm import common
+
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    assert common.spread(one).rdd.getNumPartitions() == 2 * common.parallelism(spark) and common.spread(one).count() == 100
+    many = spark.read.parquet(f"{folder}/documents.parquet")
+    assert len(many.inputFiles()) >= common.parallelism(spark) and common.spread(many) is many
+    monkeypatch.setattr(common, "SMALL_TABLE", 10)
+    assert common.spread(one) is one
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_empty_tables(spark, nothing, folder, name):
     out = queries.QUERIES[name](spark, nothing)
