@@ -219,8 +219,12 @@ def test_prefixes_lose_no_similar_pair():
         base = np.sort(r.choice(300, 40, replace=False)).astype(np.uint64)
         crowd = [(np.unique(np.r_[base[: r.integers(30, 41)], r.choice(300, r.integers(0, 12)).astype(np.uint64)]), None) for _ in range(20)]
         crowd = [(h, r.uniform(1, 2) + (h % np.uint64(7)).astype(float) / 20) for h, _ in crowd]
-        may = near_dedup.common_prefixes(crowd, 0.8)
-        assert all(may[i, j] for i in range(20) for j in range(i) if near_dedup.alike(crowd[i], crowd[j], 0.8))
+        plainly = [(h, np.ones(len(h))) for h, _ in crowd]
+        for sets in (crowd, plainly):  # each measure has its own prefixes
+            may, weights = near_dedup.common_prefixes(sets, 0.8), [dict(zip(h.tolist(), w.tolist(), strict=True)) for h, w in sets]
+            assert all(may[i, j] for i in range(20) for j in range(i) if jaccard(weights[i], weights[j]) >= 0.8)
+        either = may | near_dedup.common_prefixes(crowd, 0.8)
+        assert all(either[i, j] for i in range(20) for j in range(i) if near_dedup.alike(crowd[i], crowd[j], 0.8))
 
 
 def test_near_dedup_keeps_one(spark):
